@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factsieve.functions.memo import memo
+
 # Fixed value: every character the page model treats as white space.
 SPACE_CHARS = r"\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Fixed value: exotic spaces that become a plain space while line breaks survive.
@@ -28,11 +30,13 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+@memo
 def squish(c: Column) -> Column:
     """Collapse every kind of white space and trim."""
     return F.trim(F.regexp_replace(text_or_empty(c), f"[{SPACE_CHARS}]+", " "))
 
 
+@memo
 def squish_block(c: Column) -> Column:
     """Like :func:`squish`, but line and paragraph breaks survive."""
     c = F.regexp_replace(text_or_empty(c), f"[{WIDE_SPACE_CHARS}]", " ")
@@ -46,6 +50,7 @@ def raw_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(squish(c)), "[^a-z0-9]+"), lambda t: t != "")
 
 
+@memo
 def tokens(c: Column, keep_stopwords: bool = False) -> Column:
     """Lower-case alphanumeric tokens; stop words go unless nothing else is left."""
     if keep_stopwords:
@@ -59,6 +64,7 @@ def tokens(c: Column, keep_stopwords: bool = False) -> Column:
     )
 
 
+@memo
 def to_key(c: Column) -> Column:
     """snake_case output column name of a label."""
     c = F.regexp_replace(squish(c), "([a-z0-9])([A-Z])", "$1_$2")
@@ -67,10 +73,12 @@ def to_key(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("field"))
 
 
+@memo
 def alnum(c: Column) -> Column:
     return F.regexp_replace(F.lower(squish(c)), "[^a-z0-9]+", "")
 
 
+@memo
 def grams(word: Column) -> Column:
     """Distinct trigrams of an :func:`alnum` word padded with two leading and one trailing space."""
     return let(
@@ -135,6 +143,7 @@ def truncate(c: Column, limit: int) -> Column:
     )
 
 
+@memo
 def words_only(c: Column) -> Column:
     """Letters and digits only, separated by single spaces."""
     return F.trim(F.regexp_replace(F.lower(squish(c)), r"[^\p{L}\p{N}]+", " "))

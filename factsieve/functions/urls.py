@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factsieve.functions.memo import memo
 from factsieve.functions.text import let, text_or_empty
 
 # Query parameters that never change what a page shows.
@@ -61,6 +62,7 @@ def _fold_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.array_join(folded, "/")).otherwise(path)
 
 
+@memo
 def url_parts(c: Column) -> Column:
     """``struct(scheme, host, port, path, query, fragment)`` of an absolute URL, else null."""
     def build(u: Column) -> Column:
@@ -95,6 +97,7 @@ def _query_suffix(query: Column) -> Column:
     return F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
 
 
+@memo
 def url_origin(c: Column) -> Column:
     return let(url_parts(c), lambda p: F.when(p["scheme"].isin("http", "https"), _origin(p)))
 
@@ -107,6 +110,7 @@ def url_path(c: Column) -> Column:
     return let(url_parts(c), lambda p: p["path"])
 
 
+@memo
 def canonical_url(c: Column) -> Column:
     """Absolute http(s) URL in the spelling a browser would report, else null."""
     return let(
@@ -118,6 +122,7 @@ def canonical_url(c: Column) -> Column:
     )
 
 
+@memo
 def absolutize(href: Column, base: Column) -> Column:
     """Resolve ``href`` against ``base``; null for hrefs that are not http(s) pages."""
     def resolve(h: Column) -> Column:
@@ -154,6 +159,7 @@ def _kept_params(query: Column, drop) -> Column:
     )
 
 
+@memo
 def normalize_url(c: Column) -> Column:
     """Key under which two spellings of one page are the same visit."""
     def build(p: Column) -> Column:
@@ -168,6 +174,7 @@ def normalize_url(c: Column) -> Column:
     return F.coalesce(let(url_parts(c), build), c.cast("string"))
 
 
+@memo
 def image_identity(c: Column) -> Column:
     """Key under which two renditions of one image are the same image."""
     def build(p: Column) -> Column:
@@ -186,6 +193,7 @@ def image_identity(c: Column) -> Column:
     return F.coalesce(let(url_parts(c), build), c.cast("string"))
 
 
+@memo
 def site_root(c: Column) -> Column:
     """Last two labels of the host: the unit "same site" compares."""
     host = F.regexp_replace(url_host(c), r"^www\.", "")
@@ -196,11 +204,13 @@ def same_site(a: Column, b: Column) -> Column:
     return F.coalesce(site_root(a) == site_root(b), F.lit(False))
 
 
+@memo
 def looks_non_html(c: Column) -> Column:
     extension = F.lower(F.regexp_extract(url_path(c), r"\.([A-Za-z0-9]{1,5})$", 1))
     return F.coalesce(extension.isin(*NON_HTML_EXTENSIONS), F.lit(False))
 
 
+@memo
 def url_tokens(c: Column) -> Column:
     """Path and query words longer than one character, page extension removed."""
     words = let(
@@ -213,6 +223,7 @@ def url_tokens(c: Column) -> Column:
     )
 
 
+@memo
 def validate_url(c: Column) -> Column:
     """``struct(ok, url, reason)`` for a user-supplied address; bare hosts get a scheme."""
     def build(raw: Column) -> Column:
@@ -259,6 +270,7 @@ PAGE_NUMBER_PATTERNS = (
 )
 
 
+@memo
 def page_number(c: Column) -> Column:
     """``struct(number, prefix, kind)`` of the first page-number form in a URL, else null."""
     def build(u: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,17 +103,10 @@ def alias_literal(aliases: DataFrame) -> Column:
         "alias_pos", "alias", "kind", tokens(F.col("alias")).alias("words"), alnum(F.col("alias")).alias("bare")
     ).withColumn("grams", grams(F.col("bare")))
 
-    def strings(values: list[str]) -> Column:
-        return F.array(*[F.lit(v) for v in values])
-
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.alias_pos).alias("alias_pos"), F.lit(r.alias).alias("alias"), F.lit(r.kind).alias("kind"),
-                strings(r.words).alias("words"), F.lit(r.bare).alias("bare"), strings(r.grams).alias("grams"),
-            )
-            for r in prepared.orderBy("alias_pos").collect()
-        ]
+    rows = [r.asDict() for r in prepared.orderBy("alias_pos").collect()]
+    return F.from_json(
+        F.lit(json.dumps(rows)),
+        "array<struct<alias_pos:int,alias:string,kind:string,words:array<string>,bare:string,grams:array<string>>>",
     )
 
 

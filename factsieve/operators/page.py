@@ -306,25 +306,6 @@ def pairs(nodes: DataFrame, block_rows: DataFrame) -> DataFrame:
     )
 
 
-def first_heading(nodes: DataFrame, tags: tuple[str, ...]) -> DataFrame:
-    """``(node_id, heading)``: text of the first heading inside each section, article or div.
-
-    One ordered pass per page: the next heading after a container is its first one if it lies in its interval.
-    """
-    ahead = W.partitionBy(*KEYS).orderBy(F.desc("node_id")).rowsBetween(W.unboundedPreceding, -1)
-    is_heading = F.col("tag").isin(*tags)
-    return (
-        nodes.where(is_heading | F.col("tag").isin("section", "article", "div"))
-        .withColumn(
-            "next",
-            F.last(F.when(is_heading, F.struct("node_id", F.coalesce("full_text", F.lit("")).alias("text"))), True)
-            .over(ahead),
-        )
-        .where(F.col("tag").isin("section", "article", "div") & (F.col("next.node_id") <= F.col("last_desc")))
-        .select(*KEYS, "node_id", F.col("next.text").alias("heading"))
-    )
-
-
 def page_digest(
     titles: DataFrame, meta: DataFrame, pair_rows: DataFrame, texts: DataFrame, max_chars: int = 12000
 ) -> DataFrame:

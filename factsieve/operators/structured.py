@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factsieve.functions.memo import memo
 from factsieve.functions.text import let, squish, squish_block
 from factsieve.operators.page import KEYS, attr_text
 
@@ -185,6 +186,7 @@ _OUT = (
 )
 
 
+@memo
 def _level(depth: int) -> Column:
     """Children of an object row: its composites, scalar entries, URL wrappers and nested objects."""
     def build(m: Column) -> Column:
@@ -269,7 +271,7 @@ def structured_entries(entities: DataFrame) -> DataFrame:
 
     def open_level(frame: DataFrame, depth: int) -> DataFrame:
         same = F.array(F.struct("kind", "key", "path", "value", "entity_type", "is_primary", "raw"))
-        out = F.when(F.col("kind") == "object", _level(depth)).otherwise(same)
+        out = F.when(F.col("kind") == "object", _level(min(depth, 1))).otherwise(same)
         return frame.select(*KEYS, "source", "seq", F.posexplode(out).alias("at", "o")).select(
             *KEYS, "source", F.concat("seq", F.array("at")).alias("seq"), "o.*"
         )

@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# Executors get this module with the task, so nothing has to be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---- fixed values ---------------------------------------------------------------------------
 NON_CONTENT = frozenset("script style noscript template svg iframe object embed".split())
 CHROME_TAGS = frozenset("nav header footer aside".split())
@@ -42,6 +47,7 @@ IMPLIED_END = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEAD_TAGS = frozenset("title base link meta style script noscript template".split())
 MICRODATA_ATTR = {
     "meta": "content", "audio": "src", "embed": "src", "iframe": "src", "img": "src", "source": "src",
@@ -66,21 +72,27 @@ NODE_SCHEMA = pa.schema(
         ("content", pa.bool_()), ("n_kids", pa.int32()), ("n_all_kids", pa.int32()),
         ("child_tags", pa.list_(pa.string())), ("lead_tag", pa.string()), ("lead_text", pa.string()),
         ("parent_tag", pa.string()), ("parent_class", pa.string()), ("parent_html_id", pa.string()),
-        ("item_json", pa.string()), *[(f"a_{a}", pa.int32()) for a in ANCESTORS],
+        ("item_json", pa.string()), ("near_class", pa.string()), ("near_id", pa.string()), ("box_class", pa.string()),
+        ("near_heading", pa.string()), ("caption", pa.string()), ("prev_text", pa.string()), ("prev_at", pa.int32()),
+        ("parent_prev_text", pa.string()), ("parent_prev_at", pa.int32()),
+        *[(f"a_{a}", pa.int32()) for a in ANCESTORS],
     ]
 )
 NODE_DDL = (
     "page_id bigint, node_id int, last_desc int, parent_id int, depth int, tag string, attrs map<string,string>, "
     "own_text string, full_text string, text_len int, raw_text string, content boolean, n_kids int, "
     "n_all_kids int, child_tags array<string>, lead_tag string, lead_text string, parent_tag string, "
-    "parent_class string, parent_html_id string, item_json string, " + ", ".join(f"a_{a} int" for a in ANCESTORS)
+    "parent_class string, parent_html_id string, item_json string, "
+    "near_class string, near_id string, box_class string, near_heading string, caption string, prev_text string, "
+    "prev_at int, parent_prev_text string, parent_prev_at int, " + ", ".join(f"a_{a} int" for a in ANCESTORS)
 )
 
 
 class _Node:
     __slots__ = (
         "node_id", "last_desc", "parent", "depth", "tag", "attrs", "own", "start", "raw", "content", "kids",
-        "all_kids", "anc", "text", "length", "props",
+        "all_kids", "anc", "text", "length", "props", "end", "heads", "last_kid", "last_heading", "prev", "prev_heading",
+        "caption",
     )
 
 
@@ -157,7 +169,9 @@ class _Tree(HTMLParser):
         node.start = len(self.pieces)
         node.content = (parent.content if parent else True) and tag not in NON_CONTENT
         node.props = {} if "itemscope" in attrs else None
-        node.text = None
+        node.text = node.last_kid = node.last_heading = node.caption = None
+        node.heads = [None, None]  # first h1-h3 and first h1-h4 inside a section
+        node.prev, node.prev_heading = (parent.last_kid, parent.last_heading) if parent else (None, None)
         classes = set(attrs.get("class", "").split())
         role = attrs.get("role", "")
         has_id, me = bool(attrs.get("id")), node.node_id
@@ -180,25 +194,37 @@ class _Tree(HTMLParser):
         # the enclosing item is always a proper ancestor
         node.anc["item"] = (parent.node_id if parent.props is not None else inherited["item"]) if parent else 0
         if parent is not None:
+            parent.last_kid = node
+            if tag in HEADINGS:
+                parent.last_heading = node
             parent.all_kids.append(tag)
             if node.content:
                 parent.kids.append(node)
+        if tag in ("h1", "h2", "h3", "h4"):
+            for box in self.open:
+                if box.tag in ("section", "article", "div"):
+                    for i, stop in enumerate(("h4", "")):
+                        if box.heads[i] is None and tag != stop:
+                            box.heads[i] = node
+        elif tag == "figcaption" and inherited["figure"]:
+            figure = self.nodes[inherited["figure"] - 1]
+            figure.caption = figure.caption or node
         self.nodes.append(node)
         self.open.append(node)
         return node
 
-    def _text(self, node: _Node) -> str:
-        return "".join(self.pieces[node.start:]).strip()
+    def text_of(self, node: _Node | None) -> str:
+        return _WS.sub(" ", "".join(self.pieces[node.start:node.end])).strip() if node else ""
 
     def _close(self, node: _Node) -> None:
-        node.last_desc = len(self.nodes)
+        node.last_desc, node.end = len(self.nodes), len(self.pieces)
         node.length = self.sizes[-1] - self.sizes[node.start]
         keep = (
             node.length <= TEXT_LIMIT + 2 or node.anc["chrome"] == node.node_id or "itemprop" in node.attrs
             or node.tag in ("body", "title", "figcaption")
         )
         if keep:
-            node.text = _WS.sub(" ", self._text(node)).strip()
+            node.text = self.text_of(node)
             node.length = len(node.text)
         name = node.attrs.get("itemprop")
         if name and node.anc["item"]:
@@ -285,8 +311,43 @@ def _keeps_raw(node: _Node, raw: str) -> bool:
     return kind == "application/ld+json" or ("lat" in lowered and ("lng" in lowered or "lon" in lowered))
 
 
-def _columns(page_id: int, nodes: list[_Node], out: dict) -> None:
-    for n in nodes:
+_IMAGE_FILE = re.compile(r"\.(jpe?g|png|webp|avif|gif)(\?|$)", re.I)
+_NO_SURROUNDINGS = (None,) * 9
+
+
+def _surroundings(tree: _Tree, n: _Node) -> tuple:
+    """Words around the few kinds of element whose meaning depends on their neighbourhood."""
+    def attr_of(kind: str, name: str) -> str | None:
+        return tree.nodes[n.anc[kind] - 1].attrs.get(name) if n.anc[kind] else None
+
+    def heading(kind: str, deep: int) -> str | None:
+        return tree.text_of(tree.nodes[n.anc[kind] - 1].heads[deep]) if n.anc[kind] else None
+
+    href = n.attrs.get("href", "")
+    if n.tag in ("img", "source", "video") or "background" in n.attrs.get("style", "") or (
+        n.tag == "a" and _IMAGE_FILE.search(href)
+    ):
+        figure = tree.nodes[n.anc["figure"] - 1] if n.anc["figure"] else None
+        return (
+            attr_of("classsection", "class"), attr_of("idsection", "id"), attr_of("class", "class"),
+            heading("section", 1), tree.text_of(figure.caption) if figure else None, None, None, None, None,
+        )
+    if n.tag == "p":
+        return (None, attr_of("idsection", "id"), None, heading("section", 0), *_NO_SURROUNDINGS[4:])
+    if n.tag in ("ul", "ol"):
+        before, above = n.prev_heading, n.parent.prev_heading if n.parent else None
+        return (
+            None, None, None, heading("secdiv", 1), None, tree.text_of(before), before and before.node_id,
+            tree.text_of(above), above and above.node_id,
+        )
+    if n.tag == "a" and re.match(r"(?i)(tel|callto|sms|mailto):", href):
+        above = n.parent.prev if n.parent else None
+        return (*_NO_SURROUNDINGS[:7], tree.text_of(above), above and above.node_id)
+    return _NO_SURROUNDINGS
+
+
+def _columns(page_id: int, tree: _Tree, out: dict) -> None:
+    for n in tree.rows():
         parent, lead = n.parent, n.kids[0] if n.kids else None
         raw = "".join(n.raw)
         values = (
@@ -297,6 +358,7 @@ def _columns(page_id: int, nodes: list[_Node], out: dict) -> None:
             parent.tag if parent else None, parent.attrs.get("class") if parent else None,
             parent.attrs.get("id") if parent else None,
             json.dumps(_Tree._item(n), ensure_ascii=False) if n.props is not None else None,
+            *_surroundings(tree, n),
             *[n.anc[a] for a in ANCESTORS],
         )
         for column, value in zip(out.values(), values):
@@ -312,7 +374,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page_id, html in zip(batch.column(0), batch.column(1)):
             tree = _Tree()
             tree.feed(html.as_py() or "")
-            _columns(page_id.as_py(), tree.rows(), out)
+            _columns(page_id.as_py(), tree, out)
             if len(out["page_id"]) >= 20_000:  # keep outgoing batches small whatever the page size
                 yield pa.RecordBatch.from_pydict(out, schema=NODE_SCHEMA)
                 out = fresh()
