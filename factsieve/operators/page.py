@@ -8,13 +8,13 @@ no group is larger than one page.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factsieve.functions.text import squish, squish_block, truncate
 from factsieve.functions.urls import absolutize, normalize_url
+from factsieve.sources.staging import cut
 
 KEYS = ["page_id", "scope_id"]
 
@@ -63,10 +63,9 @@ def selector() -> Column:
     )
 
 
-def stage_nodes(nodes: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Hash-partition element rows by page once and keep them: every operator below reads this table."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.repartition(parts, "page_id").persist(level)
+def stage_nodes(nodes: DataFrame) -> DataFrame:
+    """Hash-partition element rows by page once and store them: every operator below reads this table."""
+    return cut(nodes, "page_id")
 
 
 def page_scope(nodes: DataFrame) -> DataFrame:

@@ -1,39 +1,31 @@
-"""The relations of a set of pages (or scopes), derived on demand and kept while several operators read them."""
+"""The relations of a set of pages (or scopes), derived on demand and stored while several operators read them."""
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from factsieve.operators import images as I
 from factsieve.operators import page as P
 from factsieve.operators import structured as S
+from factsieve.sources.staging import cut
 
 
 class PageTables:
     """Lazily derived page relations over staged element rows.
 
     ``pages(page_id, url, final_url, ...)`` locates the pages, ``nodes`` are element rows with a
-    ``scope_id``. Tables several generators read are persisted on first use; :meth:`release` frees them.
+    ``scope_id``. Tables several generators read are written once, partitioned by page, on first use.
     """
 
-    def __init__(self, pages: DataFrame, nodes: DataFrame, bases: DataFrame | None = None, keep: bool = True):
-        self.pages, self.nodes, self.keep = pages, nodes, keep
-        self.bases = bases if bases is not None else P.base_urls(pages, nodes)
-        self._kept: list[DataFrame] = []
-
-    def _hold(self, frame: DataFrame) -> DataFrame:
-        if self.keep:
-            frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-            self._kept.append(frame)
-        return frame
-
-    def release(self) -> None:
-        for frame in self._kept:
-            frame.unpersist()
-        self._kept.clear()
+    def __init__(self, pages: DataFrame, nodes: DataFrame, bases: DataFrame | None = None):
+        self.pages, self.nodes = pages, nodes
+        self.bases = bases if bases is not None else cut(P.base_urls(pages, nodes), "page_id")
+
+    @staticmethod
+    def _hold(frame: DataFrame) -> DataFrame:
+        return cut(frame)
 
     @cached_property
     def meta(self) -> DataFrame:
