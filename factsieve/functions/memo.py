@@ -12,7 +12,16 @@ from functools import wraps
 from pyspark import SparkContext
 from pyspark.sql import Column
 
-_built: dict[tuple, Column] = {}
+_built: dict[tuple, object] = {}
+
+
+def once(key: tuple, build: Callable[[], object]) -> object:
+    """``build()`` the first time ``key`` is asked for in a session, the same object afterwards."""
+    context = SparkContext._active_spark_context
+    full = (context.applicationId if context else None, *key)
+    if full not in _built:
+        _built[full] = build()
+    return _built[full]
 
 
 def _name(value: object) -> object | None:
@@ -29,13 +38,9 @@ def memo(build: Callable[..., Column]) -> Callable[..., Column]:
     """Build the expression once per session for arguments that are plain names or constants."""
     @wraps(build)
     def cached(*args: object, **kwargs: object) -> Column:
-        context = SparkContext._active_spark_context
         names = tuple(_name(a) for a in args)
-        if context is None or None in names or kwargs:
+        if None in names or kwargs:
             return build(*args, **kwargs)
-        key = (build.__module__, build.__qualname__, context.applicationId, names)
-        if key not in _built:
-            _built[key] = build(*args)
-        return _built[key]
+        return once((build.__module__, build.__qualname__, names), lambda: build(*args))
 
     return cached

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factsieve.functions import kinds as K
+from factsieve.functions.memo import once
 from factsieve.functions.ontology import NARROW_CHANNELS
 from factsieve.functions.text import alnum, gram_dice, grams, let, squish, token_overlap, tokens
 from factsieve.functions.urls import absolutize, url_origin
@@ -60,8 +61,7 @@ _SPEC_SCHEMA = (
 )
 
 
-def spec_literal(specs: Iterable[Row]) -> Column:
-    """Field specs as one constant array of structs."""
+def spec_json(specs: Iterable[Row]) -> str:
     rows = []
     for s in specs:
         vocabulary = s.label_keywords if s.exclusive else s.keywords
@@ -75,7 +75,12 @@ def spec_literal(specs: Iterable[Row]) -> Column:
                 meta_keys=s.meta_keys, entity_types=s.entity_types, attr_hints=s.attr_hints,
             )
         )
-    return F.from_json(F.lit(json.dumps(rows)), _SPEC_SCHEMA)
+    return json.dumps(rows)
+
+
+def spec_literal(specs: Iterable[Row]) -> Column:
+    """Field specs as one constant array of structs."""
+    return F.from_json(F.lit(spec_json(specs)), _SPEC_SCHEMA)
 
 
 def open_specs(
@@ -87,18 +92,23 @@ def open_specs(
     is computed once. Adds ``s`` (key, type, plural), ``score`` and whatever else ``score`` returns.
     """
     chosen = [s for s in specs if s.type in set(kinds)]
-    names: list[str] = []
 
-    def test(s: Column) -> Column:
-        made = score(s)
-        made = made if isinstance(made, dict) else {"score": made}
-        names[:] = list(made)
-        return F.struct(
-            F.struct(s["key"].alias("key"), s["type"].alias("type"), s["plural"].alias("plural")).alias("s"),
-            *[c.alias(n) for n, c in made.items()],
-        )
+    def build() -> tuple[Column, list[str]]:
+        names: list[str] = []
 
-    kept = F.filter(F.transform(spec_literal(chosen), test), lambda x: x["score"] > 0)
+        def test(s: Column) -> Column:
+            made = score(s)
+            made = made if isinstance(made, dict) else {"score": made}
+            names[:] = list(made)
+            return F.struct(
+                F.struct(s["key"].alias("key"), s["type"].alias("type"), s["plural"].alias("plural")).alias("s"),
+                *[c.alias(n) for n, c in made.items()],
+            )
+
+        return F.filter(F.transform(spec_literal(chosen), test), lambda x: x["score"] > 0), names
+
+    code = score.__code__
+    kept, names = once(("open_specs", code.co_filename, code.co_firstlineno, spec_json(chosen)), build)
     opened = frame.select("*", F.explode(kept).alias("x"))
     return opened.select(
         *[c for c in frame.columns if c not in names], F.col("x.s").alias("s"), *[F.col(f"x.{n}").alias(n) for n in names]
@@ -489,7 +499,7 @@ def from_pairs(t: PageTables, specs: list[Row]) -> DataFrame:
     rows = open_specs(
         with_label(t.pairs, F.col("label")), specs, PAIR_KINDS,
         lambda s: F.when(channel_ok(F.col("label"), s), label_match(s)).otherwise(0.0),
-    ).select("*", F.posexplode(F.when(F.col("s.plural"), split_list(F.col("value"))).otherwise(F.array("value"))).alias("i", "v"))
+    ).select("*", F.posexplode(F.when(F.col("s.plural"), once(("split_list",), lambda: split_list(F.col("value")))).otherwise(F.array("value"))).alias("i", "v"))
     return _emit(
         rows, 4, F.col("v"), F.col("score") * TIER["pair"],
         F.concat(F.lit("label pair ("), "kind", F.lit('): "'), "label", F.lit('"')), F.lit(6),
@@ -525,14 +535,15 @@ def from_proximity(t: PageTables, specs: list[Row]) -> DataFrame:
     A block that itself names the field is a further label, not a value, so each block is scored once and the
     windows look at the scores ahead.
     """
-    scores = F.map_from_entries(
-        F.filter(
-            F.transform(
-                spec_literal([s for s in specs if s.type in ("address", "hours", *TEXT_KINDS)]),
-                lambda s: F.struct(s["key"].alias("k"), label_match(s).alias("v")),
-            ),
-            lambda e: e["v"] > 0,
-        )
+    near = [s for s in specs if s.type in ("address", "hours", *TEXT_KINDS)]
+    scores = once(
+        ("proximity", spec_json(near)),
+        lambda: F.map_from_entries(
+            F.filter(
+                F.transform(spec_literal(near), lambda s: F.struct(s["key"].alias("k"), label_match(s).alias("v"))),
+                lambda e: e["v"] > 0,
+            )
+        ),
     )
     order = W.partitionBy(*KEYS).orderBy("pos")
     ahead = F.array(
@@ -774,8 +785,7 @@ def from_pattern(t: PageTables, specs: list[Row]) -> DataFrame:
     ).where("text != ''")
     # The matches of a text are found once per kind, whatever the number of labels of that kind.
     kinds = [k for k in PATTERNS if any(x.type == k for x in specs)]
-    found = []
-    for kind in kinds:
+    def hits_of(kind: str) -> Column:
         if kind == "hours":
             hits = F.transform(
                 F.filter(
@@ -785,7 +795,9 @@ def from_pattern(t: PageTables, specs: list[Row]) -> DataFrame:
             )
         else:
             hits = pattern_hits(F.col("text"), PATTERNS[kind])
-        found.append(F.transform(hits, _hit_of(kind)))
+        return F.transform(hits, _hit_of(kind))
+
+    found = [once(("pattern", kind), lambda kind=kind: hits_of(kind)) for kind in kinds]
     rows = texts.select(*KEYS, "boilerplate", "weight", F.explode(F.concat(*found)).alias("h"))
     rows = rows.withColumn("near", F.lower(squish(F.col("h.context"))))
     rows = open_specs(
@@ -854,7 +866,7 @@ def finalise(raw: DataFrame, kinds: Iterable[str]) -> DataFrame:
 
     The dedupe is one aggregation per (page, scope, field, identity) with map-side combine.
     """
-    kinds = sorted(set(kinds))
+    kinds = tuple(sorted(set(kinds)))
     kind, context = F.col("type"), F.coalesce("context", F.lit(""))
 
     def accept(v: Column) -> Column:
@@ -867,7 +879,9 @@ def finalise(raw: DataFrame, kinds: Iterable[str]) -> DataFrame:
     # the expressions it rests on, into every branch of the union below.
     checked = raw.select(
         *[c for c in raw.columns if c not in ("value", "context")],
-        F.explode(let(K.normalize_value(kind, F.col("value"), kinds), accept)).alias("c"),
+        F.explode(
+            once(("finalise", kinds), lambda: let(K.normalize_value(kind, F.col("value"), kinds), accept))
+        ).alias("c"),
     )
     penalty = (
         F.when(F.col("boilerplate") & ~kind.isin(*FOOTER_FRIENDLY), 0.15).otherwise(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from factsieve.functions.kinds import EDGE_L, EDGE_R
+from factsieve.functions.memo import once
 from factsieve.functions.ontology import (
     NARROW_CHANNELS,
     SINGULAR_WORDS,
@@ -231,7 +232,11 @@ def preview_labels(specs: DataFrame, limit: int = 40) -> DataFrame:
 
 def spec_rows(spark: SparkSession, labels: list[str] | DataFrame) -> list[Row]:
     """Field specs of one request, on the driver: a request names a handful of labels."""
-    if not isinstance(labels, DataFrame):
-        labels = spark.createDataFrame(list(enumerate(labels)), "pos int, label string")
-    return parse_labels(labels).orderBy("pos").collect()
+    if isinstance(labels, DataFrame):
+        return parse_labels(labels).orderBy("pos").collect()
 
+    def parse() -> list[Row]:
+        given = spark.createDataFrame(list(enumerate(labels)), "pos int, label string")
+        return parse_labels(given).orderBy("pos").collect()
+
+    return once(("spec_rows", tuple(labels)), parse)

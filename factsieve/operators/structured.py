@@ -51,6 +51,53 @@ def _items(raw: Column) -> Column:
     return F.flatten(F.transform(open_array(raw), open_array))
 
 
+ENTRY_DDL = (
+    "page_id bigint, scope_id int, source string, seq array<int>, key string, path string, value string, "
+    "entity_type string, is_primary boolean"
+)
+
+
+def structured_nodes(nodes: DataFrame) -> DataFrame:
+    """Elements that carry JSON-LD or open a microdata item."""
+    return nodes.where(
+        F.col("item_json").isNotNull()
+        | ((F.col("tag") == "script") & (F.lower(attr_text("type")) == "application/ld+json"))
+    ).select("page_id")
+
+
+def _is_json(c: Column) -> Column:
+    """Is the text exactly one JSON value? (Parsers stop after the first one; inside brackets they cannot.)"""
+    return let(
+        F.concat(F.lit("["), c, F.lit("]")),
+        lambda w: F.try_parse_json(w).isNotNull() & (F.size(F.from_json(w, "array<string>")) == 1),
+    )
+
+
+@memo
+def _roots() -> Column:
+    """JSON values of one script, repaired where possible."""
+    salvaged = F.filter(
+        F.regexp_extract_all(F.col("json"), F.lit(r"\{[\s\S]*?\}(?=\s*(?:,|\]|\}|$))"), F.lit(0)),
+        _is_json,
+    )
+    repaired = F.regexp_replace("json", r",\s*([}\]])", "$1")
+    return (
+        F.when(_is_json(F.col("json")), _items(F.col("json")))
+        .when(_is_json(repaired), _items(repaired))
+        .otherwise(salvaged)
+    )
+
+
+@memo
+def _graph_members() -> Column:
+    """A graph wrapper stands for its members; it stays itself only when it says something of its own."""
+    graph = F.get_json_object("raw", "$['@graph']")
+    rest = F.map_filter(F.from_json("raw", "map<string,variant>"), lambda k, v: k != "@graph")
+    own = F.when(F.exists(F.map_keys(rest), lambda k: ~k.startswith("@")), F.array(F.to_json(rest))).otherwise(_strings())
+    wraps = ~F.coalesce(F.nullif(graph, F.lit("")), F.lit("null")).isin("null", "false", "0")
+    return F.when(_is_object(F.col("raw")) & wraps, F.concat(_items(graph), own)).otherwise(F.array("raw"))
+
+
 def jsonld_entities(nodes: DataFrame) -> DataFrame:
     """``(ent, raw)``: every JSON-LD node of a page, broken markup repaired where possible."""
     script = nodes.where(
@@ -59,28 +106,10 @@ def jsonld_entities(nodes: DataFrame) -> DataFrame:
     )
     text = F.regexp_replace("raw_text", r"^\s*<!\[CDATA\[", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\]\]>\s*$", ""), r"^\s+|\s+$", "")
-    salvaged = F.filter(
-        F.regexp_extract_all(F.col("json"), F.lit(r"\{[\s\S]*?\}(?=\s*(?:,|\]|\}|$))"), F.lit(0)),
-        lambda s: F.try_parse_json(s).isNotNull(),
-    )
-    repaired = F.regexp_replace("json", r",\s*([}\]])", "$1")
-    roots = (
-        F.when(F.try_parse_json(F.col("json")).isNotNull(), _items(F.col("json")))
-        .when(F.try_parse_json(repaired).isNotNull(), _items(repaired))
-        .otherwise(salvaged)
-    )
-    rows = script.withColumn("json", text).select(*KEYS, "node_id", F.posexplode(roots).alias("i", "raw"))
-    # A graph wrapper stands for its members; it stays itself only when it says something of its own.
+    rows = script.withColumn("json", text).select(*KEYS, "node_id", F.posexplode(_roots()).alias("i", "raw"))
     for level in ("g1", "g2"):
-        graph = F.get_json_object("raw", "$['@graph']")
-        rest = F.map_filter(F.from_json("raw", "map<string,variant>"), lambda k, v: k != "@graph")
-        own = F.when(F.exists(F.map_keys(rest), lambda k: ~k.startswith("@")), F.array(F.to_json(rest))).otherwise(_strings())
-        opened = F.when(
-            _is_object(F.col("raw")) & F.coalesce(F.nullif(graph, F.lit("")), F.lit("null")).isin("null", "false", "0").__invert__(),
-            F.concat(_items(graph), own),
-        ).otherwise(F.array("raw"))
         keep = [c for c in ("i", "g1") if c in rows.columns]
-        rows = rows.select(*KEYS, "node_id", *keep, F.posexplode(opened).alias(level, "raw"))
+        rows = rows.select(*KEYS, "node_id", *keep, F.posexplode(_graph_members()).alias(level, "raw"))
     return rows.where(_is_object(F.col("raw"))).select(
         *KEYS, F.lit("jsonld").alias("source"), F.array("node_id", "i", "g1", "g2").alias("ent"), "raw"
     )
@@ -99,8 +128,10 @@ def _field(m: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(m, F.lit(name)), F.lit(""))
 
 
-def _number_text(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^(-?\d+)\.0+$", "$1")
+def _number_text(value: Column, owner: Column) -> Column:
+    """Text of a scalar as JSON reads it: a number 4.0 is 4, a string "4.0" (quoted in its owner) stays."""
+    bare = value.rlike(r"^-?\d+\.0+$") & ~owner.contains(F.concat(F.lit('"'), value, F.lit('"')))
+    return F.when(bare, F.regexp_replace(value, r"\.0+$", "")).otherwise(value)
 
 
 def _address(m: Column, lower_types: Column) -> Column:
@@ -166,8 +197,8 @@ def _offer(m: Column) -> Column:
     )
     return F.when(
         amount.isNotNull(),
-        F.when(F.coalesce(currency, F.lit("")) != "", F.concat(currency, F.lit(" "), _number_text(amount)))
-        .otherwise(_number_text(amount)),
+        F.when(F.coalesce(currency, F.lit("")) != "", F.concat(currency, F.lit(" "), _number_text(amount, first)))
+        .otherwise(_number_text(amount, first)),
     )
 
 
@@ -233,7 +264,7 @@ def _level(depth: int) -> Column:
                             ),
                         )
                         .when(noise, rows_type)
-                        .otherwise(F.array(row("entry", e["key"], _number_text(v), none, primary)))
+                        .otherwise(F.array(row("entry", e["key"], _number_text(v, F.col("raw")), none, primary)))
                     )
 
                 return F.flatten(F.transform(_items(e["value"]), each))

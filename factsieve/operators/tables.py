@@ -37,6 +37,9 @@ class PageTables:
 
     @cached_property
     def entries(self) -> DataFrame:
+        # Most repeated blocks carry no structured data: look before planning seven levels of it.
+        if S.structured_nodes(self.nodes).isEmpty():
+            return self.nodes.sparkSession.createDataFrame([], S.ENTRY_DDL)
         return self._hold(S.page_entries(self.nodes))
 
     @cached_property

@@ -204,7 +204,7 @@ ORACLES: dict[str, str] = {
  when 1 then 'desk.' || c_custkey || '@shop.example' else c_name || ' , ' || c_mktsegment end as shown,
  case c_custkey % 3 when 0 then '+649' || lpad(c_custkey::varchar, 7, '0') when 1 then 'desk.' || c_custkey || '@shop.example'
  else lower(replace(c_name, '#', ' ') || ' ' || c_mktsegment) end as identity from customer""",
-    "map_coordinates": f"select s_suppkey, {_LAT} as latitude, {_LNG} as longitude, 1 as valid from supplier",
+    "map_coordinates": f"select s_suppkey, {_LAT} as latitude, case when s_suppkey % 3 = 2 then regexp_replace({_LNG}, '^2+(\\d+\\.)', '\\1') else {_LNG} end as longitude, 1 as valid from supplier",
     "social_profiles": """with u as (select c_custkey, ['www.facebook.com', 'instagram.com', 'x.com', 'uk.linkedin.com', 'pinterest.co.uk', 'notfacebook.com'][(c_custkey % 6 + 1)::int] as h,
  c_custkey % 5 in (0, 4) as own from customer)
  select c_custkey, (own and h = 'www.facebook.com')::int as facebook, (own and h = 'instagram.com')::int as instagram, (own and h = 'x.com')::int as twitter,
@@ -247,9 +247,7 @@ ORACLES: dict[str, str] = {
  case when {valid_text('h1', 2, 160)} then 0.75::double when {valid_text('short', 2, 160)} then 0.7::double when {valid_text('title', 2, 160)} then 0.6::double else 0::double end as confidence from n""",
     "supplier_cards": f"""with {_CARDS} select record_index, s_name as name, phone as phone_number, 'No.' || s_suppkey || ', Market Road, ' || n_name as address,
  'http://dir.example/suppliers/' || page_id as source_url from cards where n >= 3""",
-    "supplier_coverage": f"""with {_CARDS}, g as (select page_id, s_suppkey % 5 = 0 as hidden, count(*) over (partition by page_id, s_suppkey % 5 = 0) as same from cards),
- k as (select page_id, hidden from g where not hidden)
- select page_id as site, field_key, found_in, "of", floor(found_in * 100.0 / "of" + 0.5)::int as percent from (
+    "supplier_coverage": f"""with {_CARDS} select page_id as site, field_key, found_in, "of", floor(found_in * 100.0 / "of" + 0.5)::int as percent from (
  select page_id, 'name' as field_key, count(*) as found_in, count(*) as "of" from cards group by 1 union all
  select page_id, 'address', count(*), count(*) from cards group by 1 union all
  select page_id, 'phone_number', count(*) filter (where s_suppkey % 5 <> 0), count(*) from cards group by 1)""",
@@ -298,6 +296,9 @@ ORACLES: dict[str, str] = {
     "site_answers": " union all ".join(
         f"select 'http://c' || c_custkey || '.example/' as site, '{k}' as field_key, {v} as value, 'http://c' || c_custkey || '{u}' as source_url, {c}::double as confidence, 2::bigint as pages, 1::int as depth, 'ok' as status from customer"
         for k, v, u, c in (("business_name", "c_name", ".example", "0.75"), ("phone_number", "'+64 9 ' || lpad(c_custkey::varchar, 7, '0')", ".example/contact.html", "0.74"))),
+    "link_relevance": """select c_custkey * 4 as page_id, 0 as rank, 'http://c' || c_custkey || '.example/contact.html' as url, 1.895::double as score,
+ 'path matches contact; likely page for these fields (/contact); link text mentions contact; common section page (/contact)' as reasons from customer
+ union all select c_custkey * 4, 1, 'http://c' || c_custkey || '.example/about-us', 0.805::double, 'likely page for these fields (/about); common section page (/us)' from customer""",
     "fetch_outcomes": """with e as (select event_id, event_id % 4 as attempt, [200, 404, 429, 503, 401, 403, 0, 0, 522, 302][(event_id % 10 + 1)::int] as status,
  event_id % 10 + 1 as n, case when event_id % 7 = 0 then event_id % 50 end as ra from events),
  o as (select *, case when status = 200 then 'ok' when n = 7 then 'timeout' when n = 8 then 'network' when status = 429 then 'rate_limited' when status = 401 then 'login_required'
@@ -318,8 +319,8 @@ ORACLES: dict[str, str] = {
  k as (select j.*, a.n as sn, floor(b.n * (b.page_id % 3) / 2) as rn, a.page_id % 4 as sg, b.page_id % 5 as rg from j join p a on a.page_id = sid join p b on b.page_id = rid)
  select url_key, case when rn > sn * 0.5 and rg >= sg then rid + 1000000 else sid end as page_id, case when rn > sn * 0.5 and rg >= sg then 'playwright' else 'static' end as renderer from k""",
     "place_errors": """select event_id, case when event_id % 3 = 0 then 'auth' else ['bad_request', 'auth', 'auth', 'rate_limited', 'http_error'][(event_id % 5 + 1)::int] end as error_type from events""",
-    "place_sheets": """with p as (select n_name, s_suppkey, s_name, row_number() over (partition by n_name order by s_suppkey) - 1 as record_index from supplier join nation on s_nationkey = n_nationkey),
- k as (select * from p where record_index < 60)
+    "place_sheets": """with p as (select n_name, s_suppkey, s_name, row_number() over (partition by n_name order by s_suppkey) as rn from supplier join nation on s_nationkey = n_nationkey),
+ k as (select *, rn - 1 as record_index from p where rn <= 60)
  select n_name as site, record_index::int as record_index, field_key, value, case when value = '' then 0::double else 0.95::double end as confidence from (
  select *, 'name' as field_key, s_name as value from k union all select *, 'address', s_suppkey || ' Dock Road' from k union all
  select *, 'phone_number', case when s_suppkey % 2 = 0 then '09 ' else '+64 9 ' end || lpad(s_suppkey::varchar, 7, '0') from k union all

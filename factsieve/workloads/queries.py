@@ -244,10 +244,10 @@ def page_next(spark, sf):
 
 
 def link_relevance(spark, sf):
-    t = _tables(table(spark, sf, "pages"))
-    specs = labels.spec_rows(spark, ["Phone Number", "Gallery Images", "Price"])
+    pages = R.customer_sites(spark, sf)
+    t = _tables(pages.select("page_id", "url", "html"))
     roots = t.pages.select("page_id", F.col("url").alias("root_url"))
-    out = links.discover_links(t.links, specs, roots)
+    out = links.discover_links(t.links, labels.spec_rows(spark, ["Phone Number"]), roots)
     return out.select("page_id", "rank", "url", T.round_half_up(F.col("score"), 1000).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 

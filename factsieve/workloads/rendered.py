@@ -35,12 +35,14 @@ def supplier_pages(spark: SparkSession, sf_dir: str, drop_phone_every: int | Non
     )
     key = F.col("s_suppkey")
     number = text("09-42", pad(key, 7))
+    name, street = F.col("s_name"), text("No.", key, ", Market Road, ", F.col("n_name"))
     phone = text('<p class="tel"><a href="tel:', F.replace(number, F.lit("-"), F.lit("")), '">', number, "</a></p>")
     if drop_phone_every:
+        # digits would read as a phone number where the real one is left out
+        name, street = text("Store ", F.translate(key.cast("string"), "0123456789", "abcdefghij")), text("Market Road, ", F.col("n_name"))
         phone = F.when(key % drop_phone_every == 0, text('<p class="tel"><i>not listed</i></p>')).otherwise(phone)
     card = text(
-        '<div class="card card-', key, '"><h4>', F.col("s_name"), '</h4>', phone, '<p class="addr">No.', key,
-        ", Market Road, ", F.col("n_name"), "</p></div>",
+        '<div class="card card-', key, '"><h4>', name, "</h4>", phone, '<p class="addr">', street, "</p></div>",
     )
     block = F.floor(key / CARDS_PER_PAGE)
     cards = suppliers.groupBy(block.alias("page_id")).agg(
@@ -134,10 +136,13 @@ def customer_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     contact = document("", text("<h1>Contact</h1><dl><dt>Telephone</dt><dd>+64 9 ", pad(key, 7), "</dd></dl>"))
     about = document("", "<h1>About</h1><p>We sell things to people.</p>")
+    def one(n: int, url: Column, html: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), url.alias("url"), html.alias("html"))
+
     page = F.explode(
         F.array(
-            F.struct(F.lit(0).alias("n"), site.alias("url"), root.alias("html")), F.struct(F.lit(1), text(site, "/contact.html"), contact),
-            F.struct(F.lit(2), text(site, "/about-us"), about), F.struct(F.lit(3), text(site, "/terms"), about),
+            one(0, site, root), one(1, text(site, "/contact.html"), contact), one(2, text(site, "/about-us"), about),
+            one(3, text(site, "/terms"), about),
         )
     )
     return customer.select(key, page.alias("p")).select(
