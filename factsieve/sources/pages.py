@@ -45,7 +45,8 @@ def filter_html(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cap_html(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Bodies cut at ``max_bytes`` bytes, as the fetcher's reader does; ``truncated`` says which."""
     too_long = F.octet_length("html") > max_bytes
-    cut = F.decode(F.substring(F.encode("html", "UTF-8"), 1, max_bytes), "UTF-8")
+    # a character split by the cut becomes the replacement character, as in a streaming decoder
+    cut = F.make_valid_utf8(F.substring(F.encode("html", "UTF-8"), 1, max_bytes).cast("string"))
     return pages.withColumn("truncated", too_long).withColumn(
         "html", F.when(too_long, cut).otherwise(F.col("html"))
     )
@@ -83,8 +84,8 @@ def read_places(batches: DataFrame, max_results: int = 20) -> tuple[DataFrame, D
     wanted = min(max_results, MAX_PLACES)
     order = W.partitionBy("query").orderBy("batch", "i")
     rows = batches.select(squish(F.col("query")).alias("query"), "batch", F.posexplode("places").alias("i", "p"))
-    places = rows.withColumn("place_pos", F.row_number().over(order) - 1).where(F.col("place_pos") < wanted).select(
-        "query", "place_pos", "p.*"
+    places = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= wanted).select(
+        "query", (F.col("rn") - 1).alias("place_pos"), "p.*"
     )
     text = f"Google returns at most {MAX_PLACES} results for a text search; asked for {max_results}."
     warned = batches.select("query").distinct().where(F.lit(max_results > MAX_PLACES)).withColumn("message", F.lit(text))

@@ -333,13 +333,13 @@ ORACLES: dict[str, str] = {
  y as (select page_id, case when status = 403 then 'blocked' when status = 429 then 'rate_limited' when sign = 2 then 'captcha' when length(text) < 1200 and sign = 0 then 'captcha'
  when sign = 1 then 'paywall' end as type, case when status <> 200 then status::varchar when sign = 2 then 'g-recaptcha' when length(text) < 1200 and sign = 0 then 'verify you are human'
  when sign = 1 then 'subscribe to continue reading' end as marker from x) select page_id, type, marker from y where type is not null""",
-    "grounding": f"""with c as (select conv_id, turn, text, string_split({squish('text')}, ' ') as w from conversations),
- v as (select distinct conv_id as site, unnest([{squish("array_to_string(w[1:3], '  ')")}, reverse(w[1]) || 'qx']) as value, unnest([false, true]) as quoted from c),
- j as (select v.*, c.turn, contains(lower({squish('c.text')}), lower(v.value)) as verbatim,
+    "grounding": f"""with c as (select conv_id, conv_id || '/' || (turn // 5) as site, turn, text, string_split({squish('text')}, ' ') as w from conversations),
+ v as (select distinct site, unnest([{squish("array_to_string(w[1:3], '  ')")}, reverse(w[1]) || 'qx']) as value, unnest([false, true]) as quoted from c),
+ j as (select v.*, c.turn, c.conv_id, contains(lower({squish('c.text')}), lower(v.value)) as verbatim,
  contains(regexp_replace(lower(c.text), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), regexp_replace(lower(v.value), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) and length(regexp_replace(lower(v.value), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) >= 3 as loose
- from v join c on c.conv_id = v.site where v.value <> '')
+ from v join c on c.site = v.site where v.value <> '')
  select site, value, bool_or(verbatim or loose)::int as grounded, case when bool_or(verbatim or loose) then '' when quoted then 'neither the value nor its claimed snippet appears in the page extract'
- else 'value is not present verbatim in the page extract' end as reason, 'http://conv.example/' || site || '/' || arg_min(turn, case when verbatim then turn else turn + 1000000 end) as source_url
+ else 'value is not present verbatim in the page extract' end as reason, 'http://conv.example/' || any_value(conv_id) || '/' || arg_min(turn, case when verbatim then turn else turn + 1000000 end) as source_url
  from j group by site, value, quoted""",
     "crawl_changes": """with e as (select 'http://u' || user_id || '.example/' as url_key, ts, event_type from events),
  l as (select *, lag(event_type) over (partition by url_key order by ts) as before from e)

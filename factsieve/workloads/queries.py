@@ -404,15 +404,20 @@ def snapshot_choice(spark, sf):
 
 # ---- external matcher and places ------------------------------------------------------------
 
+def _site() -> Column:
+    """A site is read at most five pages deep, so five turns make one."""
+    return text(F.col("conv_id"), "/", F.floor(F.col("turn") / 5))
+
+
 def _digests(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("site"), F.col("turn").alias("visit"), text("http://conv.example/", F.col("conv_id"), "/", F.col("turn")).alias("url"), F.col("text").alias("digest"))
+        _site().alias("site"), F.col("turn").alias("visit"), text("http://conv.example/", F.col("conv_id"), "/", F.col("turn")).alias("url"), F.col("text").alias("digest"))
 
 
 def grounding(spark, sf):
     words = F.split(T.squish(F.col("text")), " ")
     replies = table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("site"),
+        _site().alias("site"),
         F.to_json(F.struct(F.array(
             F.struct(F.lit("city").alias("key"), F.array_join(F.slice(words, 1, 3), "  ").alias("value"), F.lit(None).cast("string").alias("snippet")),
             F.struct(F.lit("city").alias("key"), F.concat(F.reverse(F.element_at(words, 1)), F.lit("qx")).alias("value"), F.lit("no such words here").alias("snippet")),
@@ -432,7 +437,7 @@ def match_requests(spark, sf):
 
 
 def place_sheets(spark, sf):
-    s = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     key = F.col("s_suppkey")
     place = F.struct(
         text("id", key).alias("id"), F.struct(F.col("s_name").alias("text")).alias("displayName"), text(key, " Dock Road").alias("formattedAddress"),

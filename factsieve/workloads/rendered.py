@@ -31,7 +31,7 @@ def document(head: Column | str, body: Column | str) -> Column:
 def supplier_pages(spark: SparkSession, sf_dir: str, drop_phone_every: int | None = None) -> DataFrame:
     """A directory page per 64 supplier keys, one card per supplier."""
     suppliers = table(spark, sf_dir, "supplier").join(
-        F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
     key = F.col("s_suppkey")
     number = text("09-42", pad(key, 7))
