@@ -8,6 +8,7 @@ generators some requested kind needs enter the plan.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Row
@@ -57,10 +58,20 @@ _SPEC_SCHEMA = (
     "array<struct<key:string,label:string,label_lower:string,type:string,plural:boolean,social:string,bare:string,"
     "label_tokens:array<string>,keywords:array<string>,spellings:array<string>,hunting:array<string>,"
     "near_words:array<string>,narrow:array<string>,schema_keys:array<string>,wanted:array<string>,"
-    "meta_keys:array<string>,entity_types:array<string>,attr_hints:array<string>>>"
+    "meta_keys:array<string>,entity_types:array<string>,attr_hints:array<string>,"
+    "label_grams:array<string>,schema_grams:array<struct<bare:string,grams:array<string>>>>>"
 )
 
 
+def _bare(word: str) -> str:
+    return re.sub("[^a-z0-9]+", "", word.lower())
+
+
+def _grams(bare: str) -> list[str]:
+    padded = f"  {bare} "
+    return list(dict.fromkeys(padded[i:i + 3] for i in range(len(padded) - 2)))
+
+
 def spec_json(specs: Iterable[Row]) -> str:
     rows = []
     for s in specs:
@@ -72,7 +83,9 @@ def spec_json(specs: Iterable[Row]) -> str:
                 hunting=[k for k in vocabulary if len(k) >= 3], near_words=[k for k in s.keywords if len(k) >= 3],
                 narrow=s.narrow, schema_keys=s.schema_keys,
                 wanted=list(dict.fromkeys([*s.schema_keys, *KIND_KEYS.get(s.type, "").split()])),
-                meta_keys=s.meta_keys, entity_types=s.entity_types, attr_hints=s.attr_hints,
+                meta_keys=s.meta_keys, entity_types=s.entity_types, attr_hints=s.attr_hints, bare=_bare(s.label),
+                label_grams=_grams(_bare(s.label)),
+                schema_grams=[dict(bare=_bare(k), grams=_grams(_bare(k))) for k in s.schema_keys],
             )
         )
     return json.dumps(rows)
@@ -129,11 +142,20 @@ def every(_: Column) -> Column:
 
 def with_label(frame: DataFrame, label: Column) -> DataFrame:
     """Prepares a page label for :func:`label_match`: its text and its words, once per row."""
-    return frame.withColumn("m_text", F.regexp_replace(F.lower(squish(label)), r"[:：]\s*$", "")).withColumn(
-        "m_tokens", tokens(F.col("m_text"))
+    text = F.regexp_replace(F.lower(squish(label)), r"[:：]\s*$", "")
+    return (
+        frame.withColumn("m_text", F.when(F.length(text) <= 80, text).otherwise(F.lit("")))
+        .withColumns({"m_tokens": tokens(F.col("m_text")), "m_bare": alnum(F.col("m_text"))})
+        .withColumn("m_grams", grams(F.col("m_bare")))
     )
 
 
+def near_dice(word_a: Column, grams_a: Column, word_b: Column, grams_b: Column) -> Column:
+    """Trigram similarity where it can reach 0.7 at all (twice the smaller set over both sizes), else 0."""
+    reachable = 2.0 * F.least(F.size(grams_a), F.size(grams_b)) / (F.size(grams_a) + F.size(grams_b)) >= 0.7
+    return F.when(reachable, gram_dice(word_a, grams_a, word_b, grams_b)).otherwise(F.lit(0.0))
+
+
 def label_match(spec: Column) -> Column:
     """How well the prepared label names a field: 0 (not at all) to 1.1 (the very label)."""
     text, words = F.col("m_text"), F.col("m_tokens")
@@ -145,7 +167,7 @@ def label_match(spec: Column) -> Column:
                 F.lit(0.45) + F.least(F.lit(0.3), longest / 12 * 0.3)
                 + F.least(F.lit(0.25), F.size(hits) / F.greatest(F.lit(1), F.size(words)) * 0.5)
             )
-            sim = let(alnum(text), lambda a: let(alnum(spec["label"]), lambda b: gram_dice(a, grams(a), b, grams(b))))
+            sim = near_dice(F.col("m_bare"), F.col("m_grams"), spec["bare"], spec["label_grams"])
             return (
                 F.when(F.size(hits) > 0, F.least(F.lit(1.0), strength))
                 .when(cover >= 0.5, cover * 0.6)
@@ -157,7 +179,7 @@ def label_match(spec: Column) -> Column:
         )
 
     return (
-        F.when((text == "") | (F.length(text) > 80) | (F.size(words) == 0), F.lit(0.0))
+        F.when((text == "") | (F.size(words) == 0), F.lit(0.0))
         .when(text == spec["label_lower"], F.lit(1.1))
         .when(F.array_contains(spec["spellings"], text), F.lit(1.05))
         .otherwise(let(token_overlap(spec["label_tokens"], words), scored))
@@ -222,7 +244,7 @@ def from_structured(t: PageTables, specs: list[Row]) -> DataFrame:
 
     def score(s: Column) -> Column:
         def near_key(k: Column) -> Column:
-            return let(alnum(k), lambda b: gram_dice(b, grams(b), F.col("bare"), F.col("bare_grams")))
+            return near_dice(k["bare"], k["grams"], F.col("bare"), F.col("bare_grams"))
 
         narrow_ok = (F.size(s["narrow"]) == 0) | F.exists(s["narrow"], lambda c: F.col("place").contains(c))
         entity_ok = (
@@ -231,7 +253,7 @@ def from_structured(t: PageTables, specs: list[Row]) -> DataFrame:
         )
         similar = F.greatest(
             token_overlap(s["keywords"], F.col("key_tokens")),
-            F.coalesce(F.array_max(F.transform(s["schema_keys"], near_key)), F.lit(0.0)),
+            F.coalesce(F.array_max(F.transform(s["schema_grams"], near_key)), F.lit(0.0)),
         )
         tier = F.when(
             F.array_contains(s["wanted"], key), F.when(primary, TIER["entry_primary"]).otherwise(TIER["entry"])

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from factsieve.sources.staging import spread
+
 # Executors get this module with the task, so nothing has to be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -384,4 +386,4 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def explode_nodes(pages: DataFrame) -> DataFrame:
     """One row per element of every page (``page_id``, ``html`` are the only columns read)."""
-    return pages.select("page_id", "html").mapInArrow(_explode, NODE_DDL)
+    return spread(pages.select("page_id", "html")).mapInArrow(_explode, NODE_DDL)

@@ -26,6 +26,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Use every core of one machine on an input of a few unsplittable files.
+
+    On a cluster a corpus comes in many splits and is left where it is.
+    """
+    context = frame.sparkSession.sparkContext
+    return frame.repartition(context.defaultParallelism) if context.master.startswith("local") else frame
+
+
 def cut(frame: DataFrame, *keys: str) -> DataFrame:
     """Write ``frame`` to the checkpoint folder, hash-partitioned by ``keys``, and go on from there.
 

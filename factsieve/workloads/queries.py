@@ -19,6 +19,7 @@ from factsieve.plans.options import Options
 from factsieve.sources import pages as sources
 from factsieve.sources import sinks
 from factsieve.sources.nodes import explode_nodes
+from factsieve.sources.staging import spread
 from factsieve.workloads import rendered as R
 from factsieve.workloads.rendered import table, text
 
@@ -77,7 +78,7 @@ def seed_check(spark, sf):
 
 def text_clean(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.md5(T.squish(t)).alias("squished"), F.md5(T.squish_block(t)).alias("blocks"), T.truncate(t, 40).alias("short"),
     )
 
@@ -85,7 +86,7 @@ def text_clean(spark, sf):
 def text_tokens(spark, sf):
     t = F.col("text")
     words = T.tokens(t)
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.size(T.tokens(t, keep_stopwords=True)).alias("n_raw"), F.md5(_joined(words)).alias("tokens"),
         T.to_key(F.concat_ws(" ", "source", "lang")).alias("key"),
     )
@@ -101,7 +102,7 @@ def trigram_names(spark, sf):
 
 
 def _found(spark, sf, found: Callable, keep: Callable, shown: Callable) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return docs.select("doc_id", F.explode(F.array_distinct(found(F.col("text")))).alias("raw")).where(keep(F.col("raw"))).select(
         "doc_id", shown(F.col("raw")).alias("value")
     ).distinct()
@@ -123,7 +124,8 @@ def doc_prices(spark, sf):
 
 def line_kinds(spark, sf):
     line = F.col("line")
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = F.transform(F.split("text", "\n"), T.squish)
+    rows = spread(table(spark, sf, "documents")).select("doc_id", F.explode(lines).alias("line"))
     flags = dict(
         n_text=K.valid_text(line), n_name=K.valid_name(line), n_description=K.valid_description(line), n_address=K.valid_address(line),
         n_list=K.valid_list_item(line), n_date=K.valid_date(line), n_rating=K.valid_rating(line), n_number=K.valid_number(line), n_hours=K.valid_hours(line),
