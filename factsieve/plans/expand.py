@@ -5,11 +5,12 @@ As in the walk, one step moves every site one page on; a site's queue, visited s
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from factsieve.functions.urls import normalize_url, site_root
-from factsieve.operators.cascade import json
 from factsieve.operators.links import MIN_LINK_SCORE, NEXT_SCHEMA, link_features, link_score, usable_next
 from factsieve.plans.options import Options, page_budget
 from factsieve.sources.staging import cut

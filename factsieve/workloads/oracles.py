@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factsieve.functions import kinds as K
-from factsieve.functions.ontology import _ENTRIES, SOCIAL_RULES, SINGULAR_WORDS, TYPE_RULES
+from factsieve.functions.ontology import ENTRIES, SOCIAL_RULES, SINGULAR_WORDS, TYPE_RULES
 from factsieve.functions.text import STOP_WORDS
 from factsieve.functions.urls import NON_HTML_EXTENSIONS, TRACKING_PARAM
 from factsieve.workloads.rendered import CARDS_PER_PAGE, ORDERS_PER_PAGE, PAGES_PER_WALK
@@ -108,7 +108,7 @@ def valid_phone(s: str, context: bool) -> str:
 
 def _alias_rows() -> str:
     rows: dict[str, tuple[str, int]] = {}
-    for pos, e in enumerate(_ENTRIES):
+    for pos, e in enumerate(ENTRIES):
         for at, alias in enumerate([e["kind"].replace("_", " "), *e["aliases"].lower().split("|")]):
             rows[alias] = (e["kind"], rows.get(alias, ("", pos * 1000 + at))[1])
     return ", ".join(f"({q(a)}, {q(k)}, {p})" for a, (k, p) in rows.items())

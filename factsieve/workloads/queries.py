@@ -11,8 +11,7 @@ from factsieve.functions import kinds as K
 from factsieve.functions import text as T
 from factsieve.functions import urls as U
 from factsieve.functions.ontology import alias_index, ontology
-from factsieve.operators import classify, fetching, images, labels, links, matching, page, places, records, select, structured
-from factsieve.operators.cascade import resolve
+from factsieve.operators import classify, fetching, labels, links, matching, page, places, records, select, structured
 from factsieve.operators.tables import PageTables
 from factsieve.plans import extract as run
 from factsieve.plans.options import Options

@@ -211,7 +211,7 @@ def test_matcher_tables(spark):
 
 
 def test_places(spark):
-    names = ["Name", "International Phone", "Phone Number", "Rating", "Reviews", "PlaceID", "Google Maps Link", "Photo", "Warranty Period"]
+    names = ["Name", "International Phone", "Phone Number", "Rating", "Reviews", "PlaceID", "Maps", "Photo", "Warranty Period"]
     mapping = places.map_place_fields(parse_labels(spark.createDataFrame(list(enumerate(names)), "pos int, label string"))).orderBy("pos").collect()
     assert [m.place_field for m in mapping] == ["name", "phone_international", "phone", "rating", "review_count", "place_id", "maps_url", "photo", None]
     rows = spark.createDataFrame(
