@@ -65,7 +65,7 @@ def selector() -> Column:
 
 def stage_nodes(nodes: DataFrame) -> DataFrame:
     """Hash-partition element rows by page once and store them: every operator below reads this table."""
-    return cut(nodes, "page_id")
+    return cut(nodes, "page_id", keep_partitioning=True)
 
 
 def page_scope(nodes: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ class PageTables:
 
     def __init__(self, pages: DataFrame, nodes: DataFrame, bases: DataFrame | None = None):
         self.pages, self.nodes = pages, nodes
-        self.bases = bases if bases is not None else cut(P.base_urls(pages, nodes), "page_id")
+        self.bases = bases if bases is not None else cut(P.base_urls(pages, nodes), "page_id", keep_partitioning=True)
 
     @staticmethod
     def _hold(frame: DataFrame) -> DataFrame:
-        return cut(frame)
+        return cut(frame, keep_partitioning=True)
 
     @cached_property
     def meta(self) -> DataFrame:

@@ -35,13 +35,21 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(context.defaultParallelism) if context.master.startswith("local") else frame
 
 
-def cut(frame: DataFrame, *keys: str) -> DataFrame:
+def cut(frame: DataFrame, *keys: str, keep_partitioning: bool = False) -> DataFrame:
     """Write ``frame`` to the checkpoint folder, hash-partitioned by ``keys``, and go on from there.
 
-    The partitioning stays known to the planner, so joins and windows on ``keys`` need no further shuffle.
+    With ``keep_partitioning`` this one write is planned without adaptive execution, whose plans do not tell
+    their partitioning; joins and windows on the keys then need no further shuffle.
     """
     spark = frame.sparkSession
     checkpoint_folder(spark)
     if keys:
         frame = frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-    return frame.checkpoint(eager=True)
+    if not keep_partitioning:
+        return frame.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return frame.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
