@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -46,10 +47,15 @@ def cut(frame: DataFrame, *keys: str, keep_partitioning: bool = False) -> DataFr
     if keys:
         frame = frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     if not keep_partitioning:
-        return frame.checkpoint(eager=True)
+        return _renamed(frame.checkpoint(eager=True))
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return frame.checkpoint(eager=True)
+        return _renamed(frame.checkpoint(eager=True))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _renamed(frame: DataFrame) -> DataFrame:
+    """Columns of their own: a checkpoint carries its source's attribute ids, which clash in a join with that source."""
+    return frame.select(*[F.col(f"`{c}`").alias(c) for c in frame.columns])
