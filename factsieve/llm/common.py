@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factsieve.sources.staging import checkpoint_folder
 
@@ -31,6 +32,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_batches(frame: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for any column names; ``step`` takes columns by position."""
+    return frame.toDF(*[f"c{i}" for i in range(len(frame.columns))]).mapInArrow(step, schema)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of every value of a string column; null reads as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -107,3 +113,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: i
         out[at:to] = (sums[e] - sums[s]) * inverse[s]
         at = to
     return out ^ (out >> np.uint64(31))
+
+
+def key_filter(keys: DataFrame, name: str, bits: int) -> np.ndarray:
+    """A Bloom filter of the bigint column ``name``: ``bits`` (a power of two) flags, whatever the number of keys."""
+    places = F.explode(F.array(F.col(name).bitwiseAND(bits - 1), F.shiftrightunsigned(name, 32).bitwiseAND(bits - 1)))
+    words = keys.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(values: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which values may be keys of the filter; no key is ever missed."""
+    values = values.view(np.uint64)
+    found = np.ones(len(values), bool)
+    for place in (values & np.uint64(64 * len(words) - 1), (values >> np.uint64(32)) & np.uint64(64 * len(words) - 1)):
+        found &= (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+    return found

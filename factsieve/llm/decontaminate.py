@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.llm.common import ALNUM, ASCII_LOWER, col, groups_by_size, text_bytes, word_edges, word_hashes
+from factsieve.llm.common import ALNUM, ASCII_LOWER, col, groups_by_size, map_batches, text_bytes, word_edges, word_hashes
 
 #: Spans of hit words (end exclusive) and longest matches, both by word positions from 0.
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -204,10 +204,12 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 13, t
 
 
 def _through(frame: DataFrame, rows: list[tuple[str, bytes]], window: int, text: str) -> DataFrame:
+    names = frame.columns
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(rows, window)
         for batch in batches:
-            texts = text_bytes(batch.column(batch.schema.names.index(text)))
+            texts = text_bytes(batch.column(names.index(text)))
             counts: list[int] = []
             spans: list[list] = []
             matches: list[list] = []
@@ -216,15 +218,15 @@ def _through(frame: DataFrame, rows: list[tuple[str, bytes]], window: int, text:
                 counts += c
                 spans += s
                 matches += m
-            before = batch.column(batch.schema.names.index("matches")).to_pylist() if batch.num_rows else []
+            before = batch.column(names.index("matches")).to_pylist() if batch.num_rows else []
             if any(before):
-                earlier = batch.column(batch.schema.names.index("spans")).to_pylist()
+                earlier = batch.column(names.index("spans")).to_pylist()
                 matches = [[tuple(x.values()) for x in b or ()] + m for b, m in zip(before, matches, strict=True)]
                 spans = [merged([tuple(x.values()) for x in b or ()] + s) for b, s in zip(earlier, spans, strict=True)]
             made = {"n_words": counts, "spans": [[dict(zip(("start", "end"), x, strict=True)) for x in s] for s in spans], "matches": [[dict(zip(("item_id", "item_word", "doc_word", "n_words"), x, strict=True)) for x in m] for m in matches]}
-            yield pa.RecordBatch.from_arrays([pa.array(made[n], _ARROW[n]) if n in made else batch.column(k) for k, n in enumerate(batch.schema.names)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(made[n], _ARROW[n]) if n in made else batch.column(k) for k, n in enumerate(names)], names=names)
 
-    return frame.mapInArrow(step, frame.schema)
+    return map_batches(frame, step, frame.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import decontaminate, simhash
+from factsieve.llm import decontaminate, langid, repeats, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    said = langid.predict(documents.select("doc_id", "text"), langid.train(documents))
+    return said.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.digest(decontaminate.find_matches(documents, table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op6_decontaminate": op6_decontaminate,
+    "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
 }

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.llm.common import ASCII_LOWER, col, stage, text_bytes
+from factsieve.llm.common import ASCII_LOWER, col, map_batches, stage, text_bytes
 from factsieve.llm.components import stars
 
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(documents: DataFrame, text: str = "text", name: str = "fp", wor
             own = pa.array([fingerprint(t, words) for t in text_bytes(batch.column(len(kept)))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], own], names=[*kept, name])
 
-    return documents.select(*[col(c) for c in kept], col(text)).mapInArrow(step, schema)
+    return map_batches(documents.select(*[col(c) for c in kept], col(text)), step, schema)
 
 
 def _codes(power: int) -> np.ndarray:

@@ -60,5 +60,6 @@ def test_awkward_rows_and_empty_tables(spark, awkward, no_rows):
     assert kept.columns == awkward.columns and kept.count() == awkward.count() - 1
     assert decontaminate(no_rows, items).count() == 0
     assert decontaminate(awkward, items.limit(0)).count() == awkward.count()
+    assert find_matches(awkward, items).where("size(spans) > 0").count() == 1
     clash = awkward.withColumnsRenamed({"n.words": "spans"}).select("*", "n_chars", "spans").select("doc_id", "text", "spans")
     assert find_matches(clash, items).where("size(spans) > 0").count() == 1

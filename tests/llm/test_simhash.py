@@ -84,5 +84,6 @@ def test_one_of_each_group_stays(spark, awkward, no_rows):
     assert len(kept) == len(set(want.values()))
     assert sum(r.doc_id == 0 for r in kept) == 1 and simhash.keep_one(no_rows).count() == 0
     assert simhash.near_duplicates(no_rows).count() == 0
+    assert simhash.fingerprints(awkward).columns == [c for c in awkward.columns if c != "text"] + ["fp"]
     nulls = [r for r in simhash.near_duplicates(awkward).collect() if r.doc_id is None]
     assert {r.component_id for r in nulls} == {None, 0}
