@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factsieve.llm import decontaminate, simhash
+from factsieve.llm import decontaminate, langid, mixing, repeats, simhash
+from factsieve.llm.common import stage
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go."""
+    return langid.keep_identified(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,24 +18,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that start anywhere else are cut out; documents of nothing else go."""
+    return repeats.remove_repeats(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words in benchmark passages go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document left with its slot in the mixture of sources; the order of training is by ``slot, in_block``."""
+    return mixing.interleave(docs.select("doc_id", "source", "lang", "n_chars"))
+
+
 STAGES = [
+    ("language ID", language),
     ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
     ("benchmark decontamination", decontamination),
+    ("mixing sources", mixture),
 ]
 
-#: Fingerprints, suffix arrays and learned models are beyond SQL; tests compare each stage with a brute-force version.
+#: Learned models, suffix buckets and fingerprints are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents, each written as Parquet and read again."""
-    from factsieve.llm.common import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)

@@ -1,6 +1,14 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes, sha1(encode(h)) as payload_digest from p),
+t as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) else page_id end as top from d)
+select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+    case when page_id <> top then top end as refers_to
+from t
+""",
     "op6_decontaminate": r"""
 with d as (
     select doc_id, row_number() over () as r,

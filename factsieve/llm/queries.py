@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import decontaminate, langid, repeats, simhash
+from factsieve.llm import decontaminate, langid, mixing, repeats, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     said = langid.predict(documents.select("doc_id", "text"), langid.train(documents))
     return said.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.interleave(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.digest(decontaminate.find_matches(documents, table(spark, sf_dir, "benchmark")))
@@ -33,7 +41,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op5_mixing": op5_mixing,
     "op6_decontaminate": op6_decontaminate,
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
