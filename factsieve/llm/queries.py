@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import decontaminate, langid, mixing, repeats, simhash, warc
+from factsieve.llm import decontaminate, langid, licences, mixing, repeats, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text").withColumns({"base_labels": F.array_join("base_labels", ","), "labels": F.array_join("labels", ",")})
+
+
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
@@ -47,4 +52,5 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
+    "op10_licences": op10_licences,
 }
