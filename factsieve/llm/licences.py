@@ -193,7 +193,7 @@ SENTENCES = (
     ("cc0", "waive", r"waived all copyright and related or neighboring rights"),
     ("cc-by", "creative", r"(?:this work is )?licensed under a creative commons attribution [34] 0"),
     ("json", "evil", r"the software shall be used for good not evil"),
-    ("beerware", "beer", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("beerware", "retain", r"as long as you retain this notice you can do whatever you want with this stuff"),
     ("proprietary", "reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"confidential and proprietary"),
     ("proprietary", "prohibited", r"unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document|work) .{0,60}?(?:is )?(?:strictly )?prohibited"),
