@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import decontaminate, langid, licences, mixing, repeats, simhash, warc
+from factsieve.llm import decontaminate, langid, licences, mixing, quality, repeats, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(documents, quality.learn(quality.labelled(documents, table(spark, sf_dir, "labels"))))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -48,6 +53,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_decontaminate": op6_decontaminate,
     "op8_repeats": op8_repeats,
