@@ -8,6 +8,13 @@ t as (select *, case when payload_bytes >= 1000 then max(page_id) over (partitio
 select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
     case when page_id <> top then top end as refers_to
 from t
+""",
+    "op7_main_text": r"""
+with a as (select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') as parts from pages),
+b as (select page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g')) as parts from a),
+c as (select page_id, url, list_transform(parts, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) as parts from b),
+d as (select page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as parts from c)
+select page_id, url, array_to_string(parts, chr(10)) as text, cast(length(array_to_string(parts, chr(10))) as bigint) as n_chars from d
 """,
     "op6_decontaminate": r"""
 with d as (
