@@ -213,7 +213,7 @@ def score(rows: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
 
 
-def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.99, least: int = 20) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 20) -> DataFrame:
     """``documents`` without text, with ``perplexity``, the language's ``threshold`` and ``kept``.
 
     Trusted are documents labelled of quality 1 and not toxic. ``quantile`` of a language's trusted documents held back
