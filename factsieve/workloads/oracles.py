@@ -108,9 +108,9 @@ def valid_phone(s: str, context: bool) -> str:
 
 def _alias_rows() -> str:
     rows: dict[str, tuple[str, int]] = {}
-    for pos, e in enumerate(ENTRIES):
-        for at, alias in enumerate([e["kind"].replace("_", " "), *e["aliases"].lower().split("|")]):
-            rows[alias] = (e["kind"], rows.get(alias, ("", pos * 1000 + at))[1])
+    for pos, (kind, e) in enumerate(ENTRIES.items()):
+        for at, alias in enumerate([kind.replace("_", " "), *(a.lower() for a in e["aliases"])]):
+            rows[alias] = (kind, rows.get(alias, ("", pos * 1000 + at))[1])
     return ", ".join(f"({q(a)}, {q(k)}, {p})" for a, (k, p) in rows.items())
 
 
@@ -183,7 +183,7 @@ ORACLES: dict[str, str] = {
  e as (select distinct doc_id, lower(raw) as value from m)
  select doc_id, value from e where regexp_matches(value, '{K.EMAIL_SHAPE}')
  and not regexp_matches(value, '@(example|test|domain|yourdomain|email|sentry|sentry\\.io|wixpress|localhost|mysite|site)\\b')
- and not regexp_matches(value, '{K.EMAIL_BLOCKED_END}') and not regexp_matches(value, '{K.EMAIL_BLOCKED_START}')
+ and not regexp_matches(value, '\\.(png|jpe?g|gif|webp|css|js)$') and not regexp_matches(value, '^(no-?reply|postmaster|abuse|webmaster)@')
  and length(value) <= 254 and not regexp_matches(value, '@\\d+x\\.')""",
     "doc_phones": f"""with m as (select doc_id, {squish('unnest(list_distinct(regexp_extract_all(text, ' + q(K.PHONE_PATTERN) + ')))')} as s from documents),
  v as (select doc_id, s, regexp_replace(s, '[^0-9]', '', 'g') as d from m where {valid_phone('s', True)})
@@ -204,7 +204,7 @@ ORACLES: dict[str, str] = {
  when 1 then 'desk.' || c_custkey || '@shop.example' else c_name || ' , ' || c_mktsegment end as shown,
  case c_custkey % 3 when 0 then '+649' || lpad(c_custkey::varchar, 7, '0') when 1 then 'desk.' || c_custkey || '@shop.example'
  else lower(replace(c_name, '#', ' ') || ' ' || c_mktsegment) end as identity from customer""",
-    "map_coordinates": f"select s_suppkey, {_LAT} as latitude, case when s_suppkey % 3 = 2 then regexp_replace({_LNG}, '^2+(\\d+\\.)', '\\1') else {_LNG} end as longitude, 1 as valid from supplier",
+    "map_coordinates": f"select s_suppkey, {_LAT} as latitude, {_LNG} as longitude, 1 as valid from supplier",
     "social_profiles": """with u as (select c_custkey, ['www.facebook.com', 'instagram.com', 'x.com', 'uk.linkedin.com', 'pinterest.co.uk', 'notfacebook.com'][(c_custkey % 6 + 1)::int] as h,
  c_custkey % 5 in (0, 4) as own from customer)
  select c_custkey, (own and h = 'www.facebook.com')::int as facebook, (own and h = 'instagram.com')::int as instagram, (own and h = 'x.com')::int as twitter,
@@ -285,6 +285,16 @@ ORACLES: dict[str, str] = {
     "supplier_facilities": _rows(
         "supplier", "s_suppkey", ("amenities", "'Loading dock ' || s_suppkey || ' | Cold store ' || s_suppkey", "0.74", "'list under \"Facilities\"'"),
         ("description", "'Supplier ' || s_suppkey || ' ships parts to every region of the world.'", "0.77", "'meta:description'")),
+    "supplier_contacts": _rows(
+        "supplier", "s_suppkey", ("email", "'desk' || s_suppkey || '@s' || s_suppkey || '.example'", "0.8", "'a[href^=mailto:]'"),
+        ("latitude", _LAT, "0.62", "'coordinates parsed from map URL'"), ("longitude", _LNG, "0.62", "'coordinates parsed from map URL'"),
+        ("fax_number", "'+64 9 ' || lpad(s_suppkey::varchar, 7, '0')", "0.74", "'label pair (dl): \"Fax\"'"),
+        ("whats_app", "'+64 21 ' || lpad(s_suppkey::varchar, 7, '0')", "0.77", "'label pair (dl): \"WhatsApp\"'"),
+        ("description", "'Supplier ' || s_suppkey || ' keeps a yard beside the canal and answers every letter within two days of its arrival.'", "0.42", "'longest matching <p>'"),
+        ("main_image", "'http://s' || s_suppkey || '.example/hero/' || s_suppkey || '.jpg'", "0.95", "'image:style:background-image'")),
+    "long_pages": "select doc_id as page_id, length(trim(regexp_replace(repeat(regexp_replace(coalesce(text, ''), '[^\\p{L}]+', ' ', 'g') || ' ', 3), ' +', ' ', 'g'))) as chars from documents",
+    "page_next": """select page_id, url, contains(html, 'rel="next"') as has_controls, nullif(regexp_extract(html, 'rel="next" href="([^"]*)"', 1), '') as next_url,
+ null::varchar as reason from pages""",
     "order_walk": f"""with o as (select o_orderkey // {_SPAN} as w, (o_orderkey % {_SPAN}) // {ORDERS_PER_PAGE} as step, o_orderkey % {ORDERS_PER_PAGE} as at, * from orders),
  p as (select *, count(*) over (partition by w, step) as cards, max(step) over (partition by w) as last from o),
  s as (select w, min(step) filter (where cards < 3) as short, max(last) as last from p group by w)
@@ -328,7 +338,7 @@ ORACLES: dict[str, str] = {
  select *, 'price', 'very expensive' from k union all select *, 'photo', case when s_suppkey % 4 <> 0 then 'https://img.example/' || s_suppkey else '' end from k union all
  select *, 'warranty', '' from k)""",
     "page_notices": f"""with d as (select doc_id as page_id, {squish('text')} as body, doc_id % 6 as sign, case when doc_id % 11 = 0 then 403 when doc_id % 13 = 0 then 429 else 200 end as status from documents),
- t as (select *, case when length(body) <= 3000 then body else '' end as p1, case sign when 0 then 'Please verify you are human.' when 1 then 'Subscribe to continue reading now.' else '' end as p2 from d),
+ t as (select *, body as p1, case sign when 0 then 'Please verify you are human.' when 1 then 'Subscribe to continue reading now.' else '' end as p2 from d),
  x as (select page_id, sign, status, lower(case when p1 || p2 <> '' then trim(p1 || chr(10) || p2, ' ' || chr(10)) else body end) as text from t),
  y as (select page_id, case when status = 403 then 'blocked' when status = 429 then 'rate_limited' when sign = 2 then 'captcha' when length(text) < 1200 and sign = 0 then 'captcha'
  when sign = 1 then 'paywall' end as type, case when status <> 200 then status::varchar when sign = 2 then 'g-recaptcha' when length(text) < 1200 and sign = 0 then 'verify you are human'

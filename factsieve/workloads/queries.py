@@ -324,6 +324,23 @@ def supplier_facilities(spark, sf):
     return _page_values(R.profile_pages(spark, sf), ["Amenities", "Description"])
 
 
+def supplier_contacts(spark, sf):
+    names = ["Email", "Latitude", "Longitude", "Fax Number", "WhatsApp", "Description", "Main Image"]
+    return _page_values(R.contact_pages(spark, sf), names)
+
+
+def long_pages(spark, sf):
+    """A telephone number in a paragraph as long as the whole document, and how much of that paragraph is kept."""
+    d = table(spark, sf, "documents")
+    number = text("+64 9 ", R.pad(F.col("doc_id"), 7))
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}]+", " ")
+    html = R.document("", text("<main><p>", F.repeat(text(words, " "), 3), "</p><dl><dt>Telephone</dt><dd>", number, "</dd></dl></main>"))
+    pages = d.select(F.col("doc_id").alias("page_id"), text("http://d.example/", F.col("doc_id")).alias("url"), html.alias("html"))
+    t = _tables(pages)
+    found = t.blocks.where("tag = 'p'").select("page_id", F.length("text").alias("chars"))
+    return pages.select("page_id").join(found, "page_id", "left").fillna(0, ["chars"])
+
+
 def order_walk(spark, sf):
     pages = R.order_pages(spark, sf)
     seeds = pages.where("page = 1").select("url")
@@ -466,7 +483,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         supplier_cards, supplier_coverage, part_jsonld, part_microdata, part_entries, customer_pairs, customer_pair_shapes, part_pictures,
-        supplier_profiles, supplier_facilities, order_walk, site_answers, url_normalize, url_identity, url_pagenum, url_site, url_tokens,
+        supplier_profiles, supplier_facilities, supplier_contacts, long_pages, order_walk, site_answers, url_normalize, url_identity, url_pagenum, url_site, url_tokens,
         seed_check, text_clean, text_tokens, trigram_names, doc_emails, doc_phones, doc_prices, line_kinds, identity_words, map_coordinates,
         social_profiles, csv_cells, label_kinds, label_types, label_specs, node_counts, page_titles, page_links, page_headings, page_chrome,
         page_names, page_digests, page_rendering, page_next, link_relevance, page_groups, page_notices, fetch_outcomes, host_schedule,

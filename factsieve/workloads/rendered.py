@@ -192,6 +192,26 @@ def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per supplier without meta data: mail link, map link in three forms, fax and messenger rows, a paragraph, a hero picture."""
+    key = F.col("s_suppkey")
+    lat, lng = latitude(key), longitude(key)
+    form = key % 3
+    place = (
+        F.when(form == 0, text('<iframe src="https://www.google.com/maps/embed?pb=!1m18!3d', lat, "!4d", lng, '"></iframe>'))
+        .when(form == 1, text('<a href="https://maps.google.com/maps?q=', lat, ",", lng, '">map</a>'))
+        .otherwise(text('<a href="https://maps.example/?ll=', lat, "%2C", lng, '">map</a>'))
+    )
+    body = text(
+        '<section class="hero" style="background-image:url(', "'/hero/", key, ".jpg'", ')"><h1>', F.col("s_name"), "</h1></section><p>Supplier ", key,
+        " keeps a yard beside the canal and answers every letter within two days of its arrival.</p>", place, '<a href="mailto:desk', key, "@s", key,
+        '.example?subject=hello">Write to the desk</a><dl><dt>Fax</dt><dd>+64 9 ', pad(key, 7), "</dd><dt>WhatsApp</dt><dd>+64 21 ", pad(key, 7), "</dd></dl>",
+    )
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("page_id"), text("http://s", key, ".example/desk").alias("url"), document("<title>Desk</title>", body).alias("html")
+    )
+
+
 def latitude(key: Column) -> Column:
     return text(key % 80, ".", pad(key % 9000 + 1000, 4))
 
