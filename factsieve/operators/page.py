@@ -148,7 +148,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
     found = (
         nodes.where(F.col("content") & F.col("tag").isin(*BLOCK_TAGS))
         .withColumn("text", text)
-        .where((F.col("text") != "") & (F.length("text") <= 3000))
+        .where(F.col("text") != "")
     )
     order = W.partitionBy(*KEYS).orderBy("node_id")
     return found.select(

@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factsieve.functions.text import round_half_up
+from factsieve.plans.options import NO_LIMIT
 
 MIN_CONFIDENCE = 0.4
-MAX_LIST_ITEMS = 40
 
 
 def spec_array(specs: list[Row]) -> Column:
@@ -73,7 +73,7 @@ def alternatives(candidates: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def list_answer(candidates: DataFrame, max_items: int = MAX_LIST_ITEMS) -> DataFrame:
+def list_answer(candidates: DataFrame, max_items: int = NO_LIMIT) -> DataFrame:
     """Distinct values per site and field in confidence-bucket, then document order."""
     bucket = F.floor(F.col("confidence") * 10 + 0.5)
     first = F.struct(-bucket, F.col("ord"), -F.col("confidence"), F.col("visit"), F.col("seq"))
@@ -91,7 +91,7 @@ def list_answer(candidates: DataFrame, max_items: int = MAX_LIST_ITEMS) -> DataF
 
 def site_fields(
     candidates: DataFrame, sites: DataFrame, specs: list[Row], min_confidence: float = MIN_CONFIDENCE,
-    max_items: int = MAX_LIST_ITEMS,
+    max_items: int = NO_LIMIT,
 ) -> DataFrame:
     """The answer table: one row per site and label, ``value`` or ``items``, null or empty when not found."""
     good = floor(candidates, min_confidence)

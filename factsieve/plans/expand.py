@@ -36,7 +36,7 @@ def site_page_facts(pages: DataFrame, links: DataFrame, next_pages: DataFrame, g
         .groupBy("url_key")
         .agg(F.min_by(F.struct("page_id", "base_url", "good", "links", "candidates"), "page_id").alias("f"))
     )
-    return cut(facts, "url_key")
+    return cut(facts, "url_key", keep_partitioning=True)
 
 
 def _wants(specs: list[Row]) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-PAGE_HARD_CAP = 500
+#: What a limit is when none is set: the defaults drop no records, list items or list pages.
+NO_LIMIT = 2**31 - 3
 
 
 @dataclass(frozen=True)
@@ -12,15 +13,15 @@ class Options:
     """``mode`` is auto, list or single; ``max_pagination_pages`` may be ``"all"``."""
 
     mode: str = "auto"
-    max_records: int = 200
+    max_records: int = NO_LIMIT
     min_fields_per_record: int = 2
     max_pages: int = 5
     max_depth: int = 1
     follow_internal_links: bool = True
     allow_pagination: bool = False
-    max_pagination_pages: int | str | None = 2
+    max_pagination_pages: int | str | None = "all"
     min_confidence: float = 0.4
-    max_list_items: int = 40
+    max_list_items: int = NO_LIMIT
 
 
 def page_budget(options: Options) -> int:
@@ -29,9 +30,9 @@ def page_budget(options: Options) -> int:
         return 0
     raw = options.max_pagination_pages
     if raw in ("all", None, 0) or raw == float("inf"):
-        return PAGE_HARD_CAP
+        return NO_LIMIT
     try:
         n = int(raw)
     except (TypeError, ValueError):
         return 0
-    return min(n, PAGE_HARD_CAP) if n > 0 else 0
+    return min(n, NO_LIMIT) if n > 0 else 0

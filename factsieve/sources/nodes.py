@@ -56,7 +56,8 @@ MICRODATA_ATTR = {
     "track": "src", "video": "src", "a": "href", "area": "href", "link": "href", "object": "data",
     "data": "value", "time": "datetime",
 }
-TEXT_LIMIT = 5000  # the longest value any validator accepts; longer texts keep their length only
+TEXT_LIMIT = 5000  # longer texts of elements that hold blocks keep their length only: the blocks have the text
+BOXES = CLOSES_P | frozenset("body li dt dd tbody thead tfoot tr td th".split())
 # ---------------------------------------------------------------------------------------------
 
 _WS = re.compile("[\\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+")
@@ -94,7 +95,7 @@ class _Node:
     __slots__ = (
         "node_id", "last_desc", "parent", "depth", "tag", "attrs", "own", "start", "raw", "content", "kids",
         "all_kids", "anc", "text", "length", "props", "end", "heads", "last_kid", "last_heading", "prev", "prev_heading",
-        "caption",
+        "caption", "boxed",
     )
 
 
@@ -221,8 +222,9 @@ class _Tree(HTMLParser):
     def _close(self, node: _Node) -> None:
         node.last_desc, node.end = len(self.nodes), len(self.pieces)
         node.length = self.sizes[-1] - self.sizes[node.start]
+        node.boxed = any(k.tag in BOXES or getattr(k, "boxed", False) for k in node.kids)
         keep = (
-            node.length <= TEXT_LIMIT + 2 or node.anc["chrome"] == node.node_id or "itemprop" in node.attrs
+            not node.boxed or node.length <= TEXT_LIMIT + 2 or node.anc["chrome"] == node.node_id or "itemprop" in node.attrs
             or node.tag in ("body", "title", "figcaption")
         )
         if keep:
