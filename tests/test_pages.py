@@ -4,7 +4,7 @@ import pages as pg
 import pytest
 from pyspark.sql import functions as F
 
-from factsieve.operators import cascade, classify, images, page, structured
+from factsieve.operators import cascade, classify, images, page, records, structured
 from factsieve.operators.labels import spec_rows
 from factsieve.operators.select import pool, site_fields
 from factsieve.operators.tables import PageTables
@@ -12,7 +12,7 @@ from factsieve.plans.extract import page_tables
 from factsieve.sources.nodes import explode_nodes
 
 LABELS = [
-    "Hotel Name", "Phone Number", "WhatsApp", "Email", "Address", "Latitude", "Price", "Description", "Main Image",
+    "Business Name", "Phone Number", "WhatsApp", "Email", "Address", "Latitude", "Price", "Description", "Main Image",
     "Gallery Images", "Menu Image", "Amenities", "Room Type", "Facebook", "Twitter", "Opening Hours", "Pet Policy", "General Manager",
     "CEO Name",
 ]
@@ -28,8 +28,8 @@ def nodes_of(spark, *html):
 
 
 @pytest.fixture(scope="module")
-def hotel(spark):
-    rows = spark.createDataFrame([(1, pg.HOTEL_URL, pg.HOTEL)], "page_id long, url string, html string")
+def place(spark):
+    rows = spark.createDataFrame([(1, pg.PLACE_URL, pg.PLACE)], "page_id long, url string, html string")
     t = page_tables(rows)
     specs = spec_rows(spark, LABELS)
     own = t.pages.select("page_id", F.col("url").alias("site"), F.lit(0).alias("visit"))
@@ -37,44 +37,42 @@ def hotel(spark):
     return t, {r.field_key: r for r in fields.collect()}
 
 
-def test_answers(hotel):
-    got = hotel[1]
+def test_answers(place):
+    got = place[1]
     value = {k: r.value if not r.plural else r["items"] for k, r in got.items()}
-    assert value["hotel_name"] == "Lakeview Lodge" and got["hotel_name"].method == "jsonld:Hotel.name"
-    assert value["phone_number"] == "+41 41 712 34 56" and got["phone_number"].confidence >= 0.8
-    assert value["whats_app"] == "+41 79 445 56 67"
-    assert value["email"] == "stay@lakeview.example"
-    assert value["address"].startswith("12 Shore Road, Sarnen")
-    assert value["latitude"] == "46.9588"
-    assert value["price"] == "CHF 95"
-    assert value["main_image"] == "https://cdn.lakeview.example/front.jpg?w=1600"
-    assert value["gallery_images"] == [
-        "https://cdn.lakeview.example/gallery/room-1.jpg", "https://cdn.lakeview.example/gallery/pier-1600.webp",
-        "https://cdn.lakeview.example/gallery/hall-2000.jpg"]
-    assert value["menu_image"].endswith("menu-board.jpg")
-    assert value["amenities"] == ["Free WiFi", "Lake sauna", "Bicycle hire"]
-    assert value["room_type"] == ["Garden Double", "Lake View Deluxe", "Family Suite"]
-    assert value["facebook"] == "https://www.facebook.com/lakeviewlodge"
-    assert value["general_manager"] == "Vreni Abegg"
-    assert "Monday" in value["opening_hours"]
-
-
-def test_absent_values_are_null(hotel):
-    got = hotel[1]
+    assert value["business_name"] == "Kilnhouse" and got["business_name"].method == "jsonld:LodgingBusiness.name"
+    assert value["phone_number"] == "+44 1835 55 01 77" and got["phone_number"].confidence >= 0.8
+    assert value["whats_app"] == "+44 7700 90 01 42"
+    assert value["email"] == "hello@kilnhouse.example"
+    assert value["address"].startswith("Old Mill, Weirside, Selham")
+    assert value["latitude"] == "55.6721"
+    assert value["price"] == "from GBP 64 per night"
+    assert value["main_image"] == "https://media.kilnhouse.example/yard.jpg?width=1400"
+    assert value["gallery_images"][:3] == [f"https://media.kilnhouse.example/s/{n}.jpg" for n in ("wheel-1500", "glaze", "firing-small")]
+    assert value["menu_image"].endswith("menu-summer.jpg")
+    assert value["amenities"] == ["Drying room", "Two gas kilns", "Shared kitchen"]
+    assert value["room_type"] == ["Loft Twin", "Millrace Double"]
+    assert value["facebook"] == "https://www.facebook.com/kilnhousepots"
+    assert value["general_manager"] == "Isla Renwick"
+    assert "Thursday" in value["opening_hours"]
+
+
+def test_absent_values_are_null(place):
+    got = place[1]
     for key in ("twitter", "pet_policy", "ceo_name"):
         assert got[key].value is None and not got[key].found and got[key].confidence == 0.0
 
 
-def test_provenance(hotel):
-    for row in hotel[1].values():
+def test_provenance(place):
+    for row in place[1].values():
         if row.found:
-            assert row.source_url == pg.HOTEL_URL and row.method
+            assert row.source_url == pg.PLACE_URL and row.method
 
 
-def test_digest(hotel):
-    text = hotel[0].digests.first().digest
-    assert text.startswith("TITLE: Lakeview Lodge | Rooms by the lake\n\nOG_TITLE: Lakeview Lodge")
-    assert "WhatsApp: +41 79 445 56 67" in text and "Company registration" not in text
+def test_digest(place):
+    text = place[0].digests.first().digest
+    assert text.startswith("TITLE: Stay - Kilnhouse\n\nOG_TITLE: Kilnhouse")
+    assert "WhatsApp: +44 7700 90 01 42" in text and "Charity number" not in text
 
 
 def test_malformed_markup(spark):
@@ -93,8 +91,20 @@ def test_malformed_markup(spark):
 
 def test_long_texts_keep_their_length(spark):
     rows = nodes_of(spark, "<div><p>" + "word " * 4000 + "</p></div>").collect()
-    p = next(r for r in rows if r.tag == "p")
-    assert p.full_text is None and p.text_len > 19000
+    p, div = (next(r for r in rows if r.tag == tag) for tag in ("p", "div"))
+    assert len(p.full_text) == p.text_len > 19000 and div.full_text is None and div.text_len == p.text_len
+
+
+def test_long_paragraphs_and_long_lists(spark):
+    long = "<p>" + "plain words " * 900 + "Telephone: +353 21 555 0186 " + "and more of them " * 300 + "</p>"
+    many = "<ul>" + "".join(f"<li class='row'><h3>Item number {i}</h3><p>Some words on it</p></li>" for i in range(1000)) + "</ul>"
+    t = page_tables(frame(spark, f"<body>{long}</body>", f"<body>{many}</body>"))
+    specs = spec_rows(spark, ["Phone Number"])
+    own = t.pages.select("page_id", F.col("url").alias("site"), F.lit(0).alias("visit"))
+    got = {r.site: r.value for r in site_fields(pool(cascade.resolve(t, specs), own), own, specs).collect()}
+    assert got["http://x.example/p1"] == "+353 21 555 0186"
+    groups = records.record_groups(t.nodes).where("page_id = 2").groupBy("signature").count().collect()
+    assert [r["count"] for r in groups if r.signature.startswith("li|row")] == [1000]
 
 
 def test_pairs(spark):

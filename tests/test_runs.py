@@ -11,7 +11,7 @@ from factsieve.operators.labels import parse_labels, spec_rows
 from factsieve.operators.records import record_fields
 from factsieve.plans.expand import expand_site, site_page_facts  # noqa: F401
 from factsieve.plans.extract import extract, extract_list, extract_single, page_records, page_tables
-from factsieve.plans.options import Options, page_budget
+from factsieve.plans.options import NO_LIMIT, Options, page_budget
 from factsieve.plans.walk import page_facts, walk_pages
 from factsieve.sources import pages as sources
 from factsieve.sources import sinks
@@ -22,9 +22,9 @@ LIST_LABELS = ["Name", "Category", "Address", "Phone Number", "Image"]
 
 @pytest.fixture(scope="module")
 def corpus(spark):
-    rows = [(i, f"http://pages.example/paged?page={i}", pg.paged_directory(i)) for i in (1, 2, 3)]
-    rows += [(10 + i, url, html) for i, (url, html) in enumerate(pg.CLINIC_PAGES.items())]
-    rows += [(20, pg.DIRECTORY_URL, pg.DIRECTORY)]
+    rows = [(i, f"http://trades.example/ferries?page={i}", pg.walk_page(i)) for i in (1, 2, 3)]
+    rows += [(10 + i, url, html) for i, (url, html) in enumerate(pg.SOCIETY_PAGES.items())]
+    rows += [(20, pg.FIRMS_URL, pg.FIRM_LIST)]
     return page_tables(spark.createDataFrame(rows, "page_id long, url string, html string"))
 
 
@@ -39,12 +39,11 @@ def test_directory_records(found):
     specs, records, groups = found
     rows = record_fields(records.where("page_id = 20"), specs, ["page_id", "record_index"]).collect()
     got = {(r.record_index, r.field_key): r.value for r in rows}
-    assert [got[i, "name"] for i in range(4)] == [s[0] for s in pg.SHOPS] and len(got) == 20
-    assert [got[i, "address"] for i in range(4)] == [s[1] for s in pg.SHOPS]
-    assert [got[i, "phone_number"] for i in range(4)] == [s[2] for s in pg.SHOPS]
-    assert [got[i, "image"] for i in range(4)] == [f"http://pages.example/images/company/{s[3]}.jpg" for s in pg.SHOPS]
-    assert {got[i, "category"] for i in range(4)} == {"Bakeries and Cafes"}
-    assert groups.where("page_id = 20").first().container == "main.results"
+    for at, field in enumerate(("name", "address", "phone_number")):
+        assert [got[i, field] for i in range(3)] == [f[at] for f in pg.FIRMS]
+    assert [got[i, "image"] for i in range(3)] == [f"http://trades.example/pics/{f[3]}.png" for f in pg.FIRMS]
+    assert {got[i, "category"] for i in range(3)} == {"Clock repair"} and len(got) == 15
+    assert groups.where("page_id = 20").first().container == "ul.firms"
     # subject pages hold no list
     assert records.where("page_id between 10 and 13").count() == 0
 
@@ -58,9 +57,9 @@ def test_wide_sheet(found, tmp_path):
     text = "".join(open(f, newline="").read() for f in sorted((tmp_path / "out").glob("part-*.csv")))
     lines = text.split("\r\n")
     assert lines[0] == "name,category,address,phone_number,image,source_url"
-    assert lines[1].startswith('Crumb and Co,Bakeries and Cafes,"No.75, 12th Street, Old Town",09-421116317,')
+    assert lines[1].startswith('Pendulum Works,Clock repair,"Unit 4, Harbour Lane, Eastwick",041 555 0132,')
     shown = sinks.list_json(fields, ["record_index"], provenance=False).orderBy("record_index").first().json
-    assert '"name":{"value":"Crumb and Co"}' in shown
+    assert '"name":"Pendulum Works"' in shown
 
 
 def _edges(corpus):
@@ -72,7 +71,7 @@ def facts(found, corpus):
     return page_facts(_edges(corpus), found[1])
 
 
-SEED = "http://pages.example/paged?page=1"
+SEED = "http://trades.example/ferries?page=1"
 
 
 @pytest.mark.parametrize(
@@ -92,34 +91,34 @@ def test_walks(spark, facts, options, pages, records, reason):
 
 
 def test_walk_of_an_unknown_page(spark, facts):
-    seeds = spark.createDataFrame([("http://pages.example/none",), ("http://clinic.example/about.html",)], "url string")
+    seeds = spark.createDataFrame([("http://trades.example/none",), ("http://tidewatch.example/people.html",)], "url string")
     reasons = {r.walk_id: r.stop_reason for r in walk_pages(facts, seeds, Options())[1].collect()}
-    assert reasons["http://pages.example/none"] == "page 1 could not be fetched"
-    assert reasons["http://clinic.example/about.html"] == "page 1 contained no list rows"
+    assert reasons["http://trades.example/none"] == "page 1 could not be fetched"
+    assert reasons["http://tidewatch.example/people.html"] == "page 1 contained no list rows"
 
 
 def test_auto_mode_and_expansion(spark, corpus, monkeypatch):
     monkeypatch.setattr("factsieve.plans.extract.page_tables", lambda pages: corpus)
-    seeds = spark.createDataFrame([("http://clinic.example/",), (pg.DIRECTORY_URL,)], "url string")
-    names = ["Clinic Name", "Phone Number", "Address", "Facebook", "CEO Name"]
+    seeds = spark.createDataFrame([("http://tidewatch.example/",), (pg.FIRMS_URL,)], "url string")
+    names = ["Society Name", "Phone Number", "Address", "Facebook", "CEO Name"]
     listed, single = extract(corpus.pages, seeds, names)
-    assert {r.walk_id for r in listed.walks.where("n_records > 0").collect()} == {pg.DIRECTORY_URL}
+    assert {r.walk_id for r in listed.walks.where("n_records > 0").collect()} == {pg.FIRMS_URL}
     got = {r.field_key: r for r in single.fields.collect()}
-    assert {r.site for r in got.values()} == {"http://clinic.example/"}
-    assert got["clinic_name"].value == "Blue Bay Dental" and got["clinic_name"].source_url == "http://clinic.example/"
-    assert got["phone_number"].value == "+64 9 555 0142" and got["phone_number"].source_url == "http://clinic.example/contact.html"
-    assert got["facebook"].value == "https://www.facebook.com/bluebaydental" and got["ceo_name"].value is None
+    assert {r.site for r in got.values()} == {"http://tidewatch.example/"}
+    assert got["society_name"].value == "Tidewatch Society" and got["society_name"].source_url == "http://tidewatch.example/"
+    assert got["phone_number"].value == "+353 21 555 0186" and got["phone_number"].source_url == "http://tidewatch.example/contact.html"
+    assert got["facebook"].value == "https://www.facebook.com/tidewatchsociety" and got["ceo_name"].value is None
     visits = {r.url: r.reasons for r in single.visits.collect()}
-    assert f"{pg.CLINIC}/contact.html" in visits and len(visits) <= 5 and all(visits.values())
+    assert f"{pg.SOCIETY}/contact.html" in visits and len(visits) <= 5 and all(visits.values())
     status = single.status.first()
     assert status.status == "partial" and status.missing_fields == ["CEO Name"]
 
 
 def test_following_can_be_switched_off(spark, corpus):
-    seeds = spark.createDataFrame([("http://clinic.example/",)], "url string")
-    out = extract_single(corpus.pages, seeds, ["Clinic Name", "Phone Number"], Options(follow_internal_links=False), corpus)
+    seeds = spark.createDataFrame([("http://tidewatch.example/",)], "url string")
+    out = extract_single(corpus.pages, seeds, ["Society Name", "Phone Number"], Options(follow_internal_links=False), corpus)
     got = {r.field_key: r.value for r in out.fields.collect()}
-    assert got == {"clinic_name": "Blue Bay Dental", "phone_number": None} and out.visits.count() == 1
+    assert got == {"society_name": "Tidewatch Society", "phone_number": None} and out.visits.count() == 1
 
 
 def test_next_page_forms(spark):
@@ -140,7 +139,7 @@ def test_next_page_forms(spark):
 def test_page_budget():
     assert page_budget(Options()) == 0
     on = dict(allow_pagination=True)
-    assert [page_budget(Options(max_pagination_pages=n, **on)) for n in ("all", None, 0, 3, 900, "x")] == [500, 500, 500, 3, 500, 0]
+    assert [page_budget(Options(max_pagination_pages=n, **on)) for n in ("all", None, 0, 3, 900, "x")] == [NO_LIMIT, NO_LIMIT, NO_LIMIT, 3, 900, 0]
 
 
 def test_selection(spark):
