@@ -124,7 +124,7 @@ LABELS = f"""labels0 as (select p_partkey::int as pos, case when p_partkey % 3 =
  else p_name || ' ' || {_ENDINGS}[(p_partkey % 10 + 1)::int] end as label from part),
  labels1 as (select {_KEY} as key, arg_min(label, pos) as label, min(pos) as pos from labels0 group by 1)"""
 
-_COUNTED = ("a", "li", "p", "b", "br", "div", "article", "h1", "nav", "ul", "footer")
+_COUNTED = ("html", "head", "meta", "title", "style", "script", "body", "a", "li", "p", "b", "br", "div", "article", "h1", "nav", "ul", "footer")
 _UNESCAPE = "replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
@@ -322,7 +322,7 @@ ORACLES: dict[str, str] = {
  when starts_with(target, '/en/6') then 1 when starts_with(target, '/es/5') or starts_with(target, '/en/') then 0 else 1 end as allowed,
  case when starts_with(origin, 'https') then 2000 else 0 end as crawl_delay_ms from u""",
     "crawl_due": """with n as (select max(ts) as now from events) select 'http://u' || user_id || '.example/' as url from events, n group by user_id
- having count(*) filter (where event_type = 'view' and ts > now - interval 24 hour) = 0""",
+ having count(*) filter (where ts > now - interval 24 hour) = 0""",
     "snapshot_choice": f"""with p as (select page_id, {normalized()} as url_key, length(html) as n from pages),
  s as (select url_key, max(page_id % 4 * 1000000000 + page_id) as pick from p group by 1), r as (select url_key, max(page_id % 5 * 1000000000 + page_id) as pick from p group by 1),
  j as (select s.url_key, s.pick % 1000000000 as sid, r.pick % 1000000000 as rid from s join r using (url_key)),
@@ -351,7 +351,7 @@ ORACLES: dict[str, str] = {
  select site, value, bool_or(verbatim or loose)::int as grounded, case when bool_or(verbatim or loose) then '' when quoted then 'neither the value nor its claimed snippet appears in the page extract'
  else 'value is not present verbatim in the page extract' end as reason, 'http://conv.example/' || any_value(conv_id) || '/' || arg_min(turn, case when verbatim then turn else turn + 1000000 end) as source_url
  from j group by site, value, quoted""",
-    "crawl_changes": """with e as (select 'http://u' || user_id || '.example/' as url_key, ts, event_type from events),
+    "crawl_changes": """with e as (select 'http://u' || user_id || '.example/' as url_key, ts, max(event_type) as event_type from events group by 1, 2),
  l as (select *, lag(event_type) over (partition by url_key order by ts) as before from e)
  select url_key, count(*) as crawls, count(*) filter (where before is null or before <> event_type) as changes from l group by 1""",
 }

@@ -201,8 +201,7 @@ def label_specs(spark, sf):
 # ---- the page model on crawled pages --------------------------------------------------------
 
 def node_counts(spark, sf):
-    tags = ("a", "li", "p", "b", "br", "div", "article", "h1", "nav", "ul", "footer")
-    return _nodes(spark, sf).where(F.col("tag").isin(*tags)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return _nodes(spark, sf).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def page_titles(spark, sf):
@@ -398,14 +397,15 @@ def robots_checks(spark, sf):
 def crawl_changes(spark, sf):
     e = table(spark, sf, "events")
     crawls = e.select(text("http://u", F.col("user_id"), ".example/").alias("url"), F.col("ts").alias("fetched_at"), F.col("event_type").alias("html"))
-    out = fetching.changed_pages(crawls.dropDuplicates(["url", "fetched_at"]))
+    one = crawls.groupBy("url", "fetched_at").agg(F.max("html").alias("html"))  # of crawls at one moment the same one always
+    out = fetching.changed_pages(one)
     return out.groupBy("url_key").agg(F.count("*").alias("crawls"), F.count_if("changed").alias("changes"))
 
 
 def crawl_due(spark, sf):
     e = table(spark, sf, "events")
     url = text("http://u", F.col("user_id"), ".example/")
-    cache = e.where(F.col("event_type") == "view").select(url.alias("url"), F.col("ts").alias("fetched_at"))
+    cache = e.select(url.alias("url"), F.col("ts").alias("fetched_at"))
     newest = e.agg(F.max("ts").alias("now")).first()["now"]
     return fetching.needs_fetch(e.select(url.alias("url")).distinct(), cache, 3600 * 24, F.lit(newest)).select("url")
 
