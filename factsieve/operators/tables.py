@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from factsieve.operators import images as I
 from factsieve.operators import page as P
@@ -19,8 +20,9 @@ class PageTables:
     ``scope_id``. Tables several generators read are written once, partitioned by page, on first use.
     """
 
-    def __init__(self, pages: DataFrame, nodes: DataFrame, bases: DataFrame | None = None):
+    def __init__(self, pages: DataFrame, nodes: DataFrame, bases: DataFrame | None = None, warnings: DataFrame | None = None):
         self.pages, self.nodes = pages, nodes
+        self.warnings = warnings if warnings is not None else pages.select("page_id", F.lit(None).cast("string").alias("message")).limit(0)
         self.bases = bases if bases is not None else cut(P.base_urls(pages, nodes), "page_id", keep_partitioning=True)
 
     @staticmethod

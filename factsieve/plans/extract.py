@@ -26,8 +26,8 @@ from factsieve.sources.staging import cut
 
 def page_tables(pages: DataFrame) -> PageTables:
     """Prepares pages (defaults, HTML-only) and stages their element rows."""
-    ready = prepare_pages(pages)
-    return PageTables(ready, page_scope(stage_nodes(explode_nodes(ready))))
+    ready, warnings = prepare_pages(pages)
+    return PageTables(ready, page_scope(stage_nodes(explode_nodes(ready))), warnings=warnings)
 
 
 def extract_pages(pages: DataFrame, labels: list[str], options: Options = Options()) -> DataFrame:
@@ -38,6 +38,9 @@ def extract_pages(pages: DataFrame, labels: list[str], options: Options = Option
     return site_fields(pool(resolve(t, specs), own), own, specs, options.min_confidence, options.max_list_items)
 
 
+NO_LIST = 'No repeating list structure on this page yielded the requested labels. If this is a single-subject page, use mode "single".'
+
+
 @dataclass
 class SingleResult:
     """Answers of single-subject sites."""
@@ -46,6 +49,7 @@ class SingleResult:
     visits: DataFrame
     status: DataFrame
     errors: DataFrame
+    warnings: DataFrame  # page_id, message
 
 
 def extract_single(
@@ -63,7 +67,7 @@ def extract_single(
     sites = seeds.select(normalize_url(F.col("url")).alias("site")).distinct()
     fields = site_fields(pool(candidates, visits), sites, specs, options.min_confidence, options.max_list_items)
     failed = errors.join(t.pages.select("page_id", normalize_url(F.col("url")).alias("site")), "page_id").join(sites, "site", "left_semi")
-    return SingleResult(fields, visits, site_status(fields, visits, failed), errors)
+    return SingleResult(fields, visits, site_status(fields, visits, failed), errors, t.warnings)
 
 
 @dataclass
@@ -77,6 +81,7 @@ class WalkResult:
     steps: DataFrame
     walks: DataFrame
     groups: DataFrame
+    warnings: DataFrame  # site or page_id, message
 
 
 def extract_list(
@@ -93,7 +98,18 @@ def extract_list(
     kept = dedupe_walk(records, steps)
     fields = record_fields(kept, specs, ["walk_id", "step", "at", "page_id", "record_index"]).withColumnRenamed("walk_id", "site")
     sites = walks.select(F.col("walk_id").alias("site"))
-    return WalkResult(kept, fields, coverage(fields), list_status(fields, sites, specs), steps, walks, result.groups)
+    return WalkResult(
+        kept, fields, coverage(fields), list_status(fields, sites, specs), steps, walks, result.groups, list_warnings(t.warnings.unionByName(result.warnings), walks, options)
+    )
+
+
+def list_warnings(of_pages: DataFrame, walks: DataFrame, options: Options) -> DataFrame:
+    """``(site, page_id, message)``: pages not read or cut short, and for a forced list run the seeds that are no lists."""
+    out = of_pages.select(F.lit(None).cast("string").alias("site"), "page_id", "message")
+    if options.mode != "list":
+        return out
+    rowless = walks.where("n_records = 0").select(F.col("walk_id").alias("site"), F.lit(None).cast("long").alias("page_id"), F.lit(NO_LIST).alias("message"))
+    return out.unionByName(rowless)
 
 
 def page_records(t: PageTables, specs: list[Row], options: Options = Options()) -> ListResult:

@@ -52,8 +52,9 @@ def cap_html(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     )
 
 
-def prepare_pages(pages: DataFrame) -> DataFrame:
-    return filter_html(with_defaults(pages))[0]
+def prepare_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages to read, with all columns, and a warning row for each of the others."""
+    return filter_html(with_defaults(pages))
 
 
 def read_labels(spark: SparkSession, source: str | list[str], is_path: bool = False) -> DataFrame:

@@ -247,6 +247,14 @@ ORACLES: dict[str, str] = {
  case when {valid_text('h1', 2, 160)} then 0.75::double when {valid_text('short', 2, 160)} then 0.7::double when {valid_text('title', 2, 160)} then 0.6::double else 0::double end as confidence from n""",
     "supplier_cards": f"""with {_CARDS} select record_index, s_name as name, phone as phone_number, 'No.' || s_suppkey || ', Market Road, ' || n_name as address,
  'http://dir.example/suppliers/' || page_id as source_url from cards where n >= 3""",
+    "list_warnings": f"""with {_CARDS}, p as (select page_id, count(*) as n, 'http://dir.example/suppliers/' || page_id as url from cards group by 1)
+ select '' as site, page_id, case when page_id % 2 = 1 then url || ': unexpected content-type "application/pdf"; skipped.' else 'Page has ' || n || ' list items; kept the first 10 (maxRecords).' end as message
+ from p where page_id % 2 = 1 or n > 10 union all
+ select url, 0, 'No repeating list structure on this page yielded the requested labels. If this is a single-subject page, use mode "single".'
+ from (select url from p where page_id % 2 = 1 or n < 3 union all select 'http://dir.example/about')""",
+    "supplier_json": f"""with {_CARDS} select page_id, record_index, '{{"name":"Store ' || translate(s_suppkey::varchar, '0123456789', 'abcdefghij') || '","phone_number":'
+ || case when s_suppkey % 5 = 0 then 'null' else '"' || phone || '"' end || ',"address":"Market Road, ' || n_name || '","_source_url":"http://dir.example/suppliers/' || page_id || '"}}' as json
+ from cards where n >= 3""",
     "supplier_coverage": f"""with {_CARDS} select page_id as site, field_key, found_in, "of", floor(found_in * 100.0 / "of" + 0.5)::int as percent from (
  select page_id, 'name' as field_key, count(*) as found_in, count(*) as "of" from cards group by 1 union all
  select page_id, 'address', count(*), count(*) from cards group by 1 union all

@@ -349,6 +349,23 @@ def order_walk(spark, sf):
     return wide.join(out.walks.select(F.col("walk_id").alias("site"), "pages_walked", "stop_reason"), "site")
 
 
+def list_warnings(spark, sf):
+    """A forced list run over catalogue pages, every other not HTML, with a record cap, and over one page that is no list."""
+    pages = R.supplier_pages(spark, sf).select(
+        "page_id", "url", "html", F.when(F.col("page_id") % 2 == 1, "application/pdf").otherwise("text/html").alias("content_type"))
+    lone = spark.createDataFrame([(-1, "http://dir.example/about", "<p>We list suppliers.</p>", None)], "page_id long, url string, html string, content_type string")
+    seeds = pages.select("url").unionByName(lone.select("url"))
+    out = run.extract_list(pages.unionByName(lone), seeds, ["Name", "Phone Number", "Address"], Options(mode="list", max_records=10))
+    return out.warnings.select(F.coalesce("site", F.lit("")).alias("site"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "message")
+
+
+def supplier_json(spark, sf):
+    t = _tables(R.supplier_pages(spark, sf, drop_phone_every=5))
+    specs = labels.spec_rows(spark, ["Name", "Phone Number", "Address"])
+    found = records.record_fields(run.page_records(t, specs).records, specs, ["page_id", "record_index"])
+    return sinks.list_json(found, ["page_id", "record_index"], provenance=False)
+
+
 def site_answers(spark, sf):
     pages = R.customer_sites(spark, sf)
     seeds = pages.where("n = 0").select("url")
@@ -483,7 +500,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         supplier_cards, supplier_coverage, part_jsonld, part_microdata, part_entries, customer_pairs, customer_pair_shapes, part_pictures,
-        supplier_profiles, supplier_facilities, supplier_contacts, long_pages, order_walk, site_answers, url_normalize, url_identity, url_pagenum, url_site, url_tokens,
+        supplier_profiles, supplier_facilities, supplier_contacts, long_pages, list_warnings, supplier_json, order_walk, site_answers, url_normalize, url_identity, url_pagenum, url_site, url_tokens,
         seed_check, text_clean, text_tokens, trigram_names, doc_emails, doc_phones, doc_prices, line_kinds, identity_words, map_coordinates,
         social_profiles, csv_cells, label_kinds, label_types, label_specs, node_counts, page_titles, page_links, page_headings, page_chrome,
         page_names, page_digests, page_rendering, page_next, link_relevance, page_groups, page_notices, fetch_outcomes, host_schedule,
