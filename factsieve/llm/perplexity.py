@@ -33,25 +33,42 @@ SYMBOLS = 1 << BITS
 BLOCK_BYTES, SMALL_IDS = 1 << 26, 2_000_000
 
 
+_NARROW = np.arange(SYMBOLS // 2, dtype=np.int64)  # the symbol of each character below 2048
+_NARROW[[9, 10, 11, 12, 13, 0xA0]] = 32
+_NARROW[0] = 1
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The packed n-gram that ends at each character of the texts, and the index of each text's first."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     firsts = np.concatenate([[0], np.cumsum(sizes)])
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    symbols = np.where(points < SYMBOLS // 2, np.maximum(points, 1), SYMBOLS // 2 + ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)))
-    symbols[((points >= 9) & (points <= 13)) | (points == 0xA0)] = 32
-    padded = np.zeros(len(symbols) + (ORDER - 1) * len(texts), np.int64)  # every text begins with ORDER - 1 zeros
-    places = np.arange(len(symbols)) + (ORDER - 1) * (np.repeat(np.arange(len(texts)), sizes) + 1)
-    padded[places] = symbols
-    out = np.zeros(len(symbols), np.int64)
-    for k in range(ORDER):
-        out |= padded[places - k] << (BITS * k)
-    return out, firsts
-
-
-def _by_language(languages: list[str | None], texts: list[str], limit: int = 1 << 22) -> Iterator[tuple[str | None, list[int]]]:
+    pad = "\0" * (ORDER - 1)
+    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), "<u4")  # every text begins with ORDER - 1 zeros
+    wide = np.flatnonzero(points >= SYMBOLS // 2)
+    symbols = _NARROW[np.minimum(points, SYMBOLS // 2 - 1)]
+    if len(wide):
+        symbols[wide] = SYMBOLS // 2 + ((points[wide].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64)
+    starts = firsts[:-1] + (ORDER - 1) * np.arange(len(texts))
+    inside = np.ones(len(points), bool)
+    for k in range(ORDER - 1):
+        symbols[starts + k] = 0
+        inside[starts + k] = False
+    out = symbols.copy()
+    for k in range(1, ORDER):
+        out[k:] |= symbols[:-k] << (BITS * k)
+    return out[inside], firsts
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their counts."""
+    keys = np.sort(keys)
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    return keys[edges[:-1]], np.diff(edges)
+
+
+def _by_language(languages: list, texts: list[str], limit: int = 1 << 20) -> Iterator[tuple]:
     """Rows of one language, at most some ``limit`` characters at a time."""
-    rows: dict[str | None, list[int]] = {}
+    rows: dict = {}
     for i, lang in enumerate(languages):
         rows.setdefault(lang, []).append(i)
     for lang, own in rows.items():
@@ -59,6 +76,13 @@ def _by_language(languages: list[str | None], texts: list[str], limit: int = 1 <
             yield lang, own[a:b]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few texts are open at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def count_grams(rows: DataFrame) -> DataFrame:
     """``lang, g, n``: every n-gram of ``rows(lang, trusted, text)`` with its count in trusted rows; summed per task first."""
 
@@ -73,17 +97,16 @@ def count_grams(rows: DataFrame) -> DataFrame:
             keys, n = total(lang)
             return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int32))), pa.array(keys), pa.array(n)], names=["lang", "g", "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             texts = pc.utf8_lower(batch.column(2)).to_pylist()
             trusted = batch.column(1).to_pylist()
-            for lang, own in _by_language(batch.column(0).to_pylist(), texts):
-                keys, firsts = grams([texts[i] for i in own])
-                weight = np.repeat([int(trusted[i]) for i in own], np.diff(firsts))
-                unique, back = np.unique(keys, return_inverse=True)
-                held.setdefault(lang, []).append((unique, np.bincount(back, weight, len(unique)).astype(np.int64)))
-                if sum(len(k) for k, _ in held[lang]) > 1_500_000:
+            kinds = list(zip(batch.column(0).to_pylist(), trusted, strict=True))
+            for (lang, counts), own in _by_language(kinds, texts):
+                unique, n = _counted(grams([texts[i] for i in own])[0])
+                held.setdefault(lang, []).append((unique, n if counts else np.zeros_like(n)))
+                if sum(len(k) for k, _ in held[lang]) > 1_000_000:
                     held[lang] = [total(lang)]
-                    if len(held[lang][0][0]) > 1_000_000:  # what a task holds is bounded
+                    if len(held[lang][0][0]) > 500_000:  # what a task holds is bounded
                         yield row(lang)
                         held[lang] = []
         for lang in held:
@@ -151,6 +174,28 @@ def _pack(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+class _Lookup:
+    """Values of sorted keys: a table by the high bits of a product, and a binary search for keys that lost their place."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
+        slots = self._slots(keys)
+        size = 1 << (64 - int(self.shift))
+        self.own, self.value = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        self.own[slots], self.value[slots] = keys, values
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        out = self.value[slots]
+        lost = np.flatnonzero(self.own[slots] != keys)
+        out[lost] = self.values[np.searchsorted(self.keys, keys[lost])]
+        return out
+
+
 def score(rows: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
     """``row, lang, trusted, held, n, logs``: characters and summed log probabilities of every row, block by block."""
     names = ["row", "lang", "trusted", "held", "text"]
@@ -176,9 +221,12 @@ def score(rows: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
                 yield part, lang, own, keys, firsts
 
     def wanted(key: tuple, table: pa.Table) -> pa.Table:
-        distinct: dict[str | None, np.ndarray] = {}
+        parts: dict[str | None, list[np.ndarray]] = {}
         for _, lang, _, keys, _ in opened(table):
-            distinct[lang] = np.union1d(distinct.get(lang, keys[:0]), keys)
+            parts.setdefault(lang, []).append(_counted(keys)[0])
+            if len(parts[lang]) > 15:
+                parts[lang] = [np.unique(np.concatenate(parts[lang]))]
+        distinct = {lang: np.unique(np.concatenate(own)) for lang, own in parts.items()}
         sizes = [len(k) for k in distinct.values()]
         langs = pa.array(list(distinct), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
         return pa.table({"block": pa.array(np.full(sum(sizes), key[0].as_py(), np.int32)), "lang": langs, "g": pa.array(np.concatenate([*distinct.values(), np.zeros(0, np.int64)]))})
@@ -195,17 +243,16 @@ def score(rows: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
             for k, lang in enumerate(coded.dictionary.to_pylist()):
                 own = np.flatnonzero(codes == k)
                 order = own[np.argsort(g[own])]
-                known[lang] = g[order], lp[order]
+                known[lang] = _Lookup(g[order], lp[order])
         out, seen = [], {}
         for part, lang, own, keys, firsts in opened(packs):
             if id(part) not in seen:
                 seen[id(part)] = part, np.zeros(part.num_rows, np.int64), np.full(part.num_rows, np.nan)
                 out.append(seen[id(part)])
-            g, lp = known[lang] if lang in known else (keys[:0], np.zeros(0, np.float32))
             _, n, logs = seen[id(part)]
             n[own] = np.diff(firsts)
-            if len(g):  # every n-gram of a known language is in its table
-                sums = np.concatenate([[0], np.cumsum(lp[np.searchsorted(g, keys)], dtype=np.float64)])
+            if lang in known:  # every n-gram of a known language is in its table
+                sums = np.concatenate([[0], np.cumsum(known[lang](keys), dtype=np.float64)])
                 logs[own] = np.diff(sums[firsts])
         made = [p.select(["row", "lang", "trusted", "held"]).append_column("n", pa.array(n)).append_column("logs", pa.array(x)) for p, n, x in out]
         return pa.concat_tables(made)
