@@ -239,6 +239,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The documents that are not contaminated, with their own columns: at least a twentieth of a removed one's words are hit."""
-    prepared = documents.select(F.struct(*[col(c) for c in documents.columns]).alias("row"), col("text").alias("text"))
-    kept = digest(find_matches(prepared, benchmark, window)).where(~F.col("contaminated"))
-    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
+    plain = [f"c{i}" for i in range(len(documents.columns))]  # no name of theirs can clash with those added
+    found = digest(find_matches(documents.toDF(*plain), benchmark, window, plain[documents.columns.index("text")]))
+    return found.where(~F.col("contaminated")).select(*plain).toDF(*documents.columns)

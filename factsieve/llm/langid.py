@@ -241,10 +241,10 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
         known_keys, known = np.zeros(0, np.uint64), np.zeros((0, len(model.languages)), np.float32)
         for batch in batches:
             lettered = np.asarray(batch.column(len(kept)).cast(pa.int8())) > 0
-            lowered = _lower(batch.column(at))
-            best, share = np.zeros(len(lowered), np.int64), np.zeros(len(lowered))
-            for first, last in groups_by_size([len(t) for t in lowered], 8 << 20) if model.languages else ():
-                joined, starts, ends, firsts = split_words(lowered[first:last])
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            best, share = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+            for first, last in groups_by_size(sizes, 4 << 20) if model.languages else ():
+                joined, starts, ends, firsts = split_words(_lower(batch.column(at).slice(first, last - first)))
                 keys, one, back = np.unique(word_hashes(np.frombuffer(joined, np.uint8), starts, ends), return_index=True, return_inverse=True)
                 place = np.searchsorted(known_keys, keys)
                 place[place == len(known_keys)] = 0
@@ -273,6 +273,6 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
 
 def keep_identified(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents whose language is identified with a posterior of at least ``least``, with their own columns."""
-    keyed = documents.select(F.struct(*[col(c) for c in documents.columns]).alias("row"), col("text").alias("text"))
-    kept = predict(keyed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
+    plain = [f"c{i}" for i in range(len(documents.columns))]  # no name of theirs can clash with the two added
+    kept = predict(documents.toDF(*plain), model, plain[documents.columns.index("text")]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*plain).toDF(*documents.columns)
