@@ -72,8 +72,8 @@ def test_buckets_find_every_link(power):
 
 
 def test_components_of_a_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "u long, v long")
-    assert {(r.u, r.v) for r in stars(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 14)] + [(100, 101), (7, 7)], "u long, v long")
+    assert {(r.u, r.v) for r in stars(edges).collect()} == {(i, 0) for i in range(1, 15)} | {(101, 100)}
 
 
 def test_one_of_each_group_stays(spark, awkward, no_rows):
