@@ -37,6 +37,13 @@ def map_batches(frame: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Ite
     return frame.toDF(*[f"c{i}" for i in range(len(frame.columns))]).mapInArrow(step, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of fewer rows, so that few texts are open at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of every value of a string column; null reads as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

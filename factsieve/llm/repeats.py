@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.llm.common import col, groups_by_size, in_filter, key_filter, stage, text_bytes
+from factsieve.llm.common import col, groups_by_size, in_filter, key_filter, slices, stage, text_bytes
 
 LENGTH = 400
 ANCHOR = 128
@@ -139,7 +139,7 @@ def _ranges(texts: DataFrame, length: int) -> DataFrame:
     """Rows of ``_RANGE``; ``lead`` is how far the anchor lies behind the first window's start."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             k, size = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             bodies = text_bytes(batch.column(2))
             for first, last in groups_by_size([len(t) for t in bodies], 8 << 20):
@@ -274,7 +274,7 @@ def cut_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH,
     names = joined.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = {n: batch.column(i) for i, n in enumerate(names)}
             bodies = text_bytes(at["body"])
             removed, count, kept, left, sha = [], [], [], [], at["sha"].to_pylist()

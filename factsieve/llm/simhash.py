@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.llm.common import ASCII_LOWER, col, map_batches, stage, text_bytes
+from factsieve.llm.common import ASCII_LOWER, col, map_batches, slices, stage, text_bytes
 from factsieve.llm.components import stars
 
 BITS = 64
@@ -66,7 +66,7 @@ def fingerprints(documents: DataFrame, text: str = "text", name: str = "fp", wor
     schema = documents.select(*[col(c) for c in kept], F.lit(None).cast("long").alias(name)).schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = pa.array([fingerprint(t, words) for t in text_bytes(batch.column(len(kept)))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], own], names=[*kept, name])
 
