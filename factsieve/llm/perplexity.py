@@ -5,7 +5,8 @@ fifth that is held back. Counts, continuation counts, discounts, back-off weight
 language and n-gram, made by grouped counts and joins that are sharded by that key; nothing of the model is broadcast
 or collected. Documents are scored in blocks: a block sends its distinct n-grams through one join with the table of
 probabilities and gets back those it needs, so what is shuffled is each text once (compressed) and the distinct n-grams
-of each block. A language's threshold is a quantile of the perplexities of its trusted documents held back.
+of each block. Thresholds are quantiles of the perplexities of a language's trusted documents held back, one for each
+class of length, as texts of a few words vary far more than long ones.
 
 A symbol is a lower-cased character: itself below 2048, one of 2048 classes by hash beyond; white space is one symbol.
 
@@ -260,11 +261,39 @@ def score(rows: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
 
 
-def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 20) -> DataFrame:
-    """``documents`` without text, with ``perplexity``, the language's ``threshold`` and ``kept``.
+def _bits() -> F.Column:
+    """Binary digits of the length: texts of 2 ** (k - 1) to 2 ** k - 1 characters have k."""
+    return F.length(F.bin("n"))
 
-    Trusted are documents labelled of quality 1 and not toxic. ``quantile`` of a language's trusted documents held back
-    is its threshold; ``least`` of them are needed.
+
+def length_classes(held: DataFrame, per_class: int) -> DataFrame:
+    """``lang, starts``: the binary digits at which a language's length classes begin, each of ``per_class`` rows of ``held(lang, n)`` or all there are."""
+    tallies = held.groupBy("lang", _bits().alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    listed = tallies.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("s"))  # as many as a length has digits
+
+    def add(classes: F.Column, x: F.Column) -> F.Column:
+        before = F.greatest(F.size(classes) - 1, F.lit(0))
+        last = F.get(classes, F.size(classes) - 1)
+        grown = F.struct(last["k"].alias("k"), (last["m"] + x["m"]).alias("m"))
+        return F.when((F.size(classes) == 0) | (last["m"] >= per_class), F.concat(classes, F.array(x))).otherwise(F.concat(F.slice(classes, 1, before), F.array(grown)))
+
+    classes = listed.select("lang", F.aggregate("s", F.expr("cast(array() as array<struct<k: int, m: bigint>>)"), add).alias("c"))
+    short = (F.size("c") > 1) & (F.get(F.col("c"), F.size("c") - 1)["m"] < per_class)  # the longest go with the class before
+    return classes.select("lang", F.transform(F.when(short, F.slice("c", 1, F.size("c") - 1)).otherwise(F.col("c")), lambda c: c["k"]).alias("starts"))
+
+
+def in_class(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``rows(lang, n, ...)`` with ``class``; texts shorter than any held back are in the first."""
+    k = _bits()
+    return rows.join(F.broadcast(starts), "lang", "left").withColumn("class", F.greatest(F.size(F.filter("starts", lambda x: x <= k)), F.lit(1))).drop("starts")
+
+
+def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.98, least: int = 20, per_class: int = 40) -> DataFrame:
+    """``documents`` without text, with ``perplexity``, the ``threshold`` of their language and length, and ``kept``.
+
+    Trusted are documents labelled of quality 1 and not toxic. A threshold is the ``quantile`` of the trusted documents
+    held back of one language and class of length; a class has ``per_class`` of them, or is all lengths; a language
+    needs ``least``.
     """
     names = [c for c in documents.columns if c not in ("text", "perplexity", "threshold", "kept")]
     ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select(F.col("doc_id").alias("trusted_id"))
@@ -281,7 +310,10 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.995, l
     scores = score(rows, table, 1 + size // BLOCK_BYTES).join(F.broadcast(known.withColumn("known", F.lit(True))), "lang", "left")
     perplexity = F.when((F.col("n") > 0) & F.col("known"), F.exp(-F.col("logs") / F.col("n")))
     scores = stage(scores.select("row", "lang", "held", "n", perplexity.alias("perplexity")), "scores")
-    limits = scores.where("held and perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"), F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).drop("m")
-    joined = scores.join(F.broadcast(limits), "lang", "left")  # a row for each language
+    judged = stage(scores.where("held and perplexity is not null").select("lang", "n", "perplexity"), "judged")
+    starts = stage(length_classes(judged, per_class), "classes")
+    enough = judged.groupBy("lang").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("lang")
+    limits = in_class(judged.join(F.broadcast(enough), "lang"), starts).groupBy("lang", "class").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    joined = in_class(scores, starts).join(F.broadcast(limits), ["lang", "class"], "left")  # a row for each language and class
     kept = (F.col("n") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select(*[F.col("row")[c].alias(c) for c in names], "perplexity", "threshold", kept.alias("kept"))

@@ -86,3 +86,19 @@ def test_awkward_rows(spark, awkward, no_rows):
     assert got.columns == [c for c in awkward.columns if c != "text"] + ["perplexity", "threshold", "kept"] and got.count() == awkward.count()
     assert px.classify(no_rows, labels).count() == 0
     assert px.classify(awkward, labels.limit(0)).where("perplexity is not null").count() == 0
+
+
+def test_short_texts_do_not_set_the_limit_of_long_ones(spark):
+    """Held back are some few-word texts of other letters; long junk that is far below them in perplexity goes."""
+    rng = random.Random(3)
+    words = ["the", "and", "thing", "other", "est"]
+    good = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(500)]
+    odd = [(i, "".join(chr(rng.randrange(97, 123)) for _ in range(4))) for i in range(500, 600)]
+    junk = [(i, " ".join("".join(rng.sample(w, len(w))) for w in rng.choices(words, k=60))) for i in range(600, 620)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in good + odd + junk], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in px.classify(docs, labels, per_class=10).collect()}
+    limits = {r.doc_id: r.threshold for r in got.values()}
+    assert max(got[i].perplexity for i, _ in junk) < min(limits[i] for i, _ in odd)  # one limit for all would keep the junk
+    assert not any(got[i].kept for i, _ in junk)
+    assert sum(got[i].kept for i, _ in good) >= 485 and sum(got[i].kept for i, _ in odd) >= 90
