@@ -11,8 +11,11 @@ class of length, as texts of a few words vary far more than long ones.
 A symbol is a lower-cased character: itself below 2048, one of 2048 classes by hash beyond; white space is one symbol.
 
 Defined results: a document without text, or in a language without trusted text, has null perplexity; the former is not
-kept, the latter is. Null languages are a language of their own; a language with fewer than ``least`` documents held
-back has no threshold and keeps all. Repeated rows and repeated ids are scored one by one; other columns pass through.
+kept, the latter is. Null languages are a language of their own. A language with fewer than ``least`` documents held
+back is cross-fit: each of its trusted documents is judged by a model of the others (in ``FOLDS`` parts), and its
+threshold moves towards the spread of all languages as these get fewer than ``least`` too. Only a language with a
+single trusted document has no threshold and keeps all. Repeated rows and repeated ids are scored one by one; other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from factsieve.llm.common import col, groups_by_size, map_batches, stage
 
@@ -32,6 +36,8 @@ ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
 #: Text of one scoring block; trusted ids sent to every task rather than shuffled against the texts.
 BLOCK_BYTES, SMALL_IDS = 1 << 26, 2_000_000
+#: Parts of the trusted documents of a language with few.
+FOLDS = 5
 
 
 _NARROW = np.arange(SYMBOLS // 2, dtype=np.int64)  # the symbol of each character below 2048
@@ -288,12 +294,44 @@ def in_class(rows: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(starts), "lang", "left").withColumn("class", F.greatest(F.size(F.filter("starts", lambda x: x <= k)), F.lit(1))).drop("starts")
 
 
+def cross_fit(rows: DataFrame, least: int) -> DataFrame:
+    """``rows(row, id, lang, trusted, held, text)`` and those of the extra models of languages with few held back, without ``id``.
+
+    Such a language's own model learns from all its trusted documents. The models beside it are languages of their own,
+    named by a digit before the name, which no other has: model ``k`` learns from all parts but ``k`` and holds that back.
+    """
+    labelled = rows.where("(trusted or held) and text <> ''").select("lang", "id", "held")
+    few = labelled.groupBy("lang").agg(F.count_if("held").alias("m"), F.count_if(~F.col("held")).alias("learned")).where((F.col("m") < least) | (F.col("learned") == 0)).select("lang")
+    few = stage(few.withColumn("few", F.lit(True)), "few")
+    ids = labelled.join(F.broadcast(few), "lang").select("lang", "id").distinct()  # some 5 * least for each language
+    part = F.row_number().over(W.Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")) % FOLDS
+    parts = stage(ids.select("lang", "id", part.alias("part")), "parts")
+    copies = rows.where("(trusted or held) and text <> ''").join(F.broadcast(parts), ["lang", "id"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    copies = copies.select("row", F.concat(F.col("k").cast("string"), "lang").alias("lang"), (F.col("k") != F.col("part")).alias("trusted"), (F.col("k") == F.col("part")).alias("held"), "text")
+    few = F.broadcast(few)
+    own = rows.join(few, "lang", "left").select("row", "lang", F.when(F.col("few"), F.col("trusted") | F.col("held")).otherwise(F.col("trusted")).alias("trusted"), (F.col("held") & F.col("few").isNull()).alias("held"), "text")
+    return own.unionByName(copies)
+
+
+def thresholds(judged: DataFrame, starts: DataFrame, quantile: float, least: int) -> DataFrame:
+    """``lang, class, threshold`` from ``judged(lang, n, perplexity)``, documents their models have not learned from.
+
+    With fewer than ``least`` of a language, the log of the threshold is a weighted mean of the quantile's own and of
+    the language's mean plus the same quantile of all languages' distances from their means.
+    """
+    centres = judged.groupBy("lang").agg(F.avg(F.ln("perplexity")).alias("centre"), F.least(F.count(F.lit(1)) / least, F.lit(1.0)).alias("w"))
+    spread = judged.join(F.broadcast(centres), "lang").agg(F.percentile_approx(F.ln("perplexity") - F.col("centre"), quantile, 10_000).alias("spread"))
+    own = in_class(judged, starts).groupBy("lang", "class").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
+    shrunk = F.exp(F.col("w") * F.ln("own") + (1 - F.col("w")) * (F.col("centre") + F.col("spread")))
+    return own.join(F.broadcast(centres), "lang").join(F.broadcast(spread), F.lit(True)).select("lang", "class", F.when(F.col("w") >= 1, F.col("own")).otherwise(shrunk).alias("threshold"))
+
+
 def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.98, least: int = 20, per_class: int = 40) -> DataFrame:
     """``documents`` without text, with ``perplexity``, the ``threshold`` of their language and length, and ``kept``.
 
     Trusted are documents labelled of quality 1 and not toxic. A threshold is the ``quantile`` of the trusted documents
-    held back of one language and class of length; a class has ``per_class`` of them, or is all lengths; a language
-    needs ``least``.
+    held back of one language and class of length; a class has ``per_class`` of them, or is all lengths;
+    languages with fewer than ``least`` are cross-fit.
     """
     names = [c for c in documents.columns if c not in ("text", "perplexity", "threshold", "kept")]
     ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select(F.col("doc_id").alias("trusted_id"))
@@ -302,7 +340,7 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.98, le
     rows = documents.select(F.struct(*[col(c) for c in names], F.lit(0).alias("__row")).alias("row"), col("doc_id").alias("id"), F.coalesce(F.concat(F.lit("="), col("lang").cast("string")), F.lit("")).alias("lang"), F.coalesce(col("text"), F.lit("")).alias("text"))
     rows = rows.join(ids, F.col("id") == F.col("trusted_id"), "left").withColumn("trusted", F.col("trusted_id").isNotNull())
     held = F.col("trusted") & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0)
-    rows = rows.select("row", "lang", (F.col("trusted") & ~held).alias("trusted"), held.alias("held"), "text")
+    rows = cross_fit(rows.select("row", "id", "lang", (F.col("trusted") & ~held).alias("trusted"), held.alias("held"), "text"), least)
     counted = stage(count_grams(rows.where("text <> ''")), "grams")
     known = counted.where("n > 0").select("lang").distinct()
     table = probabilities(counted.join(F.broadcast(known), "lang", "left_semi"))
@@ -310,10 +348,11 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.98, le
     scores = score(rows, table, 1 + size // BLOCK_BYTES).join(F.broadcast(known.withColumn("known", F.lit(True))), "lang", "left")
     perplexity = F.when((F.col("n") > 0) & F.col("known"), F.exp(-F.col("logs") / F.col("n")))
     scores = stage(scores.select("row", "lang", "held", "n", perplexity.alias("perplexity")), "scores")
-    judged = stage(scores.where("held and perplexity is not null").select("lang", "n", "perplexity"), "judged")
+    judged = scores.where("held and perplexity is not null").select(F.regexp_replace("lang", "^[0-9]", "").alias("lang"), "n", "perplexity")
+    judged = stage(judged, "judged")
     starts = stage(length_classes(judged, per_class), "classes")
-    enough = judged.groupBy("lang").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("lang")
-    limits = in_class(judged.join(F.broadcast(enough), "lang"), starts).groupBy("lang", "class").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    limits = thresholds(judged, starts, quantile, least)
+    scores = scores.where(~F.col("lang").rlike("^[0-9]"))
     joined = in_class(scores, starts).join(F.broadcast(limits), ["lang", "class"], "left")  # a row for each language and class
     kept = (F.col("n") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select(*[F.col("row")[c].alias(c) for c in names], "perplexity", "threshold", kept.alias("kept"))

@@ -102,3 +102,20 @@ def test_short_texts_do_not_set_the_limit_of_long_ones(spark):
     assert max(got[i].perplexity for i, _ in junk) < min(limits[i] for i, _ in odd)  # one limit for all would keep the junk
     assert not any(got[i].kept for i, _ in junk)
     assert sum(got[i].kept for i, _ in good) >= 485 and sum(got[i].kept for i, _ in odd) >= 90
+
+
+def test_languages_with_few_trusted_documents_have_limits(spark):
+    rng = random.Random(4)
+    sea = {"de": ["der", "und", "ein", "schon"], "es": ["el", "cosa", "este"], None: ["the", "and", "thing"], "it": ["una", "cosa"], "fr": ["le", "et"]}
+    size = {"de": 40, "es": 6, None: 3, "it": 2, "fr": 1}
+    rows, junk = [], {}
+    for lang, n in size.items():
+        rows += [(len(rows) + i, lang, " ".join(rng.choices(sea[lang], k=50))) for i in range(n)]
+        junk[lang] = 1000 + len(junk)
+    docs = spark.createDataFrame(rows + [(i, lang, "#7Q!x ~9Z% " * 20) for lang, i in junk.items()] + [(2000, "it", None)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    out = px.classify(docs, labels).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) + len(junk) + 1
+    assert [got[i].kept for i in junk.values()] == [False] * 4 + [True] and got[junk["fr"]].threshold is None
+    assert sum(got[i].kept for i, *_ in rows) >= len(rows) - 1 and not got[2000].kept
