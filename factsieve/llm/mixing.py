@@ -1,33 +1,44 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations alone.
+"""Mixing sources to target weights by Pfair scheduling.
 
 A source's rows form blocks. Block ``j`` (from 0) of a source with weight ``w`` is released at slot ``floor(j / w)`` and
 due by ``ceil((j + 1) / w)``; every slot takes the released block with the earliest deadline. As long as no source has
 run out, each has been given its weight's share of any prefix to within less than one block.
 
-Weights are multiples of ``1 / period`` (largest remainders, at least one), so the schedule repeats: one period is
-computed by folding over its slots, and the slot of block ``j`` is its period times ``period`` plus its place in it.
-Blocks meet the plan in one join with that table, which has ``period`` rows whatever the data.
+Weights are whole numbers over their sum and never rounded: given weights are read as the decimals they print as, others
+(square roots) at 64 binary digits. The schedule is one pass over the blocks on the driver that keeps a counter for each
+source and writes the slots in parts of ``PART`` blocks; everything else is DataFrame operations. Rows meet their slot in
+one join by source and block, both dealt out by both.
 
 Order within a source is by hash of the row's key. It is numbered in two levels, buckets of a source first and rows
 of a bucket (some ``bucket_rows``) after, so the largest source is never sorted in one task. Weights are by rows or, with ``size``, by summed
 sizes: a block then ends where the running size passes a multiple of ``block``.
 
 Defined results: null sources are a source of their own; null or negative sizes count as 0; repeated rows each have a
-place; without ``weights`` a source weighs the square root of its size; a source that runs out leaves its slots empty,
-the others go on in their own proportions, and ``within_mix`` says which rows come before that; an empty table gives
-an empty mixture. Sources are few: a period has at least two slots for each.
+place; without ``weights`` a source weighs the square root of its size; when a source has run out, the others go on in
+their own proportions, and slots in which none of them has a block released stay empty; ``within_mix`` says which rows
+come before that; an empty table gives an empty mixture.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from math import isqrt, lcm
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from factsieve.llm.common import col, stage
+from factsieve.llm.common import col, shared_folder, stage
 
-#: Slots of one period; a table of more sources than half of it takes a longer one.
+#: Slots of one period of ``shares`` and ``schedule``.
 PERIOD = 1000
+#: Blocks whose slots are written at a time.
+PART = 1_000_000
 
 
 def shares(sizes: DataFrame, weight: Column, period: int = PERIOD) -> DataFrame:
@@ -77,6 +88,36 @@ def schedule(units: DataFrame, period: int = PERIOD) -> DataFrame:
     return planned.select("s", F.explode("out").alias("o")).where("o.i is not null").select(F.get(F.col("s"), F.col("o.i"))["source"].alias("source"), F.col("o.nth").alias("nth"), F.col("o.place").alias("place"))
 
 
+def whole_weights(totals: dict[str, int], weights: dict[str, float] | None) -> dict[str, int]:
+    """Whole numbers in the proportions of the weights of the sources that have rows."""
+    if weights is None:
+        return {k: isqrt(max(n, 1) << 128) for k, n in totals.items()}
+    exact = {k: Fraction(str(weights[k])) for k in totals}
+    common = lcm(*[x.denominator for x in exact.values()])
+    return {k: int(x * common) for k, x in exact.items()}
+
+
+def slots(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """``source, block_no, slot`` in the order of slots: earliest deadline first among released blocks, ties to the source first in order."""
+    total = sum(weights.values())
+    waiting = [(0, k) for k in sorted(weights) if blocks[k]]  # by release
+    ready: list[tuple[int, str]] = []  # by deadline
+    done = dict.fromkeys(weights, 0)
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // weights[k]), k))
+        k = heapq.heappop(ready)[1]
+        yield k, done[k], slot
+        done[k] += 1
+        if done[k] < blocks[k]:
+            heapq.heappush(waiting, (done[k] * total // weights[k], k))
+        slot += 1
+
+
 def _named(name: str | Column) -> Column:
     """A source as a text that is never null."""
     c = col(name).cast("string") if isinstance(name, str) else name
@@ -90,39 +131,58 @@ def interleave(
     """``documents`` with their place in the mixture, which is in the order of ``slot, in_block``.
 
     Adds ``block_no`` (within the source), ``release``, ``deadline`` and ``slot`` of the block, ``in_block`` (the row's
-    place in it), ``share`` (the weight as scheduled) and ``within_mix``. Sources that ``weights`` leave out are not mixed.
+    place in it), ``share`` (the weight) and ``within_mix``. Sources that ``weights`` leave out are not mixed. Weights
+    are no longer rounded to a ``period``, which is without effect.
     """
     names = [c for c in documents.columns if c not in ("block_no", "release", "deadline", "slot", "in_block", "share", "within_mix")]
     own = F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0)) if size else F.lit(1)
     rows = documents.select(F.struct(*[col(c) for c in names]).alias("row"), _named(source).alias("source"), F.xxhash64(col(key)).alias("h"), own.cast("long").alias("size"))
-    chosen = F.sqrt("total")
     if weights is not None:
-        pairs = [x for k, v in weights.items() if v > 0 for x in (F.lit("" if k is None else f"={k}"), F.lit(float(v)))]
-        chosen = F.create_map(*pairs)[F.col("source")] if pairs else F.lit(None)
-        rows = rows.where(F.col("source").isin(["" if k is None else f"={k}" for k, v in weights.items() if v > 0]))
+        weights = {"" if k is None else f"={k}": v for k, v in weights.items() if v > 0}
+        rows = rows.where(F.col("source").isin(list(weights)))
     spread = rows.count() // bucket_rows + 64
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 16), F.lit(spread)))
     # level one: where each bucket of a source begins, and what each source amounts to
     sums = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("amount")), "buckets")
     begins = sums.withColumn("begin", F.coalesce(F.sum("amount").over(W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("amount")
-    totals = sums.groupBy("source").agg(F.sum("amount").alias("total"))
-    period = max(period, 2 * totals.count())
-    plan = shares(totals, chosen, period)
-    places = stage(schedule(plan, period).join(plan, "source"), "schedule")  # a row for each slot of a period
-    blocks = F.floor(F.col("total") / block)  # blocks filled to the end
-    stops = places.where(F.col("nth") == blocks % F.col("units")).select(F.min(F.floor(blocks / F.col("units")) * period + F.col("place")).alias("stop"))
-    places = places.join(stops, F.lit(True)).select("source", "nth", "place", "units", "stop")
+    totals = {r.source: r.total for r in sums.groupBy("source").agg(F.sum("amount").alias("total")).collect()}  # a row for each source
+    places, targets = _written(rows.sparkSession, totals, whole_weights(totals, weights), block)
     # level two: the rows of one bucket
     inside = W.Window.partitionBy("source", "bucket").orderBy("h", "size", F.xxhash64("row"))
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     numbered = rows.withColumn("ahead", ahead).withColumn("nr", F.row_number().over(inside))
     numbered = numbered.join(begins, ["source", "bucket"]).withColumn("block_no", F.floor((F.col("begin") + F.col("ahead")) / block))
-    share = numbered.join(F.broadcast(places.select("source", "units").distinct()), "source")
-    placed = share.withColumn("nth", F.col("block_no") % F.col("units")).join(F.broadcast(places.drop("units")), ["source", "nth"])
+    placed = numbered.join(places, ["source", "block_no"]).join(F.broadcast(targets), "source")
     first = F.col("bucket") * F.lit(1 << 32) + F.col("nr")
     return placed.select(
-        *[F.col("row")[c].alias(c) for c in names], "block_no",
-        F.floor(F.col("block_no") * period / F.col("units")).alias("release"), F.ceil((F.col("block_no") + 1) * period / F.col("units")).alias("deadline"),
-        (F.floor(F.col("block_no") / F.col("units")) * period + F.col("place")).alias("slot"), first.alias("in_block"),
-        (F.col("units") / period).alias("share"), ((F.floor(F.col("block_no") / F.col("units")) * period + F.col("place")) < F.col("stop")).alias("within_mix"),
+        *[F.col("row")[c].alias(c) for c in names], "block_no", "release", "deadline", "slot", first.alias("in_block"), "share",
+        (F.col("slot") < F.col("stop")).alias("within_mix"),
     )
+
+
+def _written(spark: SparkSession, totals: dict[str, int], weights: dict[str, int], block: int) -> tuple[DataFrame, DataFrame]:
+    """The slots of all blocks as a table in the shared folder, and ``source, share, stop`` of each source."""
+    everything, path = sum(weights.values()), shared_folder(spark, "slots")
+    order = sorted(totals)
+    number = {k: i for i, k in enumerate(order)}
+    blocks = {k: n // block + 1 for k, n in totals.items()}  # the last may be begun only, or stand for rows of size 0 at the end
+    kinds = "i long, block_no long, release long, deadline long, slot long"
+    part, stop = [array("q") for _ in range(5)], None
+    spark.createDataFrame([], kinds).write.parquet(path)
+
+    def write() -> None:
+        spark.createDataFrame(pa.table([pa.array(np.frombuffer(x, np.int64)) for x in part], names=["i", "block_no", "release", "deadline", "slot"]), kinds).write.mode("append").parquet(path)
+        part[:] = [array("q") for _ in range(5)]
+
+    for k, j, slot in slots(weights, blocks):
+        if stop is None and j == blocks[k] - 1:
+            stop = slot
+        for x, v in zip(part, (number[k], j, j * everything // weights[k], -(-(j + 1) * everything // weights[k]), slot), strict=True):
+            x.append(v)
+        if len(part[0]) >= PART:
+            write()
+    if len(part[0]):
+        write()
+    targets = spark.createDataFrame([(i, k, float(Fraction(weights[k], everything)), stop) for i, k in enumerate(order)], "i int, source string, share double, stop long")
+    places = spark.read.schema(kinds).parquet(path).join(F.broadcast(targets.select("i", "source")), "i").drop("i")
+    return places, targets.drop("i")

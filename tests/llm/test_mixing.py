@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -62,3 +63,39 @@ def test_blocks_by_size_and_awkward_rows(spark, awkward, no_rows):
     assert mixing.interleave(no_rows).count() == 0
     assert mixing.interleave(awkward, weights={"other": 1.0}).count() == 0
     assert math.isclose(sum({r.source: r.share for r in rows}.values()), 1)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 0.00001, "b": 0.99999}, {"hot": 0.5} | {f"s{i}": 0.01 for i in range(50)}, {"a": 1, "b": 2, "c": 4}])
+def test_long_prefixes_keep_the_target_weights(weights):
+    whole = mixing.whole_weights(dict.fromkeys(weights, 1), weights)
+    target = {k: Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for k, w in weights.items()}
+    given, total = dict.fromkeys(weights, 0), sum(whole.values())
+    assert {k: Fraction(w, total) for k, w in whole.items()} == target
+    for at, (k, j, slot) in enumerate(mixing.slots(whole, dict.fromkeys(weights, 10**9)), 1):
+        assert j == given[k] and slot == at - 1
+        given[k] += 1
+        assert abs(given[k] - at * target[k]) < 1
+        if at % 997 == 0 or at == 30_000:
+            assert all(abs(given[x] - at * target[x]) < 1 for x in weights)
+        if at == 30_000:
+            break
+
+
+def test_rows_are_mixed_to_weights_finer_than_a_thousandth(spark):
+    docs = spark.range(24_000).selectExpr("id as doc_id", "if(id % 10 = 0, 'b', 'a') as source")
+    rows = mixing.interleave(docs, weights={"a": 0.8995, "b": 0.1005}).select("source", "slot", "within_mix", "share").collect()
+    assert len({r.slot for r in rows}) == len(rows) == 24_000
+    assert {r.source: r.share for r in rows} == {"a": 0.8995, "b": 0.1005}
+    mixed = sorted((r for r in rows if r.within_mix), key=lambda r: r.slot)
+    assert len(mixed) > 20_000 and [r.slot for r in mixed] == list(range(len(mixed)))
+    given = 0
+    for k, r in enumerate(mixed, 1):
+        given += r.source == "b"
+        assert abs(given - Fraction(201, 2000) * k) < 1
+
+
+def test_default_weights_are_square_roots(spark):
+    docs = spark.range(9_010).selectExpr("id as doc_id", "case when id < 9000 then 'a' when id < 9009 then 'b' else 'c' end as source")
+    share = {r.source: r.share for r in mixing.interleave(docs).collect()}
+    total = math.sqrt(9000) + 3 + 1
+    assert all(math.isclose(share[k], w / total, rel_tol=1e-12) for k, w in {"a": math.sqrt(9000), "b": 3, "c": 1}.items())
