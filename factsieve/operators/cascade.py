@@ -780,13 +780,13 @@ def from_images(t: PageTables, specs: list[Row]) -> DataFrame:
     return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
-def pattern_hits(text: Column, pattern: str, limit: int = 12) -> Column:
-    """First ``limit`` matches with their 0-based position: ``array<struct(i, m, at)>``.
+def pattern_hits(text: Column, pattern: str, limit: int | None = None) -> Column:
+    """All matches, or the first ``limit``, with their 0-based position: ``array<struct(i, m, at)>``.
 
     Splitting by the same pattern gives the gaps, so positions are a running sum of lengths.
     """
     def place(matches: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, limit + 1), F.length)
+        gaps = F.transform(F.split(text, pattern, -1 if limit is None else limit + 1), F.length)
         sizes = F.transform(matches, F.length)
 
         def total(values: Column, n: Column) -> Column:
@@ -797,7 +797,8 @@ def pattern_hits(text: Column, pattern: str, limit: int = 12) -> Column:
             lambda m, i: F.struct(i.alias("i"), m.alias("m"), (total(gaps, i + 1) + total(sizes, i)).alias("at")),
         )
 
-    return let(F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, limit), place)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found if limit is None else F.slice(found, 1, limit), place)
 
 
 def from_pattern(t: PageTables, specs: list[Row]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from factsieve.functions.text import squish, squish_block, truncate
 from factsieve.functions.urls import absolutize, normalize_url
 from factsieve.sources.staging import cut
+from factsieve.plans.options import NO_LIMIT
 
 KEYS = ["page_id", "scope_id"]
 
@@ -289,8 +290,8 @@ def pairs_prefix(nodes: DataFrame) -> DataFrame:
     return _pair(rows, "prefix", F.col("lead_text"), F.col("rest"), selector(), inside("chrome"))
 
 
-def pairs(nodes: DataFrame, block_rows: DataFrame) -> DataFrame:
-    """All label/value pairs, cleaned, in shape-then-document order."""
+def pairs(nodes: DataFrame, block_rows: DataFrame, max_label: int = NO_LIMIT, max_value: int = NO_LIMIT) -> DataFrame:
+    """All label/value pairs, cleaned, in shape-then-document order; those longer than a limit go."""
     rows = (
         pairs_dl(nodes).unionByName(pairs_table(nodes)).unionByName(pairs_sibling(nodes))
         .unionByName(pairs_inline(block_rows)).unionByName(pairs_prefix(nodes))
@@ -299,16 +300,17 @@ def pairs(nodes: DataFrame, block_rows: DataFrame) -> DataFrame:
         rows.withColumn("label", F.regexp_replace(squish(F.col("label")), r"[:：\-–—]\s*$", ""))
         .withColumn("value", squish(F.col("value")))
         .where(
-            (F.col("label") != "") & (F.col("value") != "") & (F.length("label") <= 60)
-            & (F.length("value") <= 500) & (F.lower("label") != F.lower("value"))
+            (F.col("label") != "") & (F.col("value") != "") & (F.length("label") <= max_label)
+            & (F.length("value") <= max_value) & (F.lower("label") != F.lower("value"))
         )
     )
 
 
 def page_digest(
-    titles: DataFrame, meta: DataFrame, pair_rows: DataFrame, texts: DataFrame, max_chars: int = 12000
+    titles: DataFrame, meta: DataFrame, pair_rows: DataFrame, texts: DataFrame,
+    max_chars: int = NO_LIMIT, max_pairs: int = NO_LIMIT, max_value: int = NO_LIMIT,
 ) -> DataFrame:
-    """``(digest)``: title, social title, description, up to 120 labelled values and the text of a page."""
+    """``(digest)``: title, social title, description, labelled values and the text of a page, whole unless limits are set."""
     named = meta.where(F.col("key").isin("og:title", "og:description", "description")).groupBy(*KEYS).agg(
         F.max(F.when(F.col("key") == "og:title", F.col("value"))).alias("og_title"),
         F.coalesce(
@@ -316,10 +318,10 @@ def page_digest(
             F.max(F.when(F.col("key") == "description", F.nullif("value", F.lit("")))),
         ).alias("meta_description"),
     )
-    line = F.concat("label", F.lit(": "), truncate(F.col("value"), 200))
+    line = F.concat("label", F.lit(": "), truncate(F.col("value"), max_value))
     labelled = (
         pair_rows.where(~F.col("boilerplate")).groupBy(*KEYS)
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("kind_rank", "node_id", line.alias("line")))), 1, 120).alias("rows"))
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("kind_rank", "node_id", line.alias("line")))), 1, max_pairs).alias("rows"))
         .select(*KEYS, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("lines"))
     )
     def part(prefix: str, c: str) -> Column:

@@ -172,3 +172,15 @@ def test_scope_is_a_page_of_its_own(spark):
     t = PageTables(frame(spark, html).withColumn("final_url", F.col("url")), page.item_scopes(nodes, item))
     assert t.meta.count() == 0
     assert [(r.text, r.boilerplate) for r in t.blocks.collect()] == [("one", False)]
+
+
+def test_long_pages_are_whole_in_digests_and_patterns(spark):
+    facts = "".join(f"<dt>Fact {i}</dt><dd>{'word ' * 110}end{i}.</dd>" for i in range(130))
+    phones = "".join(f"<p>Call +95 9 7712 {3000 + i}.</p>" for i in range(20))
+    t = page_tables(frame(spark, f"<body><dl>{facts}</dl>{phones}<p>The last line.</p></body>"))
+    text = t.digests.first().digest
+    assert text.endswith("The last line.") and len(text) > 100_000
+    labelled = text.split("PAGE TEXT:")[0]
+    assert all(f"end{i}." in labelled for i in range(130))
+    hits = spark.createDataFrame([("a1 " * 15,)], "text string").select(cascade.pattern_hits(F.col("text"), r"a\d").alias("h")).first().h
+    assert [(h.i, h.m, h["at"]) for h in hits] == [(i, "a1", 3 * i) for i in range(15)]
