@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import decontaminate, html, langid, licences, mixing, perplexity, quality, repeats, simhash, warc
+from factsieve.llm import bpe, conversations, decontaminate, html, langid, licences, mixing, perplexity, phrases, quality, repeats, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text").withColumns({"base_labels": F.array_join("base_labels", ","), "labels": F.array_join("labels", ",")})
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_perplexity": op1_perplexity,
     "op2_warc": op2_warc,
@@ -70,4 +82,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_licences": op10_licences,
+    "op11_conversations": op11_conversations,
+    "op12_bpe": op12_bpe,
+    "op13_phrases": op13_phrases,
 }
