@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factsieve.functions import kinds as K
@@ -10,13 +11,30 @@ from factsieve.functions.text import squish
 
 MATCH_CONFIDENCE = 0.6
 SNIPPET_CHARS = 200
+#: Characters of page digests that fill a request.
+REQUEST_CHARS = 60_000
 
 
-def match_requests(unresolved: DataFrame, digests: DataFrame) -> DataFrame:
-    """One request per site: the labels still open and the numbered page digests.
+def pack_digests(digests: DataFrame, max_chars: int = REQUEST_CHARS, bucket: int = 1024) -> DataFrame:
+    """``digests`` with ``number`` (of the page in its site, from 1) and ``part``: the numbered request it travels in.
+
+    Running sums of the sizes deal pages out: a request begins where ``max_chars`` are full, so none holds more than that
+    and one digest. A site may have any share of the pages, so the sums are two-level: inside buckets of visits, and
+    over the buckets of a site.
+    """
+    rows = digests.withColumn("bucket", F.floor(F.col("visit") / bucket)).withColumn("chars", F.length("digest").cast("bigint"))
+    inside = W.partitionBy("site", "bucket").orderBy("visit", "url").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("site").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("site", "bucket").agg(F.sum("chars").alias("c"), F.count("*").alias("k")).select(
+        "site", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("pages_before"))
+    placed = rows.withColumn("at", F.coalesce(F.sum("chars").over(inside), F.lit(0))).withColumn("i", F.count("*").over(inside)).join(sums, ["site", "bucket"])
+    return placed.select(*digests.columns, (F.col("pages_before") + F.col("i") + 1).alias("number"), F.floor((F.col("chars_before") + F.col("at")) / max_chars).alias("part"))
+
+
+def match_requests(unresolved: DataFrame, digests: DataFrame, max_chars: int = REQUEST_CHARS) -> DataFrame:
+    """``(site, part, request)``: the labels still open with the page digests of the site, some pages a request.
 
     ``unresolved(site, pos, field_key, label, value_type, plural)``, ``digests(site, visit, url, digest)``.
-    Sites hold a handful of read pages, so the ordered lists stay small.
     """
     line = F.concat(
         F.lit("- key: "), "field_key", F.lit(' | label: "'), "label", F.lit('" | expected kind: '), "value_type",
@@ -25,14 +43,11 @@ def match_requests(unresolved: DataFrame, digests: DataFrame) -> DataFrame:
     fields = unresolved.groupBy("site").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("fields")
     )
-    extract = digests.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("visit", "url", "digest"))).alias("d")).select(
-        "site",
-        F.array_join(
-            F.transform("d", lambda x, i: F.concat(F.lit("--- PAGE "), i + 1, F.lit(": "), x["url"], F.lit(" ---\n"), x["digest"])), "\n\n"
-        ).alias("extract"),
-    )
+    page = F.concat(F.lit("--- PAGE "), "number", F.lit(": "), "url", F.lit(" ---\n"), "digest")
+    extract = pack_digests(digests.select("site", "visit", "url", "digest"), max_chars).groupBy("site", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", page.alias("p")))), lambda x: x["p"]), "\n\n").alias("extract"))
     return fields.join(extract, "site").select(
-        "site", F.concat(F.lit("FIELDS TO FIND:\n"), "fields", F.lit("\n\nPAGE EXTRACT:\n"), "extract").alias("request")
+        "site", "part", F.concat(F.lit("FIELDS TO FIND:\n"), "fields", F.lit("\n\nPAGE EXTRACT:\n"), "extract").alias("request")
     )
 
 
@@ -99,3 +114,28 @@ def to_candidates(rows: DataFrame, specs: list[Row]) -> DataFrame:
         F.lit(MATCH_CONFIDENCE).alias("confidence"), F.lit("external match").alias("method"), F.lit(None).cast("string").alias("selector"),
         "source_url", F.lit(0).alias("ord"), F.substring(squish(F.col("snippet")), 1, SNIPPET_CHARS).alias("snippet"),
     )
+
+
+def with_replies(candidates: DataFrame, responses: DataFrame, digests: DataFrame, specs: list[Row], wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(candidates, rejected)``: a site's pool with what its replies add, and reply values that no page shows.
+
+    ``candidates(site, visit, field_key, type, identity, value, ...)``, ``responses(site, response)``, several to a site if
+    its digests travelled in several requests. A value the pool has under the same identity keeps its place and the
+    higher confidence; others come after all pages. With ``wanted(site, field_key)`` replies count for those labels only.
+    """
+    values = match_responses(responses, specs).distinct()
+    if wanted is not None:
+        values = values.join(wanted.select("site", "field_key").distinct(), ["site", "field_key"], "left_semi")
+    judged = ground(values, digests)
+    key = ["site", "field_key", "identity"]
+    told = to_candidates(judged, specs).groupBy(*key, "type").agg(
+        F.min_by(F.struct("value", "method", "selector", "source_url"), "value").alias("m"), F.max("confidence").alias("told"))
+    merged = candidates.join(told.withColumnRenamed("type", "m_type"), key, "full_outer")
+    own = F.col("type").isNotNull()
+    better = F.coalesce(F.col("told") > F.col("confidence"), ~own)
+    made = {
+        "type": F.coalesce("type", "m_type"), "value": F.coalesce("value", "m.value"), "confidence": F.greatest("confidence", "told"),
+        "method": F.when(better, F.col("m.method")).otherwise(F.col("method")), "selector": F.when(own & ~better, F.col("selector")),
+        "source_url": F.coalesce("source_url", "m.source_url"), "visit": F.coalesce("visit", F.lit(2**31 - 1)), "ord": F.coalesce("ord", F.lit(0)),
+    }
+    return merged.select(*[made[c].alias(c) if c in made else F.col(c) for c in candidates.columns]), judged.where(~F.col("grounded"))

@@ -74,16 +74,35 @@ def page_scope(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("scope_id", F.lit(0))
 
 
+def nested_levels(items: DataFrame) -> DataFrame:
+    """``items(page_id, node_id, last_desc)`` with ``level``: how many items enclose each, itself included.
+
+    Items are intervals of document order, nested or apart, so the level is a running sum of openings less closings.
+    """
+    opens = items.select("page_id", F.col("node_id").alias("at"), F.lit(1).alias("step"), "node_id", "last_desc")
+    closes = items.select("page_id", (F.col("last_desc") + 1).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("int").alias("node_id"), F.lit(None).cast("int").alias("last_desc"))
+    running = W.partitionBy("page_id").orderBy("at", "step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return opens.unionByName(closes).withColumn("level", F.sum("step").over(running)).where("step = 1").select("page_id", "node_id", "last_desc", "level")
+
+
+def scope_members(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """``(page_id, node_id, scope_id)``: every element with each item it lies in, by a sweep in document order.
+
+    At any element at most one item of each level is open, and it is the last of its level to have begun. Elements are
+    looked at once for each level their page has; nothing is compared with every item.
+    """
+    levels = nested_levels(items)
+    depth = levels.groupBy("page_id").agg(F.max("level").alias("levels"))
+    places = nodes.select("page_id", "node_id").join(depth, "page_id").select("page_id", "node_id", F.explode(F.expr("sequence(1L, levels)")).alias("level"), F.lit(None).cast("struct<node_id:int,last_desc:int>").alias("item"))
+    starts = levels.select("page_id", "node_id", "level", F.struct("node_id", "last_desc").alias("item"))
+    order = W.partitionBy("page_id", "level").orderBy("node_id", F.col("item").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = places.unionByName(starts).select("page_id", "node_id", F.col("item").isNull().alias("element"), F.last("item", ignorenulls=True).over(order).alias("open"))
+    return swept.where(F.col("element") & (F.col("open.last_desc") >= F.col("node_id"))).select("page_id", "node_id", F.col("open.node_id").alias("scope_id"))
+
+
 def item_scopes(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """Element rows re-keyed so that each ``items(page_id, node_id, last_desc)`` row is a page of its own."""
-    spans = items.select("page_id", F.col("node_id").alias("scope_id"), F.col("last_desc").alias("scope_end"))
-    plain = nodes.drop("scope_id")
-    return plain.join(
-        spans,
-        (plain.page_id == spans.page_id)
-        & (plain.node_id >= spans.scope_id)
-        & (plain.node_id <= spans.scope_end),
-    ).drop(spans.page_id).drop("scope_end")
+    return nodes.drop("scope_id").join(scope_members(nodes, items), ["page_id", "node_id"])
 
 
 def text_nodes(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 #: What a limit is when none is set: the defaults drop no records, list items or list pages.
@@ -10,7 +11,7 @@ NO_LIMIT = 2**31 - 3
 
 @dataclass(frozen=True)
 class Options:
-    """``mode`` is auto, list or single; ``max_pagination_pages`` may be ``"all"``."""
+    """``mode`` is auto, list or single; ``max_pagination_pages`` may be ``"all"``; ``as_of`` chooses among dated snapshots."""
 
     mode: str = "auto"
     max_records: int = NO_LIMIT
@@ -22,6 +23,8 @@ class Options:
     max_pagination_pages: int | str | None = "all"
     min_confidence: float = 0.4
     max_list_items: int = NO_LIMIT
+    as_of: dt.datetime | None = None
+    robots_agent: str = "*"
 
 
 def page_budget(options: Options) -> int:

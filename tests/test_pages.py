@@ -1,5 +1,7 @@
 """Element rows, page relations and the single-page cascade on small hand-written pages."""
 
+import random
+
 import pages as pg
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from factsieve.operators import cascade, classify, images, page, records, struct
 from factsieve.operators.labels import spec_rows
 from factsieve.operators.select import pool, site_fields
 from factsieve.operators.tables import PageTables
-from factsieve.plans.extract import page_tables
+from factsieve.plans.extract import page_records, page_tables
 from factsieve.sources.nodes import explode_nodes
 
 LABELS = [
@@ -174,6 +176,38 @@ def test_scope_is_a_page_of_its_own(spark):
     assert [(r.text, r.boilerplate) for r in t.blocks.collect()] == [("one", False)]
 
 
+def test_nested_scopes_by_sweep(spark):
+    """Random trees, items nested in items: the sweep against every interval."""
+    rng = random.Random(4)
+    nodes, items = [], []
+    for p in range(30):
+        ends, stack, n = {}, [], rng.randrange(1, 60)
+        for i in range(1, n + 1):
+            while stack and rng.random() < 0.4:
+                ends[stack.pop()] = i - 1
+            stack.append(i)
+        ends |= dict.fromkeys(stack, n)
+        nodes += [(p, i, ends[i]) for i in range(1, n + 1)]
+        items += [(p, i, ends[i]) for i in range(1, n + 1) if p and rng.random() < 0.3]
+    frame = spark.createDataFrame(nodes, "page_id long, node_id int, last_desc int")
+    chosen = spark.createDataFrame(items, "page_id long, node_id int, last_desc int")
+    swept = page.item_scopes(frame.withColumn("scope_id", F.lit(0)), chosen)
+    want = sorted((p, n, a) for p, n, _ in nodes for q, a, b in items if p == q and a <= n <= b)
+    assert sorted((r.page_id, r.node_id, r.scope_id) for r in swept.collect()) == want
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and ">=" not in plan.split("Join")[0]
+
+
+def test_a_list_led_by_adverts(spark):
+    """Groups are judged by all their items: four empty ones in front do not hide a list."""
+    adverts = "".join(f'<div class="card"><h4>Save now {i}</h4><p class="tel">on everything</p><p class="addr">while it lasts</p></div>' for i in range(4))
+    cards = "".join(f'<div class="card"><h4>Firm {i}</h4><p class="tel"><a href="tel:0415550{i:03}">041 555 0{i:03}</a></p><p class="addr">Unit {i}, Harbour Lane, Eastwick</p></div>' for i in range(30))
+    t = page_tables(frame(spark, f"<main>{cards}</main>", f"<main>{adverts}{cards}</main>"))
+    out = page_records(t, spec_rows(spark, ["Name", "Phone Number", "Address"]))
+    got = {r.page_id: r.n for r in out.records.where("fields_found = 3").groupBy("page_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {1: 30, 2: 30}
+
+
 def test_long_pages_are_whole_in_digests_and_patterns(spark):
     facts = "".join(f"<dt>Fact {i}</dt><dd>{'word ' * 110}end{i}.</dd>" for i in range(130))
     phones = "".join(f"<p>Call +95 9 7712 {3000 + i}.</p>" for i in range(20))

@@ -1,6 +1,9 @@
 """List walks, site expansion, sinks and crawl tables."""
 
 import datetime as dt
+import hashlib
+import random
+import re
 
 import pages as pg
 import pytest
@@ -10,7 +13,8 @@ from factsieve.operators import fetching, links, matching, places, select
 from factsieve.operators.labels import parse_labels, spec_rows
 from factsieve.operators.records import record_fields
 from factsieve.plans.expand import expand_site, site_page_facts  # noqa: F401
-from factsieve.plans.extract import extract, extract_list, extract_single, page_records, page_tables
+from factsieve.plans import snapshots
+from factsieve.plans.extract import extract, extract_list, extract_single, open_requests, page_records, page_tables, with_replies
 from factsieve.plans.options import NO_LIMIT, Options, page_budget
 from factsieve.plans.walk import page_facts, walk_pages
 from factsieve.sources import pages as sources
@@ -197,6 +201,102 @@ def test_robots_and_cache(spark):
     assert "http://a.example/" not in due and "http://b.example/admin/" in due
 
 
+def _plain_gate(rules, url):
+    """The longest pattern of the origin that matches from the left, allow before disallow."""
+    origin = "/".join(url.split("/")[:3])
+    target = "/" + "/".join(url.split("/")[3:])
+    hits = [(len(p), a) for o, _, a, p, _ in rules if o == origin and p and re.match(re.escape(p).replace(r"\*", ".*").replace(r"\$", "$"), target)]
+    return max(hits)[1] if hits else True
+
+
+def test_robots_of_a_hot_origin_with_many_rules(spark):
+    rng = random.Random(2)
+    words = ["a", "b", "en", "shop", "x1", "y", "list"]
+    path = lambda: "/" + "/".join(rng.choice(words) for _ in range(rng.randrange(4)))
+    rules = [("http://hot.example", "*", rng.random() < 0.4, path() + rng.choice(["", "", "/", "*", "*/y", "$", f"?q={k}"]), 100) for k in range(10_000)]
+    rules += [("http://hot.example", "*", False, "/*?page=", None), ("http://o.example", "*", False, "", 5), ("http://p.example", "bot", False, "/", 7), ("http://p.example", "*", True, "/", 9)]
+    urls = [f"http://hot.example{path()}{rng.choice(['', '', '?page=2', '?q=7', '/'])}" for _ in range(900)] + [f"http://o.example{path()}" for _ in range(100)]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    table = spark.createDataFrame(rules, "origin string, agent string, allow boolean, pattern string, crawl_delay_ms bigint")
+    got = fetching.robots_gate(frame, table).collect()
+    assert sorted(r.url for r in got) == sorted(urls)
+    def rooted(u):
+        return u if u.count("/") > 2 else u.replace("?", "/?") if "?" in u else u + "/"
+
+    wrong = {r.url for r in got if r.allowed != _plain_gate(rules, rooted(r.url))}
+    assert wrong == set() and len({r.allowed for r in got}) == 2
+    plans = fetching.robots_gate(frame, table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plans and "Cartesian" not in plans
+    named = spark.createDataFrame([("http://p.example/z",)], "url string")
+    assert not fetching.robots_gate(named, table, "bot").first().allowed and fetching.robots_gate(named, table).first().allowed
+
+
+def test_changes_of_one_url_with_most_crawls(spark):
+    rng = random.Random(3)
+    start = dt.datetime(2026, 1, 1)
+    crawls = [("http://hot.example/", start + dt.timedelta(seconds=k // 3), rng.choice("ab")) for k in range(6000)]
+    crawls += [(f"http://u{k % 50}.example/", start + dt.timedelta(days=k), rng.choice("ab")) for k in range(600)]
+    got = fetching.changed_pages(spark.createDataFrame(crawls, "url string, fetched_at timestamp, html string").repartition(7)).collect()
+    before, want = {}, []
+    for u, at, _, h in sorted((u, at, hashlib.sha256(h.encode()).hexdigest(), h) for u, at, h in crawls):
+        want.append((u, at, before.get(u) != h))
+        before[u] = h
+    key = lambda rows: sorted(rows)
+    assert key((r.url_key, r.fetched_at, r.changed) for r in got) == key(want)
+
+
+def test_snapshots_of_a_run(spark):
+    full = "<h1>Acme Works</h1><p><a href='tel:+95977123456'>+95 977 123 456</a></p>" + "<p>words of the page</p>" * 5
+    day = lambda n: dt.datetime(2026, 1, n)
+    rows = [
+        (1, "http://a.example/", "<div id='root'></div>" + " " * 80, "static", day(1)), (2, "http://a.example/", full, "playwright", day(2)),
+        (3, "http://b.example/", full.replace("Acme", "Old"), "static", day(1)), (4, "http://b.example/", full.replace("Acme", "New"), "static", day(5)),
+        (5, "http://c.example/", full.replace("Acme", "Shown"), "static", day(1)), (6, "http://c.example/", "<p>x</p>", "playwright", day(2)),
+        (7, "http://d.example/private/", full, "static", day(1)),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, renderer string, fetched_at timestamp")
+    rules = spark.createDataFrame([("http://d.example", "*", False, "/private", None)], "origin string, agent string, allow boolean, pattern string, crawl_delay_ms bigint")
+    t = page_tables(pages)
+    seeds = pages.select("url").distinct()
+    out = extract_single(pages, seeds, ["Business Name", "Phone Number"], Options(follow_internal_links=False), t, rules)
+    got = {r.site: r.value for r in out.fields.where("field_key = 'business_name'").collect()}
+    assert got == {"http://a.example/": "Acme Works", "http://b.example/": "New Works", "http://c.example/": "Shown Works", "http://d.example/private": None}
+    assert [(r.page_id, r.type) for r in out.errors.where("type = 'robots_disallowed'").collect()] == [(7, "robots_disallowed")]
+    assert {r.page_id for r in out.visits.collect()} == {2, 4, 5}
+    good = spark.createDataFrame([(3, 1), (4, 1)], "page_id long, good long")
+    then = snapshots.pages_to_read(t.pages.where("page_id in (3, 4)"), good, as_of=day(3))
+    assert [r.page_id for r in then.collect()] == [3]
+
+
+def test_replies_join_the_pool(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<h1>Acme Works</h1><p>We are a Marine Chandlery since 1901.</p>")], "page_id long, url string, html string")
+    names = ["Business Name", "Trade Segment"]
+    t = page_tables(pages)
+    out = extract_single(pages, pages.select("url"), names, Options(follow_internal_links=False), t)
+    asked = open_requests(t, out, names).collect()
+    assert len(asked) == 1 and "- key: trade_segment" in asked[0].request and "business_name" not in asked[0].request and "Marine Chandlery" in asked[0].request
+    reply = '{"fields":[{"key":"trade_segment","value":"Marine Chandlery","snippet":"since 1901"},{"key":"trade_segment","value":"Bakery","snippet":"none"},{"key":"business_name","value":"Other Works"}]}'
+    told = with_replies(t, out, names, spark.createDataFrame([("http://a.example/", reply)], "site string, response string"))
+    got = {r.field_key: r for r in told.fields.collect()}
+    assert got["business_name"].value == "Acme Works" and got["trade_segment"].value == "Marine Chandlery"
+    assert (got["trade_segment"].confidence, got["trade_segment"].method, got["trade_segment"].source_url) == (0.6, "external match", "http://a.example/")
+    assert any("rejected" in r.message for r in told.warnings.collect()) and told.status.first().status == "ok"
+
+
+def test_requests_are_packed(spark):
+    digests = spark.createDataFrame([("s", v, f"u{v}", "x" * (30 + v % 7)) for v in range(3000)] + [("t", 0, "w", "y" * 500)], "site string, visit int, url string, digest string")
+    packed = matching.pack_digests(digests, 400, 64).collect()
+    own = sorted((r.number, r.part, len(r.digest), r.url) for r in packed if r.site == "s")
+    assert [o[0] for o in own] == list(range(1, 3001)) and [o[3] for o in own] == [f"u{v}" for v in range(3000)]
+    total = 0
+    for _, part, n, _ in own:
+        assert part == total // 400
+        total += n
+    asked = matching.match_requests(spark.createDataFrame([("s", 0, "k", "K", "text", False), ("t", 0, "k", "K", "text", True)], "site string, pos int, field_key string, label string, value_type string, plural boolean"), digests, 400)
+    sizes = [len(r.request) for r in asked.collect()]
+    assert len(sizes) == own[-1][1] + 2 and max(sizes) < 2000
+
+
 def test_matcher_tables(spark):
     specs = spec_rows(spark, ["Phone Number", "Amenities"])
     reply = '{"fields":[{"key":"phone_number","value":"+959 7712 3456","snippet":"Call us"},{"key":"amenities","value":["Sauna","Moon pool"],"snippet":"no such"},{"key":"other","value":"x"},{"key":"amenities","value":null}]}'
