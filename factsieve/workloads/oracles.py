@@ -314,6 +314,24 @@ ORACLES: dict[str, str] = {
     "site_answers": " union all ".join(
         f"select 'http://c' || c_custkey || '.example/' as site, '{k}' as field_key, {v} as value, 'http://c' || c_custkey || '{u}' as source_url, {c}::double as confidence, 2::bigint as pages, 1::int as depth, 'ok' as status from customer"
         for k, v, u, c in (("business_name", "c_name", ".example", "0.75"), ("phone_number", "'+64 9 ' || lpad(c_custkey::varchar, 7, '0')", ".example/contact.html", "0.74"))),
+    "gated_snapshots": f"""with c as (select *, c_custkey % 5 = 0 as shut, lpad(c_custkey::varchar, 7, '0') as d from customer)
+ select 'http://r' || c_custkey || '.example/' as site, k.field_key, case when shut then '' when k.field_key = 'business_name' then c_name else '+64 9 ' || d end as value,
+ case when shut then -1 when c_custkey % 3 = 0 then c_custkey * 4 + 1 else c_custkey * 4 end::bigint as page_id, case when shut then 'error' else 'ok' end as status
+ from c, (select unnest(['business_name', 'phone_number']) as field_key) k""",
+    "matched_answers": """select 'http://m' || c_custkey || '.example/' as site, k.field_key, case when k.field_key = 'business_name' then c_name when c_custkey % 4 in (0, 1) then '' else c_mktsegment end as value,
+ case when k.field_key = 'business_name' then 0.75 when c_custkey % 4 in (0, 1) then 0 else 0.6 end::double as confidence,
+ case when k.field_key = 'business_name' then 'h1' when c_custkey % 4 in (0, 1) then '' else 'external match' end as method, case when c_custkey % 4 in (0, 1) then 'partial' else 'ok' end as status
+ from customer, (select unnest(['business_name', 'trade_segment']) as field_key) k""",
+    "page_access": """select c_custkey as page_id, (c_custkey % 6 not in (1, 2))::int as usable, ['', 'login_required', 'captcha', '', '', ''][(c_custkey % 6 + 1)::int] as type,
+ ['', 'password field', 'just a moment', '', '', ''][(c_custkey % 6 + 1)::int] as marker,
+ ['', 'very little visible text (0 chars)', 'very little visible text (39 chars)', 'empty SPA mount point (#app)', '<noscript> asks for JavaScript', '3 lazy-loaded images and no <img src>'][(c_custkey % 6 + 1)::int] as reason from customer""",
+    "sheet_digests": """with f as (select c_custkey as k, ['Name', 'Telephone', 'Industry', 'Email'] as l, [c_name, '+64 9 ' || lpad(c_custkey::varchar, 7, '0'), c_mktsegment, 'desk' || c_custkey || '@mail' || c_nationkey || '.example.org'] as v from customer),
+ p as (select k, array_to_string(list_transform(range(1, 5), lambda i: l[i] || ': ' || v[i]), chr(10)) as pairs, array_to_string(list_transform(range(1, 5), lambda i: l[i] || chr(10) || v[i]), chr(10)) as cells from f)
+ select k as page_id, 'LABELLED VALUES:' || chr(10) || case when k % 3 = 0 then pairs || chr(10) || pairs else pairs end || chr(10) || chr(10) || 'PAGE TEXT:' || chr(10) || case when k % 3 = 2 then pairs else cells end as digest from p""",
+    "match_requests": """with d as (select conv_id || '/' || (turn // 5) as site, turn, 'http://conv.example/' || conv_id || '/' || turn as url, text from conversations),
+ s as (select *, row_number() over w as number, coalesce(sum(length(text)) over (partition by site order by turn, url rows between unbounded preceding and 1 preceding), 0) // 2000 as part from d window w as (partition by site order by turn, url))
+ select site, part::bigint as part, md5('FIELDS TO FIND:' || chr(10) || '- key: city | label: "City" | expected kind: text' || chr(10) || '- key: phone_numbers | label: "Phone Numbers" | expected kind: phone (list of values)'
+ || chr(10) || chr(10) || 'PAGE EXTRACT:' || chr(10) || string_agg('--- PAGE ' || number || ': ' || url || ' ---' || chr(10) || text, chr(10) || chr(10) order by number)) as request from s group by site, part""",
     "link_relevance": """select c_custkey * 4 as page_id, 0 as rank, 'http://c' || c_custkey || '.example/contact.html' as url, 1.895::double as score,
  'path matches contact; likely page for these fields (/contact); link text mentions contact; common section page (/contact)' as reasons from customer
  union all select c_custkey * 4, 1, 'http://c' || c_custkey || '.example/about-us', 0.805::double, 'likely page for these fields (/about); common section page (/us)' from customer""",

@@ -375,6 +375,53 @@ def site_answers(spark, sf):
     return rows.select("site", "field_key", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("source_url", F.lit("")).alias("source_url"), "confidence", "pages", "depth", "status")
 
 
+def gated_snapshots(spark, sf):
+    """Runs over several snapshots of each page; robots rules forbid every fifth site."""
+    pages = R.snapshot_pages(spark, sf)
+    seeds = pages.select("url").distinct()
+    origin = F.regexp_extract("url", r"^http://r\d+\.example", 0)
+    rules = seeds.where(F.regexp_extract("url", r"r(\d+)", 1).cast("long") % 5 == 0).select(
+        origin.alias("origin"), F.lit("*").alias("agent"), F.lit(False).alias("allow"), F.lit("/").alias("pattern"), F.lit(None).cast("bigint").alias("crawl_delay_ms"))
+    out = run.extract_single(pages, seeds, ["Business Name", "Phone Number"], Options(follow_internal_links=False), rules=rules)
+    read = out.visits.select("site", "page_id")
+    return out.fields.join(read, "site", "left").join(out.status.select("site", "status"), "site").select(
+        "site", "field_key", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("page_id", F.lit(-1)).alias("page_id"), "status")
+
+
+def matched_answers(spark, sf):
+    """A run, and the replies of an external matcher to the labels it left open read back."""
+    pages = R.segment_pages(spark, sf)
+    names = ["Business Name", "Trade Segment"]
+    key = F.col("c_custkey")
+    said = F.when(key % 4 == 0, F.lit("Zeppelins")).otherwise(F.col("c_mktsegment"))
+    reply = F.to_json(F.struct(F.array(
+        F.struct(F.lit("trade_segment").alias("key"), said.alias("value"), F.lit("dealt in").alias("snippet")),
+        F.struct(F.lit("business_name").alias("key"), F.lit("Since 1901").alias("value"), F.lit(None).cast("string").alias("snippet"))).alias("fields")))
+    replies = pages.where(key % 4 != 1).select(U.normalize_url(F.col("url")).alias("site"), reply.alias("response"))
+    own = pages.select("page_id", "url", "html")
+    t = run.page_tables(own)
+    out = run.extract_single(own, own.select("url"), names, Options(follow_internal_links=False), t)
+    told = run.with_replies(t, out, names, replies)
+    return told.fields.join(told.status.select("site", "status"), "site").select(
+        "site", "field_key", F.coalesce("value", F.lit("")).alias("value"), "confidence", F.coalesce("method", F.lit("")).alias("method"), "status")
+
+
+def page_access(spark, sf):
+    """What kind of page each is: read or not, and whether a browser is wanted."""
+    t = _tables(R.access_pages(spark, sf))
+    usable, errors = classify.usable_pages(t.pages, t.nodes, t.texts)
+    wanted = classify.needs_rendering(t.pages, t.nodes, t.texts)
+    read = usable.select("page_id", F.lit(1).alias("usable"))
+    return wanted.join(read, "page_id", "left").join(errors, "page_id", "left").select(
+        "page_id", F.coalesce("usable", F.lit(0)).alias("usable"), F.coalesce("type", F.lit("")).alias("type"), F.coalesce("marker", F.lit("")).alias("marker"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def sheet_digests(spark, sf):
+    """The digests of fact sheets, whole."""
+    t = _tables(R.customer_pages(spark, sf))
+    return t.digests.select("page_id", "digest")
+
+
 # ---- crawl tables ---------------------------------------------------------------------------
 
 def _fetch_log(spark, sf) -> DataFrame:
@@ -468,7 +515,7 @@ def match_requests(spark, sf):
     specs = labels.spec_rows(spark, ["City", "Phone Numbers"])
     d = _digests(spark, sf)
     asked = select.requested(d.select("site"), specs)
-    return matching.match_requests(asked, d).select("site", F.md5("request").alias("request"))
+    return matching.match_requests(asked, d, 2000).select("site", "part", F.md5("request").alias("request"))
 
 
 def place_sheets(spark, sf):
@@ -500,7 +547,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         supplier_cards, supplier_coverage, part_jsonld, part_microdata, part_entries, customer_pairs, customer_pair_shapes, part_pictures,
-        supplier_profiles, supplier_facilities, supplier_contacts, long_pages, list_warnings, supplier_json, order_walk, site_answers, url_normalize, url_identity, url_pagenum, url_site, url_tokens,
+        supplier_profiles, supplier_facilities, supplier_contacts, long_pages, list_warnings, supplier_json, order_walk, site_answers, gated_snapshots, matched_answers, page_access, sheet_digests, url_normalize, url_identity, url_pagenum, url_site, url_tokens,
         seed_check, text_clean, text_tokens, trigram_names, doc_emails, doc_phones, doc_prices, line_kinds, identity_words, map_coordinates,
         social_profiles, csv_cells, label_kinds, label_types, label_specs, node_counts, page_titles, page_links, page_headings, page_chrome,
         page_names, page_digests, page_rendering, page_next, link_relevance, page_groups, page_notices, fetch_outcomes, host_schedule,

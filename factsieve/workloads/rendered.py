@@ -232,3 +232,41 @@ def notice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("page_id"), text("http://doc.example/", key).alias("url"), document("", text("<p>", clean, "</p>", sign)).alias("html"),
         F.when(key % 11 == 0, 403).when(key % 13 == 0, 429).otherwise(200).alias("status"),
     )
+
+
+def snapshot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of a page per customer: an empty shell and its rendered copy, or a full page and a broken copy, or the full page alone; one older version of every ninth."""
+    key = F.col("c_custkey")
+    full = document("<title>Welcome</title>", text("<h1>", F.col("c_name"), '</h1><p><a href="tel:+649', pad(key, 7), '">+64 9 ', pad(key, 7), "</a></p>"))
+    old = document("<title>Welcome</title>", text("<h1>Former ", F.col("c_name"), "</h1><p>This page has moved and is kept for the record only, with no number to call.</p>"))
+    shell = document("", '<div id="root"></div><script src="/app.js"></script><script src="/vendor.js"></script>')
+
+    def one(n: int, renderer: str, html: Column, day: int, shown: Column) -> Column:
+        return F.when(shown, F.struct((key * 4 + n).alias("page_id"), F.lit(renderer).alias("renderer"), html.alias("html"), F.make_timestamp(F.lit(2026), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0)).alias("fetched_at")))
+
+    form = key % 3
+    copies = F.array_compact(F.array(
+        one(0, "static", F.when(form == 0, shell).otherwise(full), 2, F.lit(True)), one(1, "playwright", F.when(form == 0, full).otherwise(F.lit("<p>x</p>")), 3, form != 2),
+        one(2, "static", old, 1, key % 9 == 0)))
+    return table(spark, sf_dir, "customer").select(key, F.explode(copies).alias("p")).select("p.page_id", text("http://r", key, ".example/").alias("url"), "p.html", "p.renderer", "p.fetched_at")
+
+
+def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per customer whose trade stands in running text only."""
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("page_id"), text("http://m", key, ".example/").alias("url"), "c_custkey", "c_mktsegment",
+        document("<title>Welcome</title>", text("<h1>", F.col("c_name"), "</h1><p>Since 1901 the house has dealt in ", F.col("c_mktsegment"), " and nothing else.</p>")).alias("html"))
+
+
+def access_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per customer: readable, a login form, a challenge, a shell that needs a browser, a page asking for scripts, lazy pictures only."""
+    key = F.col("c_custkey")
+    prose = "<p>" + "Plain words about the house and its trade. " * 16 + "</p>"
+    forms = (
+        document("<title>A</title>", prose), document("<title>B</title>", '<form><input type="text"><input type="password"></form>'),
+        document("<title>C</title>", "<p>Checking your browser. Just a moment...</p>"), document("<title>D</title>", '<div id="app"></div>'),
+        document("<title>E</title>", prose + "<noscript>Please enable JavaScript to go on.</noscript>"), document("<title>F</title>", prose + '<div data-src="/1.jpg"></div><div data-src="/2.jpg"></div><div data-src="/3.jpg"></div>'),
+    )
+    html = F.element_at(F.array(*forms), (key % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(key.alias("page_id"), text("http://v", key, ".example/").alias("url"), html.alias("html"))
