@@ -633,7 +633,7 @@ def from_headings(t: PageTables, specs: list[Row]) -> DataFrame:
 
 
 def from_description(t: PageTables, specs: list[Row]) -> DataFrame:
-    """The four best paragraphs: long ones, near matching attributes or headings."""
+    """Paragraphs, best first: long ones, near matching attributes or headings."""
     visible_parent = F.col("parent_id") >= F.col("scope_id")
     paragraphs = (
         t.nodes.where(F.col("content") & (F.col("tag") == "p") & (F.length("full_text") >= 40) & ~inside("aside"))
@@ -657,7 +657,7 @@ def from_description(t: PageTables, specs: list[Row]) -> DataFrame:
 
     rows = open_specs(with_label(paragraphs, F.col("heading")), specs, ["description"], score)
     best = W.partitionBy(*KEYS, "s.key").orderBy(F.desc("score"), F.desc(F.length("full_text")), "node_id")
-    rows = rows.withColumn("rank", F.row_number().over(best)).where("rank <= 4")
+    rows = rows.withColumn("rank", F.row_number().over(best))
     return _emit(
         rows, 3, F.col("full_text"), F.col("score"), F.lit("longest matching <p>"), F.lit(7), [_ints("rank")],
         selector=F.col("sel"),
@@ -710,7 +710,7 @@ def from_lists(t: PageTables, specs: list[Row]) -> DataFrame:
         F.lit(6), [_ints("node_id", "i")], selector=F.col("sel"), context=F.concat_ws(" ", "heading", "attr_text"),
     )
     # Chips: children of the elements carrying the first hint that yields anything, where no list answered.
-    boxes = t.nodes.where(F.col("content") & F.col("n_kids").between(2, 60) & (attr_text("class") != "")).select(
+    boxes = t.nodes.where(F.col("content") & (F.col("n_kids") >= 2) & (attr_text("class") != "")).select(
         *KEYS, F.col("node_id").alias("box_id"), attr_text("class").alias("cls")
     )
 

@@ -221,13 +221,11 @@ def parse_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def preview_labels(specs: DataFrame, limit: int = 40) -> DataFrame:
-    """How labels will be read: the first ``limit`` labels with up to eight keywords each."""
-    return (
-        specs.orderBy("pos").limit(limit)
-        .select("pos", "label", "key", "type", "plural", F.col("ontology_key").alias("matched"),
-                F.slice("keywords", 1, 8).alias("keywords"))
-    )
+def preview_labels(specs: DataFrame, limit: int | None = None, keywords: int | None = None) -> DataFrame:
+    """How labels will be read: all of them, or the first ``limit``, with all their keywords or the first ``keywords``."""
+    shown = specs.orderBy("pos") if limit is None else specs.orderBy("pos").limit(limit)
+    words = F.col("keywords") if keywords is None else F.slice("keywords", 1, keywords)
+    return shown.select("pos", "label", "key", "type", "plural", F.col("ontology_key").alias("matched"), words.alias("keywords"))
 
 
 def spec_rows(spark: SparkSession, labels: list[str] | DataFrame) -> list[Row]:

@@ -80,14 +80,13 @@ def read_place_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BATCH_SCHEMA).json(path)
 
 
-def read_places(batches: DataFrame, max_results: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Places of each query in reply order, at most 60 as the source allows, and a warning when more were asked."""
-    wanted = min(max_results, MAX_PLACES)
+def read_places(batches: DataFrame, max_results: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Places of each query in reply order, all of them or the first ``max_results``, and a warning where more were asked than a search gives."""
     order = W.partitionBy("query").orderBy("batch", "i")
     rows = batches.select(squish(F.col("query")).alias("query"), "batch", F.posexplode("places").alias("i", "p"))
-    places = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= wanted).select(
-        "query", (F.col("rn") - 1).alias("place_pos"), "p.*"
-    )
+    placed = rows.withColumn("place_pos", F.row_number().over(order) - 1)
+    if max_results is not None:
+        placed = placed.where(F.col("place_pos") < max_results)
     text = f"Google returns at most {MAX_PLACES} results for a text search; asked for {max_results}."
-    warned = batches.select("query").distinct().where(F.lit(max_results > MAX_PLACES)).withColumn("message", F.lit(text))
-    return places, warned
+    warned = batches.select("query").distinct().where(F.lit((max_results or 0) > MAX_PLACES)).withColumn("message", F.lit(text))
+    return placed.select("query", "place_pos", "p.*"), warned

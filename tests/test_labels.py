@@ -37,5 +37,6 @@ def test_blanks_and_duplicates(spark):
 
 def test_preview(spark):
     labels = spark.createDataFrame([(0, "Phone Number"), (1, "Zibble")], "pos int, label string")
-    got = preview_labels(parse_labels(labels)).collect()
+    got = preview_labels(parse_labels(labels), 40, 8).collect()
     assert [(r.label, r.matched, len(r.keywords)) for r in got] == [("Phone Number", "phone", 8), ("Zibble", None, 1)]
+    assert [len(r.keywords) for r in preview_labels(parse_labels(labels)).collect()] == [13, 1]

@@ -208,6 +208,16 @@ def test_a_list_led_by_adverts(spark):
     assert got == {1: 30, 2: 30}
 
 
+def test_many_paragraphs_and_chips(spark):
+    """A hundred paragraphs are a hundred candidates, and a box of a hundred chips is read whole."""
+    paragraphs = "".join(f"<p>Paragraph {i} tells of the house by the canal and its yard.</p>" for i in range(100))
+    chips = "".join(f"<span>Thing {i}</span>" for i in range(100))
+    t = page_tables(frame(spark, f"<body>{paragraphs}<div class='amenities'>{chips}</div></body>"))
+    found = cascade.resolve(t, spec_rows(spark, ["Description", "Amenities"]))
+    got = {r.field_key: r.n for r in found.groupBy("field_key").agg(F.count_distinct("value").alias("n")).collect()}
+    assert got["description"] >= 100 and got["amenities"] >= 100
+
+
 def test_long_pages_are_whole_in_digests_and_patterns(spark):
     facts = "".join(f"<dt>Fact {i}</dt><dd>{'word ' * 110}end{i}.</dd>" for i in range(130))
     phones = "".join(f"<p>Call +95 9 7712 {3000 + i}.</p>" for i in range(20))

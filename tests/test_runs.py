@@ -174,6 +174,25 @@ def test_sources(spark, tmp_path):
     assert capped[2] == ("%PDF", False) and capped[1][0].startswith("<p>") and capped[1][1]
 
 
+def test_result_tables_are_replaced_by_day(spark, tmp_path):
+    spark.sql(f"create database if not exists results location '{tmp_path / 'db'}'")
+    try:
+        for day, values in (("2026-01-01", [1, 2]), ("2026-01-02", [3]), ("2026-01-01", [4])):
+            sinks.save_tables({"answers": spark.createDataFrame([(v,) for v in values], "v int")}, "results", day)
+        assert sorted((str(r.dt), r.v) for r in spark.table("results.answers").collect()) == [("2026-01-01", 4), ("2026-01-02", 3)]
+    finally:
+        spark.sql("drop database results cascade")
+
+
+def test_places_are_read_whole(spark):
+    places = [(str(k),) for k in range(90)]
+    batches = spark.createDataFrame([("q  a", 0, places[:50]), ("q a", 1, places[50:])], "query string, batch int, places array<struct<id:string>>")
+    found, warned = sources.read_places(batches)
+    assert [r.id for r in found.orderBy("place_pos").collect()] == [str(k) for k in range(90)] and warned.count() == 0
+    few, warned = sources.read_places(batches, 70)
+    assert few.count() == 70 and "asked for 70" in warned.first().message
+
+
 def test_sheet_of_answers(spark):
     rows = [("s", 0, "Name", "name", "name", False, 'A "quoted", comma', None, "http://a.com", "jsonld", 0.95, True),
             ("s", 1, "Formula", "formula", "text", False, "=SUM(A1:A2)", None, "", "", 0.5, True),
