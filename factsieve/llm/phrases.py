@@ -3,8 +3,8 @@
 Phrases of 1 to ``longest`` words are counted length by length; a longer one is looked at only if both its parts one
 word shorter have survived, which every frequent phrase's parts do. For each length:
 
-1. A scan turns texts into blocks: the distinct keys (64-bit hashes with the language in them) of some megabytes of
-   text with their counts, split by ranges of the key into hash partitions, a row for each.
+1. A scan turns texts into blocks: about a million distinct keys (64-bit hashes with the language in them) with
+   their counts, split by ranges of the key into hash partitions, a row for each.
 2. The mass of each partition, the sum of its counts, is joined to its rows. The partition's task merges them, one at
    a time, into a Misra-Gries summary of ``2 * mass / threshold`` counters. What it has taken off all counters is then
    below half the threshold, so every key of ``threshold`` occurrences is left, and few others are.
@@ -35,7 +35,9 @@ from factsieve.llm.common import ASCII_LOWER, col, in_filter, key_filter, slices
 
 THRESHOLD, LONGEST, TOP = 10, 3, 2000
 #: Bytes of text hashed at a time, bytes of text for each hash partition, bits of a filter, parts that a hot join key is dealt to.
-BLOCK, PARTITION, FILTER_BITS, SALTS = 8 << 20, 64 << 20, 1 << 26, 8
+BLOCK, PARTITION, FILTER_BITS, SALTS = 2 << 20, 16 << 20, 1 << 26, 8
+#: Keys gathered from blocks before they are passed on.
+GATHERED = 1 << 20
 BREAKS = np.zeros(256, np.int32)
 BREAKS[[*b".,;:!?\n\x0b\x0c\r"]] = 1
 WORD = 1 - BREAKS.astype(np.uint8)
@@ -148,7 +150,7 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, lis
     names: list[str] = []
     hashes: list[np.ndarray] = []
     size = 0
-    for batch in slices(batches):
+    for batch in slices(batches, 500):
         langs, keys = batch.column(0).to_pylist(), np.asarray(batch.column(1)).view(np.uint64)
         for lang, key, text in zip(langs, keys, text_bytes(batch.column(2)), strict=True):
             for part in _cut(text):
@@ -166,18 +168,33 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, lis
 def _blocks(texts: DataFrame, filters: list, parts: int) -> DataFrame:
     """``p, mass, keys, counts``: the distinct keys of the length after the filters' in each block, by hash partition."""
 
+    def rows_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        own = Summary(1 << 62)  # with room for all, so exact
+        for keys, counts in found:
+            own.add(keys, counts)
+        own.settle()
+        keys, counts = own.keys, own.counts
+        edges = np.searchsorted(keys >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(parts))
+        rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
+        return pa.RecordBatch.from_arrays([
+            pa.array([p for p, _, _ in rows], pa.int32()), pa.array([int(counts[a:b].sum()) for _, a, b in rows], pa.int64()),
+            pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary()),
+        ], names=["p", "mass", "keys", "counts"])
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for words, _ in _word_blocks(batches):
             for _, found in words.levels(known, len(known) + 1):  # noqa: B007 the last level is the one to count
                 pass
-            keys, counts = np.unique(found, return_counts=True)
-            edges = np.searchsorted(keys >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(parts))
-            rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([p for p, _, _ in rows], pa.int32()), pa.array([int(counts[a:b].sum()) for _, a, b in rows], pa.int64()),
-                pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary()),
-            ], names=["p", "mass", "keys", "counts"])
+            gathered.append(np.unique(found, return_counts=True))
+            size += len(gathered[-1][0])
+            if size >= GATHERED:
+                yield rows_of(gathered)
+                gathered, size = [], 0
+        if gathered:
+            yield rows_of(gathered)
 
     return texts.mapInArrow(step, "p int, mass long, keys binary, counts binary")
 
