@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.text import squish, squish_block, truncate
 from factsieve.functions.urls import absolutize, normalize_url
-from factsieve.sources.staging import cut
+from factsieve.sources.staging import bucketed
 from factsieve.plans.options import NO_LIMIT
 
 KEYS = ["page_id", "scope_id"]
@@ -64,9 +64,9 @@ def selector() -> Column:
     )
 
 
-def stage_nodes(nodes: DataFrame) -> DataFrame:
-    """Hash-partition element rows by page once and store them: every operator below reads this table."""
-    return cut(nodes, "page_id", keep_partitioning=True)
+def stage_nodes(nodes: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Hash-partition element rows by page once and store them: every operator below reads this table's columns that it needs."""
+    return bucketed(nodes, "page_id", buckets=buckets)
 
 
 def page_scope(nodes: DataFrame) -> DataFrame:

@@ -10,24 +10,23 @@ from pyspark.sql import functions as F
 from factsieve.operators import images as I
 from factsieve.operators import page as P
 from factsieve.operators import structured as S
-from factsieve.sources.staging import cut
+from factsieve.sources.staging import bucketed
 
 
 class PageTables:
     """Lazily derived page relations over staged element rows.
 
     ``pages(page_id, url, final_url, ...)`` locates the pages, ``nodes`` are element rows with a
-    ``scope_id``. Tables several generators read are written once, partitioned by page, on first use.
+    ``scope_id``. Tables several generators read are written once, bucketed by page, on first use; all have ``buckets`` buckets.
     """
 
-    def __init__(self, pages: DataFrame, nodes: DataFrame, bases: DataFrame | None = None, warnings: DataFrame | None = None):
-        self.pages, self.nodes = pages, nodes
+    def __init__(self, pages: DataFrame, nodes: DataFrame, bases: DataFrame | None = None, warnings: DataFrame | None = None, buckets: int | None = None):
+        self.pages, self.nodes, self.buckets = pages, nodes, buckets
         self.warnings = warnings if warnings is not None else pages.select("page_id", F.lit(None).cast("string").alias("message")).limit(0)
-        self.bases = bases if bases is not None else cut(P.base_urls(pages, nodes), "page_id", keep_partitioning=True)
+        self.bases = bases if bases is not None else bucketed(P.base_urls(pages, nodes), "page_id", buckets=buckets)
 
-    @staticmethod
-    def _hold(frame: DataFrame) -> DataFrame:
-        return cut(frame, keep_partitioning=True)
+    def _hold(self, frame: DataFrame) -> DataFrame:
+        return bucketed(frame, "page_id", placed=True, buckets=self.buckets)
 
     @cached_property
     def meta(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factsieve.functions.urls import normalize_url, site_root
 from factsieve.operators.links import MIN_LINK_SCORE, NEXT_SCHEMA, link_features, link_score, usable_next
 from factsieve.plans.options import Options, page_budget
-from factsieve.sources.staging import cut
+from factsieve.sources.staging import bucketed, cut
 
 _QUEUE = "array<struct<url:string,url_key:string,depth:int,reasons:array<string>>>"
 _WANTS = "array<struct<key:string,plural:boolean,need:int,keywords:array<string>,hints:array<string>>>"
@@ -36,7 +36,7 @@ def site_page_facts(pages: DataFrame, links: DataFrame, next_pages: DataFrame, g
         .groupBy("url_key")
         .agg(F.min_by(F.struct("page_id", "base_url", "good", "links", "candidates"), "page_id").alias("f"))
     )
-    return cut(facts, "url_key", keep_partitioning=True)
+    return bucketed(facts, "url_key")
 
 
 def _wants(specs: list[Row]) -> Column:

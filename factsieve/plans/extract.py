@@ -22,13 +22,15 @@ from factsieve.plans.options import Options
 from factsieve.plans.walk import dedupe_walk, page_facts, walk_pages
 from factsieve.sources.nodes import explode_nodes
 from factsieve.sources.pages import prepare_pages
-from factsieve.sources.staging import cut
+from factsieve.sources.staging import buckets_for, cut
 
 
 def page_tables(pages: DataFrame) -> PageTables:
     """Prepares pages (defaults, HTML-only) and stages their element rows."""
     ready, warnings = prepare_pages(pages)
-    return PageTables(ready, page_scope(stage_nodes(explode_nodes(ready))), warnings=warnings)
+    size = ready.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    buckets = buckets_for(pages.sparkSession, size)
+    return PageTables(ready, page_scope(stage_nodes(explode_nodes(ready), buckets)), warnings=warnings, buckets=buckets)
 
 
 def extract_pages(pages: DataFrame, labels: list[str], options: Options = Options()) -> DataFrame:

@@ -1,12 +1,14 @@
 """Lineage cuts in the shared folder the cluster names.
 
-Long plans (a cascade over a cascade, a loop over pages) are cut with reliable checkpoints: what they hold
-survives the loss of any executor, and the plan above starts small again.
+Long plans (a cascade over a cascade, a loop over pages) are cut in two ways, both of which survive the loss of any
+executor: tables that several operators read column by column are written as bucketed Parquet, slim
+states that are read once as reliable checkpoints.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,24 +38,39 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(context.defaultParallelism) if context.master.startswith("local") else frame
 
 
-def cut(frame: DataFrame, *keys: str, keep_partitioning: bool = False) -> DataFrame:
-    """Write ``frame`` to the checkpoint folder, hash-partitioned by ``keys``, and go on from there.
+#: Bytes of pages whose tables make a bucket.
+BUCKET_BYTES = 32 << 20
 
-    With ``keep_partitioning`` this one write is planned without adaptive execution, whose plans do not tell
-    their partitioning; joins and windows on the keys then need no further shuffle.
+
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Buckets for tables derived from ``size`` bytes of pages: by their size, and no fewer than the session's partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
+def bucketed(frame: DataFrame, *keys: str, placed: bool = False, buckets: int | None = None) -> DataFrame:
+    """``frame`` as a Parquet table in the shared folder, bucketed by ``keys``, and read back.
+
+    Readers take only the columns they name, and know which rows lie together: windows, aggregates and joins on the keys
+    need no further shuffle. ``placed`` says that the rows already lie by the keys and are written where they are. The
+    table's name is forgotten at once (the catalog keeps nothing); its files are the folder's to clean.
     """
     spark = frame.sparkSession
-    checkpoint_folder(spark)
-    if keys:
-        frame = frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
-    if not keep_partitioning:
-        return _renamed(frame.checkpoint(eager=True))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    n = buckets or buckets_for(spark, 0)
+    name = f"staged_{uuid.uuid4().hex}"
+    rows = frame if placed else frame.repartition(n, *keys)
+    rows.write.format("parquet").option("path", f"{checkpoint_folder(spark)}/{name}").bucketBy(n, *keys).saveAsTable(name)
     try:
-        return _renamed(frame.checkpoint(eager=True))
+        return spark.table(name)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.sql(f"drop table {name}")
+
+
+def cut(frame: DataFrame, *keys: str) -> DataFrame:
+    """Write ``frame`` to the checkpoint folder, hash-partitioned by ``keys`` if there are any, and go on from there."""
+    checkpoint_folder(frame.sparkSession)
+    if keys:
+        frame = frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return _renamed(frame.checkpoint(eager=True))
 
 
 def _renamed(frame: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pages as pg
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factsieve.operators import cascade, classify, images, page, records, structured
@@ -208,6 +209,15 @@ def test_a_list_led_by_adverts(spark):
     assert got == {1: 30, 2: 30}
 
 
+def test_staged_tables_are_narrow_reads_without_shuffles(spark):
+    t = page_tables(frame(spark, "<p>one</p>", "<p>two</p>"))
+    ranked = t.nodes.select("page_id", "tag", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).alias("n"))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "full_text" not in plan and "attrs" not in plan and "Bucketed: true" in plan
+    assert {(r.page_id, r.tag) for r in ranked.collect()} >= {(1, "p"), (2, "p")}
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and not [x for x in spark.catalog.listTables() if x.name.startswith("staged_")]
+
+
 def test_many_paragraphs_and_chips(spark):
     """A hundred paragraphs are a hundred candidates, and a box of a hundred chips is read whole."""
     paragraphs = "".join(f"<p>Paragraph {i} tells of the house by the canal and its yard.</p>" for i in range(100))

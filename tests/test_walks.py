@@ -56,7 +56,7 @@ def plain(facts, seed, options):
 
 
 def check(spark, facts, seeds, options):
-    table = cut(spark.createDataFrame(facts, FACTS), "url_key", keep_partitioning=True)
+    table = cut(spark.createDataFrame(facts, FACTS), "url_key")
     steps, walks = walk_pages(table, spark.createDataFrame([(s,) for s in seeds], "url string"), options)
     got: dict = {}
     for r in steps.collect():
