@@ -2,14 +2,15 @@
 
 A bucket names the byte strings that agree to a depth. The buckets of all 8-byte strings are their own values; sorting
 on the bucket of a position together with the bucket of a later offset refines depth d to 2d, and every refinement
-reuses the one before: 8, 16, ... 256, then ``length``. Buckets are named by mixing the two names (64 bits), not by
+reuses the one before: 8, 16, ... to the last power of two that :func:`depth_of` allows (256 for 400 bytes), then ``length``. Buckets are named by mixing the two names (64 bits), not by
 rank, so tasks name them alike without a global sort.
 
 Buckets are refined only where they can hold two positions:
 
-* Of each window of ``length`` bytes the least 128-byte bucket is its anchor, a choice by content alone, so equal
+* Of each window of ``length`` bytes the least bucket of half the last depth (128 bytes for 400) is its anchor, a choice by content alone, so equal
   windows have equal anchors at equal offsets. Windows in a row with one anchor are one row of ``ranges``.
-* Ranges whose anchor's bucket has one member hold no repeated window. Ranges whose whole string (all their windows)
+* Ranges whose anchor's bucket has one member hold no repeated window: buckets are counted, and a second scan leaves
+  most of those ranges out by a Bloom filter of bounded size. Ranges whose whole string (all their windows)
   has a second member hold nothing else. Both are settled by counts, combined before the shuffle.
 * What is left (edges of passages) is refined to depth ``length`` window by window, against one range of every
   distinct string of the same anchor bucket.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +38,12 @@ from pyspark.sql import types as T
 from factsieve.llm.common import col, groups_by_size, in_filter, key_filter, slices, stage, text_bytes
 
 LENGTH = 400
-ANCHOR = 128
+#: Windows settled at once at the edges of a passage.
+EDGE = 16
 #: Bytes named at a time, and bits of the Bloom filter (its size bounds what is sent to every task).
-PIECE, FILTER_BITS = 1 << 19, 1 << 24
+PIECE, FILTER_BITS, CORE_BITS = 1 << 19, 1 << 24, 1 << 26
+#: Parts that the copies of a text are dealt to where they meet the spans to be cut.
+SALTS = 8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -53,31 +58,44 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def depth_of(length: int) -> int:
+    """The last depth that is refined by doubling: a power of two that the shortest string named, ``length - EDGE + 1`` bytes, holds."""
+    if length < 2 * EDGE:
+        raise ValueError(f"length must be at least {2 * EDGE}")
+    return 1 << (length - EDGE + 1).bit_length() - 1
+
+
 class Buckets:
-    """Names of the strings of 8, 16, ... 256 bytes that start at each byte of ``data``."""
+    """Names of the strings of 8, 16, ... ``depth_of(length)`` bytes that start at each byte of ``data``; the last two depths are kept."""
 
-    def __init__(self, data: bytes):
-        self.size = len(data)
+    def __init__(self, data: bytes, length: int = LENGTH):
+        self.last = depth_of(length)
+        self.anchor = self.last // 2
+        # the longest string to be named: all windows of one anchor
+        self.probes = -(-(2 * length - self.anchor) // self.last)
         self.names = {8: np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,)).copy()} if len(data) > 7 else {8: np.zeros(0, np.uint64)}
         depth = 8
-        while depth < 256:
+        while depth < self.last:
             last = self.names[depth]
             self.names[2 * depth] = mix(last[:-depth], last[depth:]) if len(last) > depth else last[:0]
-            if depth not in (ANCHOR,):
+            if depth != self.anchor:
                 del self.names[depth]
             depth *= 2
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        """Names of strings of 256 to 768 bytes: the buckets at their start, at a later offset and at their end."""
-        n = self.names[256]
-        last = start + length - 256
-        return mix(mix(n[start], n[np.minimum(start + 256, last)]), mix(n[last], np.broadcast_to(np.asarray(length, np.uint64), start.shape)))
+        """Names of strings of the last depth or longer: the buckets at their start, at later offsets and at their end."""
+        n = self.names[self.last]
+        last = start + length - self.last
+        out = n[start]
+        for k in range(1, self.probes - 1):
+            out = mix(out, n[np.minimum(start + k * self.last, last)])
+        return mix(out, mix(n[last], np.broadcast_to(np.asarray(length, np.uint64), start.shape)))
 
 
 def anchors(buckets: Buckets, length: int = LENGTH) -> np.ndarray:
     """The anchor of the window at each start: the leftmost position of the least anchor bucket inside it."""
-    width = length - ANCHOR + 1
-    names = buckets.names[ANCHOR]
+    width = length - buckets.anchor + 1
+    names = buckets.names[buckets.anchor]
     n = len(names)
     if n < width:
         return np.zeros(0, np.int64)
@@ -107,7 +125,7 @@ def ranges_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
     """Of every range: text index, first and last window start, anchor bucket, bucket of the whole string, anchor offset."""
     out: list[tuple[np.ndarray, ...]] = []
     for data, parts in pieces(texts, length):
-        buckets = Buckets(data)
+        buckets = Buckets(data, length)
         anchor = anchors(buckets, length)
         firsts = np.array([p[2] for p in parts])
         part = np.searchsorted(firsts, np.arange(len(anchor)), "right") - 1
@@ -121,7 +139,7 @@ def ranges_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
         p1, p2 = p1[good], p2[good]
         of = part[p1]
         shift = np.array([p[1] - p[2] for p in parts])[of]
-        out.append((np.array([p[0] for p in parts])[of], p1 + shift, p2 + shift, buckets.names[ANCHOR][anchor[p1]], buckets.of(p1, p2 - p1 + length), anchor[p1] - p1))
+        out.append((np.array([p[0] for p in parts])[of], p1 + shift, p2 + shift, buckets.names[buckets.anchor][anchor[p1]], buckets.of(p1, p2 - p1 + length), anchor[p1] - p1))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int64))
 
 
@@ -135,15 +153,19 @@ def _keyed(documents: DataFrame, text: Column) -> DataFrame:
     return documents.select("*", F.xxhash64(read).alias("k"), F.octet_length(read).cast("long").alias("size"), read.alias("body"))
 
 
-def _ranges(texts: DataFrame, length: int) -> DataFrame:
-    """Rows of ``_RANGE``; ``lead`` is how far the anchor lies behind the first window's start."""
+def _ranges(texts: DataFrame, length: int, cores: Broadcast | None = None) -> DataFrame:
+    """Rows of ``_RANGE``; ``lead`` is how far the anchor lies behind the first window's start. With ``cores`` only those whose anchor may pass that filter."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             k, size = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             bodies = text_bytes(batch.column(2))
             for first, last in groups_by_size([len(t) for t in bodies], 8 << 20):
-                of, p1, p2, core, hull, lead = ranges_of(bodies[first:last], length)
+                found = ranges_of(bodies[first:last], length)
+                if cores is not None:
+                    kept = in_filter(found[3], cores.value)
+                    found = tuple(x[kept] for x in found)
+                of, p1, p2, core, hull, lead = found
                 of = of + first
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[of], size[of], p1, p2, core.view(np.int64), hull.view(np.int64), lead.astype(np.int32))], names=["k", "size", "p1", "p2", "core", "hull", "lead"])
 
@@ -165,10 +187,24 @@ def _with_body(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return documents.mapInArrow(step, schema)
 
 
+def _chosen(documents: DataFrame, keys: DataFrame, wanted: bool) -> DataFrame:
+    """The rows of ``documents`` whose text may have one of ``keys``, or the others."""
+    words = key_filter(keys.select("k").distinct(), "k", FILTER_BITS)
+    at = documents.columns.index("k")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(np.asarray(batch.column(at)), words) == wanted))
+
+    return documents.mapInArrow(step, documents.schema)
+
+
 def _contexts(texts: DataFrame, active: DataFrame, length: int) -> DataFrame:
     """``c, lead, n, body``: of every active range its name, anchor offset, number of windows and bytes."""
     wanted = active.groupBy(*_KEY).agg(F.collect_list(F.struct("hull", "p1", "p2", "lead")).alias("r"))
-    joined = _with_body(texts.select(*_KEY, "body"), active).where(F.col("body").isNotNull()).join(wanted, list(_KEY)).select("body", "r")
+    # copies of a text have the same ranges: one of them stands for all
+    bodies = _with_body(texts.select(*_KEY, "body"), active).where(F.col("body").isNotNull()).groupBy(*_KEY).agg(F.first("body").alias("body"))
+    joined = bodies.join(wanted, list(_KEY)).select("body", "r")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +231,7 @@ def _parts(contexts: DataFrame, block: int, length: int) -> DataFrame:
             for first, last in groups_by_size([len(x) for x in rows["body"]], 1 << 18):
                 bodies = rows["body"][first:last]
                 base = np.concatenate([[0], np.cumsum([len(x) for x in bodies])])
-                buckets = Buckets(b"".join(bodies))
+                buckets = Buckets(b"".join(bodies), length)
                 a, b, of = [], [], []
                 for i in range(first, last):
                     lead = rows["lead"][i]
@@ -233,17 +269,17 @@ def _settle(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``k, size, spans``: the window ranges ``(p1, p2)`` of each text whose windows start somewhere else as well."""
-    ranges = _ranges(texts, length)
-    shared = stage(ranges.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "shared")
-    ranges = stage(ranges.join(shared, "core", "left_semi"), "ranges")
+    counted = _ranges(texts, length).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    shared = texts.sparkSession.sparkContext.broadcast(key_filter(stage(counted, "shared"), "core", CORE_BITS))
+    # ranges that the filter lets through though their anchor is the only one of its bucket settle as strings of their own
+    ranges = stage(_ranges(texts, length, shared), "ranges")
     strings = stage(ranges.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "size", "p1", "p2", "lead")).alias("r")), "strings")
     settled = ranges.join(strings.where("n > 1").select("core", "hull"), ["core", "hull"], "left_semi").select(*_KEY, "p1", "p2")
     several = strings.groupBy("core").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1").select("core")
     active = stage(strings.join(several, "core", "left_semi").select("hull", "n", "r.*"), "active")
     contexts = stage(_contexts(texts, active, length), "contexts")
-    block = 16
-    repeated, unsettled = _settle(_parts(contexts, block, length))
-    wanted = unsettled.groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("parts"))  # at most ANCHOR windows each
+    repeated, unsettled = _settle(_parts(contexts, EDGE, length))
+    wanted = unsettled.groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("parts"))  # at most as many windows as an anchor has bytes
     windows, _ = _settle(_parts(contexts.join(wanted, "c"), 1, length))
     fine = repeated.unionByName(windows)
     own = active.where("n = 1").join(fine.withColumnRenamed("c", "hull"), "hull").select(*_KEY, (F.col("p1") + F.col("a")).alias("q1"), (F.col("p1") + F.col("b")).alias("p2")).withColumnRenamed("q1", "p1")
@@ -270,7 +306,10 @@ def cut_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH,
     keyed = _keyed(documents.select(others.alias("row"), col(text).alias("own")), F.col("own")).drop("own")
     spans = stage(removed_spans(keyed.select(*_KEY, "body"), length), "spans")
     whole = keyed.withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
-    joined = (whole if carry else _with_body(whole, spans)).join(spans, list(_KEY), "left")
+    touched = _chosen(whole, spans, True) if carry else _with_body(whole, spans)
+    # copies of a text are dealt to several tasks, each of which gets its spans
+    dealt = touched.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    joined = dealt.join(spans.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), [*_KEY, "salt"], "left").drop("salt")
     names = joined.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +331,12 @@ def cut_repeats(documents: DataFrame, text: str = "text", length: int = LENGTH,
             yield pa.RecordBatch.from_arrays([at["row"], at["k"], at["size"], pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(left, pa.string()), pa.array(sha, pa.string())], names=["row", "k", "size", "n_removed", "n_spans", "kept", "left", "sha"])
 
     schema = joined.select("row", "k", "size", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("left"), "sha").schema
-    return joined.mapInArrow(step, schema)
+    cut = joined.mapInArrow(step, schema)
+    if not carry:
+        return cut
+    # texts that surely have no spans stay where they are
+    rest = _chosen(whole, spans, False)
+    return cut.unionByName(rest.select("row", "k", "size", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.col("body").alias("left"), "sha"))
 
 
 def digest(documents: DataFrame) -> DataFrame:

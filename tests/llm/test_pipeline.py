@@ -44,7 +44,7 @@ def test_one_of_each_near_duplicate_group(kept):
 
 
 def test_repeated_passages_are_cut(kept):
-    want = {r.doc_id: c for r, c in zip(kept[2][1], cut_repeats([(r.text or "").encode() for r in kept[2][1]]), strict=True)}
+    want = {r.doc_id: c for r, c in zip(kept[2][1], cut_repeats([(r.text or "").encode() for r in kept[2][1]], corpus_pipeline.PASSAGE), strict=True)}
     got = {r.doc_id: r for r in kept[3][1]}
     assert set(got) == {i for i, (size, removed, *_) in want.items() if size == 0 or removed < size}
     for r in kept[2][1]:

@@ -53,6 +53,15 @@ def test_against_every_substring(spark, seed):
     assert sum(w[1] > 0 for w in want.values()) > 20
 
 
+@pytest.mark.parametrize("length", [32, 60, 143, 200, 270, 528, 900])
+def test_other_lengths(spark, length):
+    rows = list(enumerate(texts(length)))
+    cut = repeats.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=length)
+    got = {r.doc_id: (r.size, r.n_removed, r.n_spans, r.sha) for r in cut.select("row.doc_id", "size", "n_removed", "n_spans", "sha").collect()}
+    want = dict(zip([i for i, _ in rows], brute([t.encode() for _, t in rows], length), strict=True))
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def test_long_texts_are_named_in_parts(monkeypatch):
     rng = random.Random(4)
     text = bytes(rng.randrange(97, 123) for _ in range(9000))
