@@ -15,7 +15,7 @@ The last scan counts exactly: occurrences of phrases that pass all filters, by l
 before the shuffle. Scores are exact decimals. Partitions are named by hash and rows are summed in their block, so a
 frequent phrase is one counter a block wherever it occurs. The number of partitions follows the bytes of text.
 
-Two phrases in one block whose 64-bit keys are equal would be counted as one; no other step trusts the hash.
+Two phrases in one task whose 64-bit keys are equal would be counted as one; no other step trusts the hash.
 
 Defined results: null reads as empty, a null language as ``und``; texts without words add nothing; repeated rows count
 again; other columns are ignored. A piece of text without any of ``.,;:!?`` or line breaks is read whole.
@@ -36,8 +36,8 @@ from factsieve.llm.common import ASCII_LOWER, col, in_filter, key_filter, slices
 THRESHOLD, LONGEST, TOP = 10, 3, 2000
 #: Bytes of text hashed at a time, bytes of text for each hash partition, bits of a filter, parts that a hot join key is dealt to.
 BLOCK, PARTITION, FILTER_BITS, SALTS = 2 << 20, 16 << 20, 1 << 26, 8
-#: Keys gathered from blocks before they are passed on.
-GATHERED = 1 << 20
+#: Keys gathered from blocks before they are passed on, and phrases counted in a task before that.
+GATHERED, HELD = 1 << 20, 200_000
 BREAKS = np.zeros(256, np.int32)
 BREAKS[[*b".,;:!?\n\x0b\x0c\r"]] = 1
 WORD = 1 - BREAKS.astype(np.uint8)
@@ -218,27 +218,34 @@ def _survivors(blocks: DataFrame, threshold: int) -> DataFrame:
     return blocks.join(masses, "p").select("p", "total", "keys", "counts").groupBy("p").applyInArrow(step, "key long")
 
 
+def _counts(met: dict[object, list]) -> pa.RecordBatch:
+    langs, lengths, phrases, counts = zip(*met.values(), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(lengths, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "length", "phrase", "f"])
+
+
 def _counted(texts: DataFrame, filters: list) -> DataFrame:
     """``lang, length, phrase, f`` of phrases that pass the filters, exactly; length 0 counts all words of the language."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
+        met: dict[object, list] = {}
         for words, names in _word_blocks(batches):
-            langs, lengths, phrases, counts = [], [], [], []
-            per_text = np.bincount(words.text, minlength=len(names))
-            for lang in dict.fromkeys(names):
-                langs.append(lang)
-                lengths.append(0)
-                phrases.append(b"")
-                counts.append(int(sum(n for n, own in zip(per_text.tolist(), names, strict=True) if own == lang)))
+            per_text = np.bincount(words.text, minlength=len(names)).tolist()
+            for lang, n in zip(names, per_text, strict=True):
+                met.setdefault(lang, [lang, 0, b"", 0])[3] += n
             for length, (at, keys) in enumerate(words.levels(known, len(known)), 1):
-                _, first, own = np.unique(keys, return_index=True, return_counts=True)
-                at = at[first]
-                langs += [names[t] for t in words.text[at].tolist()]
-                lengths += [length] * len(at)
-                phrases += [words.phrase(i, length) for i in at.tolist()]
-                counts += own.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(lengths, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "length", "phrase", "f"])
+                found, first, own = np.unique(keys, return_index=True, return_counts=True)
+                for key, i, n in zip(found.tolist(), at[first].tolist(), own.tolist(), strict=True):
+                    row = met.get(key)
+                    if row is None:
+                        met[key] = [names[words.text[i]], length, words.phrase(i, length), n]
+                    else:
+                        row[3] += n
+            if len(met) >= HELD:
+                yield _counts(met)
+                met = {}
+        if met:
+            yield _counts(met)
 
     found = texts.mapInArrow(step, "lang string, length int, phrase string, f long")
     return found.groupBy("lang", "length", "phrase").agg(F.sum("f").alias("f"))

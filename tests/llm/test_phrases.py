@@ -46,6 +46,7 @@ def test_against_plain_counts(spark, monkeypatch, seed, top):
     monkeypatch.setattr(phrases, "BLOCK", 3000)
     monkeypatch.setattr(phrases, "PARTITION", 2000)
     monkeypatch.setattr(phrases, "GATHERED", 900)
+    monkeypatch.setattr(phrases, "HELD", 100)
     rows = texts(seed)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     got = {tuple(r) for r in phrases.collocations(docs, top=top).collect()}
