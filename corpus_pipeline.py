@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from factsieve.llm import decontaminate, langid, mixing, repeats, simhash
 from factsieve.llm.common import stage
 
+#: Bytes of a passage that may not occur twice.
+PASSAGE = 200
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go."""
@@ -19,8 +22,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that start anywhere else are cut out; documents of nothing else go."""
-    return repeats.remove_repeats(docs)
+    """Passages of 200 bytes or more that start anywhere else are cut out; documents of nothing else go.
+
+    200 bytes are some 32 words, so that a repeated passage of 51 words is caught though its words be short.
+    """
+    return repeats.remove_repeats(docs, PASSAGE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
