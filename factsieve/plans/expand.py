@@ -47,6 +47,24 @@ def _wants(specs: list[Row]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), _WANTS)
 
 
+def within_reach(facts: DataFrame, roots: DataFrame, options: Options) -> DataFrame:
+    """The facts a run can come to from ``roots(root_site, url_key)``, so that no step reads the rest of the crawl.
+
+    Links lead ``max_depth`` steps from a root, within its site; list pages may follow one another any distance, so with
+    pagination all pages of the roots' sites stay.
+    """
+    if options.allow_pagination:
+        sites = roots.select("root_site").distinct()
+        return bucketed(facts.withColumn("root_site", site_root(F.col("url_key"))).join(sites, "root_site", "left_semi").drop("root_site"), "url_key")
+    near = roots.select("root_site", "url_key").distinct()
+    edge = near
+    for _ in range(options.max_depth if options.follow_internal_links else 0):
+        links = edge.join(facts, "url_key").select("root_site", F.explode("f.links").alias("l"))
+        edge = links.where(F.col("l.site") == F.col("root_site")).select("root_site", F.col("l.url_key").alias("url_key")).distinct()
+        near = cut(near.unionByName(edge).distinct())
+    return bucketed(facts.join(near.select("url_key").distinct(), "url_key", "left_semi"), "url_key")
+
+
 def expand_site(facts: DataFrame, seeds: DataFrame, specs: list[Row], options: Options) -> DataFrame:
     """``(site, visit, page_id, url, depth, reasons)``: which pages each site's answer is pooled from."""
     strings = F.array().cast("array<string>")
@@ -67,6 +85,7 @@ def expand_site(facts: DataFrame, seeds: DataFrame, specs: list[Row], options: O
     visits: DataFrame | None = None
     step = 0
     state = cut(state)
+    facts = within_reach(facts, state.select("root_site", F.col("site").alias("url_key")), options)
     while True:
         head = F.element_at("queue", 1)
         looked = (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factsieve.operators import fetching, links, matching, places, select
 from factsieve.operators.labels import parse_labels, spec_rows
 from factsieve.operators.records import record_fields
-from factsieve.plans.expand import expand_site, site_page_facts  # noqa: F401
+from factsieve.plans.expand import within_reach
 from factsieve.plans import snapshots
 from factsieve.plans.extract import extract, extract_list, extract_single, open_requests, page_records, page_tables, with_replies
 from factsieve.plans.options import NO_LIMIT, Options, page_budget
@@ -118,6 +118,17 @@ def test_auto_mode_and_expansion(spark, corpus, monkeypatch):
     assert status.status == "partial" and status.missing_fields == ["CEO Name"]
 
 
+def test_runs_read_what_their_roots_can_reach(spark):
+    link = lambda u: (u, u, "", "", [], "", [], False, 1, "s.example", False)
+    kind = "array<struct<url:string,url_key:string,text:string,path:string,path_tokens:array<string>,anchor:string,anchor_tokens:array<string>,paging:boolean,depth:int,site:string,in_nav:boolean>>"
+    rows = [("http://s.example/", (1, None, None, [link("http://s.example/a"), link("http://s.example/b")], None)), ("http://s.example/a", (2, None, None, [link("http://s.example/c")], None)),
+            ("http://s.example/c", (3, None, None, None, None)), ("http://other.example/", (4, None, None, None, None))]
+    facts = spark.createDataFrame(rows, f"url_key string, f struct<page_id:bigint,base_url:string,good:map<string,bigint>,links:{kind},candidates:array<string>>")
+    roots = spark.createDataFrame([("s.example", "http://s.example/")], "root_site string, url_key string")
+    reach = lambda **o: {r.f.page_id for r in within_reach(facts, roots, Options(**o)).collect()}
+    assert reach() == {1, 2} and reach(max_depth=2) == {1, 2, 3} and reach(follow_internal_links=False) == {1} and reach(allow_pagination=True) == {1, 2, 3}
+
+
 def test_following_can_be_switched_off(spark, corpus):
     seeds = spark.createDataFrame([("http://tidewatch.example/",)], "url string")
     out = extract_single(corpus.pages, seeds, ["Society Name", "Phone Number"], Options(follow_internal_links=False), corpus)
