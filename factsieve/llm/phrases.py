@@ -4,7 +4,7 @@ Phrases of 1 to ``longest`` words are counted length by length; a longer one is
 word shorter have survived, which every frequent phrase's parts do. For each length:
 
 1. A scan turns texts into blocks: about a million distinct keys (64-bit hashes with the language in them) with
-   their counts, split by ranges of the key into hash partitions, a row for each.
+   their counts, cut to 40 bits below those of their partition (keys made equal so only add to counts), split by ranges of the key into hash partitions, a row for each.
 2. The mass of each partition, the sum of its counts, is joined to its rows. The partition's task merges them, one at
    a time, into a Misra-Gries summary of ``2 * mass / threshold`` counters. What it has taken off all counters is then
    below half the threshold, so every key of ``threshold`` occurrences is left, and few others are.
@@ -103,7 +103,7 @@ class Words:
         self.hashes = word_hashes(view, self.starts, self.ends)
         self.langs = langs[self.text] if len(self.starts) else np.zeros(0, np.uint64)
 
-    def levels(self, filters: list[np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def levels(self, filters: list[np.ndarray], longest: int, dropped: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length its first words and keys, of phrases whose parts pass ``filters``; those with a filter pass it."""
         n = len(self.starts)
         at, keys = np.arange(n), _pair(self.langs, self.hashes)
@@ -116,7 +116,7 @@ class Words:
                 at = at[near]
                 keys = _pair(keys[near], self.hashes[at + length - 1])
             if length <= len(filters):
-                good = in_filter(keys, filters[length - 1])
+                good = in_filter(_name(keys, dropped), filters[length - 1])
                 at, keys = at[good], keys[good]
             yield at, keys
 
@@ -131,6 +131,35 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(28))
 
 
+#: Bits of a key that a block keeps below those that name its partition.
+KEPT_BITS = 40
+
+
+def _dropped(parts: int) -> int:
+    """Low bits of keys that are not kept; ``parts`` is a power of two. Keys made equal only raise counts of the first pass."""
+    return max(0, 64 - KEPT_BITS - (parts.bit_length() - 1))
+
+
+def _name(keys: np.ndarray, dropped: int) -> np.ndarray:
+    """What a filter knows a key by."""
+    out = (keys >> np.uint64(dropped)) * _A
+    out ^= out >> np.uint64(32)
+    return out * _B
+
+
+def _packed(keys: np.ndarray, dropped: int) -> bytes:
+    """The kept bits of keys of one partition, five bytes each."""
+    return (keys >> np.uint64(dropped)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8].tobytes()
+
+
+def _unpacked(data: memoryview, part: int) -> np.ndarray:
+    """Keys without their dropped bits."""
+    kept = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BITS // 8)
+    wide = np.zeros((len(kept), 8), np.uint8)
+    wide[:, : KEPT_BITS // 8] = kept
+    return wide.view("<u8").reshape(-1) | np.uint64(part << KEPT_BITS)
+
+
 def _cut(text: bytes) -> Iterator[bytes]:
     """A long text in parts that end at a break between pieces."""
     at = 0
@@ -167,6 +196,7 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, lis
 
 def _blocks(texts: DataFrame, filters: list, parts: int) -> DataFrame:
     """``p, mass, keys, counts``: the distinct keys of the length after the filters' in each block, by hash partition."""
+    dropped = _dropped(parts)
 
     def rows_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         own = Summary(1 << 62)  # with room for all, so exact
@@ -178,7 +208,7 @@ def _blocks(texts: DataFrame, filters: list, parts: int) -> DataFrame:
         rows = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if a < b]
         return pa.RecordBatch.from_arrays([
             pa.array([p for p, _, _ in rows], pa.int32()), pa.array([int(counts[a:b].sum()) for _, a, b in rows], pa.int64()),
-            pa.array([keys[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary()),
+            pa.array([_packed(keys[a:b], dropped) for _, a, b in rows], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary()),
         ], names=["p", "mass", "keys", "counts"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +216,9 @@ def _blocks(texts: DataFrame, filters: list, parts: int) -> DataFrame:
         gathered: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for words, _ in _word_blocks(batches):
-            for _, found in words.levels(known, len(known) + 1):  # noqa: B007 the last level is the one to count
+            for _, found in words.levels(known, len(known) + 1, dropped):  # noqa: B007 the last level is the one to count
                 pass
-            gathered.append(np.unique(found, return_counts=True))
+            gathered.append(np.unique(found >> np.uint64(dropped) << np.uint64(dropped), return_counts=True))
             size += len(gathered[-1][0])
             if size >= GATHERED:
                 yield rows_of(gathered)
@@ -200,7 +230,7 @@ def _blocks(texts: DataFrame, filters: list, parts: int) -> DataFrame:
 
 
 def _survivors(blocks: DataFrame, threshold: int) -> DataFrame:
-    """``key``: of every hash partition the keys its summary cannot rule out."""
+    """``key``: of every hash partition the names of the keys its summary cannot rule out."""
     blocks = stage(blocks, "phrase-blocks")
     masses = blocks.groupBy("p").agg(F.sum("mass").alias("total"))
 
@@ -208,10 +238,10 @@ def _survivors(blocks: DataFrame, threshold: int) -> DataFrame:
         summary = None
         for batch in batches:
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for total, keys, counts in zip(at["total"].to_pylist(), at["keys"], at["counts"], strict=True):
+            for part, total, keys, counts in zip(at["p"].to_pylist(), at["total"].to_pylist(), at["keys"], at["counts"], strict=True):
                 summary = summary or Summary(2 * total // threshold + 1)
-                summary.add(np.frombuffer(keys.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4"))
-        found = summary.frequent(threshold).view(np.int64) if summary else np.zeros(0, np.int64)
+                summary.add(_unpacked(keys.as_buffer(), part), np.frombuffer(counts.as_buffer(), "<u4"))
+        found = _name(summary.frequent(threshold), 0).view(np.int64) if summary else np.zeros(0, np.int64)
         for first in range(0, len(found), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(found[first : first + (1 << 18)])], names=["key"])
 
@@ -223,7 +253,7 @@ def _counts(met: dict[object, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(lengths, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "length", "phrase", "f"])
 
 
-def _counted(texts: DataFrame, filters: list) -> DataFrame:
+def _counted(texts: DataFrame, filters: list, dropped: int) -> DataFrame:
     """``lang, length, phrase, f`` of phrases that pass the filters, exactly; length 0 counts all words of the language."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +263,7 @@ def _counted(texts: DataFrame, filters: list) -> DataFrame:
             per_text = np.bincount(words.text, minlength=len(names)).tolist()
             for lang, n in zip(names, per_text, strict=True):
                 met.setdefault(lang, [lang, 0, b"", 0])[3] += n
-            for length, (at, keys) in enumerate(words.levels(known, len(known)), 1):
+            for length, (at, keys) in enumerate(words.levels(known, len(known), dropped), 1):
                 found, first, own = np.unique(keys, return_index=True, return_counts=True)
                 for key, i, n in zip(found.tolist(), at[first].tolist(), own.tolist(), strict=True):
                     row = met.get(key)
@@ -259,12 +289,12 @@ def frequent_phrases(documents: DataFrame, text: str = "text", lang: str = "lang
     name = F.coalesce(col(lang), F.lit("und"))
     texts = documents.select(name.alias("lang"), F.xxhash64(name).alias("key"), F.coalesce(col(text), F.lit("")).alias("body"))
     size = documents.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
-    parts = int(max(1, -(-size // PARTITION)))
+    parts = min(1 << (max(1, -(-size // PARTITION)) - 1).bit_length(), 1 << 64 - KEPT_BITS)
     filters: list = []
     for _ in range(longest):
         keys = stage(_survivors(_blocks(texts, filters, parts), threshold), "phrase-keys")
         filters.append(spark.sparkContext.broadcast(key_filter(keys, "key", FILTER_BITS)))
-    return _counted(texts, filters).where((F.col("f") >= threshold) | (F.col("length") == 0))
+    return _counted(texts, filters, _dropped(parts)).where((F.col("f") >= threshold) | (F.col("length") == 0))
 
 
 def _salted_counts(grams: DataFrame, side: str) -> DataFrame:
