@@ -5,117 +5,185 @@ due by ``ceil((j + 1) / w)``; every slot takes the released block with the earli
 run out, each has been given its weight's share of any prefix to within less than one block.
 
 Weights are whole numbers over their sum and never rounded: given weights are read as the decimals they print as, others
-(square roots) at 64 binary digits. The schedule is one pass over the blocks on the driver that keeps a counter for each
-source and writes the slots in parts of ``PART`` blocks; everything else is DataFrame operations. Rows meet their slot in
-one join by source and block, both dealt out by both.
+(square roots) at the binary digits that a sum of 18 digits has room for. Releases and deadlines are exact decimals.
 
-Order within a source is by hash of the row's key. It is numbered in two levels, buckets of a source first and rows
-of a bucket (some ``bucket_rows``) after, so the largest source is never sorted in one task. Weights are by rows or, with ``size``, by summed
-sizes: a block then ends where the running size passes a multiple of ``block``.
+The axis of slots is cut into chunks of about ``CHUNK`` blocks, which are scheduled side by side, each by one fold over
+its picks whose state is the next block of each source. What a chunk needs of those before it is how many blocks each
+source has been given, which is the rounded-down share or one more. All chunks start from a guess (the blocks begun with
+the earliest deadlines); a chunk that started from other counts than its predecessor ended with is scheduled again until
+none is left. Two schedules that differ in which blocks are done agree again once those are due, so a chunk's wrong guess
+is mended within itself if ``1 / w`` is less than its length, and two or three rounds are enough; sources rarer than that take
+further rounds, never other results. A fold costs the number of sources for each block.
+
+Rows meet their slot in one join by source and block, both dealt out by both. Order within a source is by hash of the
+row's key. It is numbered in two levels, buckets of a source first and rows of a bucket (some ``bucket_rows``) after, so
+the largest source is never sorted in one task. Weights are by rows or, with ``size``, by summed sizes: a block then ends
+where the running size passes a multiple of ``block``.
 
 Defined results: null sources are a source of their own; null or negative sizes count as 0; repeated rows each have a
 place; without ``weights`` a source weighs the square root of its size; when a source has run out, the others go on in
 their own proportions, and slots in which none of them has a block released stay empty; ``within_mix`` says which rows
-come before that; an empty table gives an empty mixture.
+come before that; an empty table gives an empty mixture; weights whose common denominator has more than 20 digits, and
+schedules of 2**62 slots or more, are refused.
 """
 
 from __future__ import annotations
 
-import heapq
-from array import array
-from collections.abc import Iterator
+from decimal import Decimal
 from fractions import Fraction
-from math import isqrt, lcm
+from math import gcd, isqrt, lcm
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from factsieve.llm.common import col, shared_folder, stage
+from factsieve.llm.common import col, stage
 
-#: Slots of one period of ``shares`` and ``schedule``.
-PERIOD = 1000
-#: Blocks whose slots are written at a time.
-PART = 1_000_000
+#: Blocks of a chunk, and of a part of its fold (whose picks are appended to an array one by one).
+CHUNK, PART = 16_384, 256
+#: Sums of weights and numbers of slots stay below these.
+WHOLE, SLOTS = 10**20, 1 << 62
+_PICKS = "cast(array() as array<struct<i: int, block_no: bigint, release: bigint, deadline: bigint, slot: bigint>>)"
 
 
-def shares(sizes: DataFrame, weight: Column, period: int = PERIOD) -> DataFrame:
-    """``sizes(source, ...)`` with ``units``: slots per period, summing to ``period`` by largest remainders, at least one each.
+def whole_weights(totals: dict[str, int], weights: dict[str, float] | None) -> dict[str, int]:
+    """Whole numbers in the proportions of the weights of the sources that have rows."""
+    if weights is None:
+        digits = 64
+        while True:
+            whole = {k: isqrt(max(n, 1) << 2 * digits) for k, n in totals.items()}
+            if sum(whole.values()) < 10**18:
+                return whole
+            digits -= 1
+    exact = {k: Fraction(str(weights[k])) for k in totals}
+    common = lcm(*[x.denominator for x in exact.values()])
+    whole = {k: int(x * common) for k, x in exact.items()}
+    shared = gcd(*whole.values())
+    whole = {k: x // shared for k, x in whole.items()}
+    if sum(whole.values()) >= WHOLE:
+        raise ValueError("weights have more digits than a schedule can hold")
+    return whole
 
-    One row per source; a source is given its unit first and the rest in proportion.
-    """
-    total = W.Window.partitionBy(F.lit(1))
-    n = F.count(F.lit(1)).over(total)
-    exact = F.when(F.sum("w").over(total) > 0, F.col("w") * (period - n) / F.sum("w").over(total)).otherwise((period - n) / n)
-    rows = sizes.withColumn("w", weight.cast("double")).withColumn("x", exact).withColumn("base", F.floor("x"))
-    rows = rows.withColumn("left", F.lit(period) - n - F.sum("base").over(total))
-    rank = F.row_number().over(W.Window.partitionBy(F.lit(1)).orderBy((F.col("x") - F.col("base")).desc(), F.col("source").asc_nulls_first()))
-    return rows.withColumn("units", (1 + F.col("base") + (rank <= F.col("left")).cast("long")).cast("long")).drop("w", "x", "base", "left")
 
+def _decimal(c: Column) -> Column:
+    return c.cast("decimal(20,0)")
 
-def schedule(units: DataFrame, period: int = PERIOD) -> DataFrame:
-    """``source, nth, place``: the slot within a period of the nth block of each source.
 
-    Earliest deadline first among released blocks; equal deadlines go to the source first in order. The fold's state is
-    one counter per source; the period is at most a few thousand slots.
-    """
-    listed = units.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("known"), "source", "units"))).alias("s"))
-    one = F.lit(1).cast("long")
-
-    def pick(state: Column, slot: Column) -> Column:
-        options = F.transform(F.col("s"), lambda s, i: F.when(
-            (F.get(state["done"], i) < s["units"]) & (F.floor(F.get(state["done"], i) * period / s["units"]) <= slot),
-            F.struct(F.ceil((F.get(state["done"], i) + 1) * period / s["units"]).alias("due"), i.alias("i")),
-        ))
-        return F.array_min(options)
-
-    def fold(state: Column, slot: Column) -> Column:
-        taken = pick(state, slot)
-        at = taken["i"]
-        return F.struct(
-            F.transform(state["done"], lambda d, i: F.when(i == at, d + one).otherwise(d)).alias("done"),
-            F.concat(state["out"], F.array(F.struct(slot.alias("place"), at.alias("i"), F.get(state["done"], at).alias("nth")))).alias("out"),
-        )
-
-    start = F.struct(
-        F.transform(F.col("s"), lambda s: F.lit(0).cast("long")).alias("done"),
-        F.expr("cast(array() as array<struct<place: bigint, i: int, nth: bigint>>)").alias("out"),
-    )
-    slots = F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long"))
-    planned = listed.where("size(s) > 0").select("s", F.aggregate(slots, start, fold)["out"].alias("out"))
-    return planned.select("s", F.explode("out").alias("o")).where("o.i is not null").select(F.get(F.col("s"), F.col("o.i"))["source"].alias("source"), F.col("o.nth").alias("nth"), F.col("o.place").alias("place"))
+def _down(a: Column, b: Column, by: Column) -> Column:
+    """``floor(a * b / by)`` exactly."""
+    return F.call_function("div", _decimal(a) * _decimal(b), _decimal(by))
 
 
-def whole_weights(totals: dict[str, int], weights: dict[str, float] | None) -> dict[str, int]:
-    """Whole numbers in the proportions of the weights of the sources that have rows."""
-    if weights is None:
-        return {k: isqrt(max(n, 1) << 128) for k, n in totals.items()}
-    exact = {k: Fraction(str(weights[k])) for k in totals}
-    common = lcm(*[x.denominator for x in exact.values()])
-    return {k: int(x * common) for k, x in exact.items()}
-
-
-def slots(weights: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
-    """``source, block_no, slot`` in the order of slots: earliest deadline first among released blocks, ties to the source first in order."""
-    total = sum(weights.values())
-    waiting = [(0, k) for k in sorted(weights) if blocks[k]]  # by release
-    ready: list[tuple[int, str]] = []  # by deadline
-    done = dict.fromkeys(weights, 0)
-    slot = 0
-    while waiting or ready:
-        if not ready:
-            slot = max(slot, waiting[0][0])
-        while waiting and waiting[0][0] <= slot:
-            k = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(done[k] + 1) * total // weights[k]), k))
-        k = heapq.heappop(ready)[1]
-        yield k, done[k], slot
-        done[k] += 1
-        if done[k] < blocks[k]:
-            heapq.heappush(waiting, (done[k] * total // weights[k], k))
-        slot += 1
+def _up(a: Column, b: Column, by: Column) -> Column:
+    """``ceil(a * b / by)`` exactly."""
+    return -F.call_function("div", -(_decimal(a) * _decimal(b)), _decimal(by)) + F.when(F.call_function("mod", _decimal(a) * _decimal(b), _decimal(by)) > 0, 1).otherwise(0)
+
+
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _chunks(spark: SparkSession, sources: list[tuple[int, int]], chunk: int) -> DataFrame:
+    """``chunk, begin, end, steps`` of slots, with ``done``: how many blocks each source may have been given before.
+
+    ``sources`` are ``(weight, blocks)``. Where sources have run out a chunk has more slots, as fewer of them are taken.
+    """
+    everything = sum(w for w, _ in sources)
+    runs_out = [-(-n * everything // w) for w, n in sources]
+    if max(runs_out) >= SLOTS:
+        raise ValueError("a weight is too small for the rows of its source")
+    pieces, at, first = [], 0, 0
+    for end in sorted({x for x in runs_out if x}):
+        active = sum(w for (w, _), x in zip(sources, runs_out, strict=True) if x > at)
+        length = -(-chunk * everything // active)
+        pieces.append((first, at, end, length))
+        first, at = first - (-(end - at) // length), end
+    table = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(p, ("first", "at", "end", "length"), strict=True)]) for p in pieces])
+    piece = F.element_at(F.filter(table, lambda p: p["first"] <= F.col("chunk")), -1)
+    rows = spark.range(0, first, 1, min(first, 4 * spark.sparkContext.defaultParallelism)).select(F.col("id").alias("chunk"), piece.alias("p"))
+    begin = F.col("p.at") + (F.col("chunk") - F.col("p.first")) * F.col("p.length")
+    rows = rows.select("chunk", begin.alias("begin"), F.least(begin + F.col("p.length"), F.col("p.end")).alias("end"))
+    steps = F.least(F.col("end") - F.col("begin"), F.lit(chunk + 2 * len(sources) + 1))
+    # the guess: full shares, and the begun blocks with the earliest deadlines in the slots that are left
+    total = F.lit(Decimal(everything))
+    shares = F.transform(_sources(sources), lambda s, i: F.struct(F.least(s["n"], _down(F.col("begin"), s["w"], total)).alias("j"), s["w"].alias("w"), s["n"].alias("n"), i.alias("i")))
+    begun = F.filter("shares", lambda s: (s["j"] < s["n"]) & (_down(s["j"], total, s["w"]) < F.col("begin")) & (_up(F.col("begin"), s["w"], total) > s["j"]))
+    early = F.array_sort(F.transform(begun, lambda s: F.struct(_up(s["j"] + 1, total, s["w"]).alias("due"), s["i"].alias("i"))))
+    left = F.col("begin") - F.aggregate("shares", F.lit(0).cast("long"), lambda a, s: a + s["j"])
+    ahead = F.transform(F.slice(early, F.lit(1), F.least(F.greatest(left, F.lit(0)), F.lit(len(sources))).cast("int")), lambda s: s["i"])
+    rows = rows.withColumn("shares", shares).withColumn("ahead", ahead)
+    done = F.transform("shares", lambda s: s["j"] + F.array_contains("ahead", s["i"]).cast("long"))
+    return rows.select("chunk", "begin", "end", steps.cast("int").alias("steps"), done.alias("done"))
+
+
+def _sources(sources: list[tuple[int, int]]) -> Column:
+    return F.array(*[F.struct(_decimal(F.lit(Decimal(w))).alias("w"), F.lit(n).cast("long").alias("n")) for w, n in sources])
+
+
+def _fold(sources: list[tuple[int, int]], picks: bool) -> Column:
+    """The state of a chunk after its slots: the next block of each source (``next``) and, on demand, all ``picks`` in parts."""
+    total = F.lit(Decimal(sum(w for w, _ in sources)))
+
+    def block(j: Column, w: Column, n: Column) -> Column:
+        return F.struct(j.alias("j"), _down(j, total, w).alias("free"), _up(j + 1, total, w).alias("due"), w.alias("w"), n.alias("n"))
+
+    def pick(state: Column, _: Column) -> Column:
+        # the earliest start, which is the present slot for all released blocks, then the earliest deadline
+        options = F.transform(state["next"], lambda b, i: F.when(b["j"] < b["n"], F.struct(F.greatest(b["free"], state["slot"]).alias("slot"), b["due"].alias("due"), i.alias("i"))))
+
+        def take(best: Column) -> Column:
+            after = F.transform(state["next"], lambda b, i: F.when(i == best["i"], block(b["j"] + 1, b["w"], b["n"])).otherwise(b))
+            fields = [(best["slot"] + 1).alias("slot"), after.alias("next")]
+            if picks:
+                taken = F.get(state["next"], best["i"])
+                one = F.struct(best["i"].alias("i"), taken["j"].alias("block_no"), taken["free"].alias("release"), taken["due"].alias("deadline"), best["slot"].alias("slot"))
+                fields.append(F.concat(state["out"], F.array(one)).alias("out"))
+            return F.when(best["slot"] < F.col("end"), F.struct(*fields)).otherwise(state)
+
+        return _let(F.array_min(options), take)
+
+    def part(state: Column, _: Column) -> Column:
+        fields = [state["slot"].alias("slot"), state["next"].alias("next")]
+        inner = F.struct(*fields, F.expr(_PICKS).alias("out")) if picks else F.struct(*fields)
+        folded = F.aggregate(F.sequence(F.lit(1), F.lit(PART)), inner, pick)
+        if not picks:
+            return folded
+        return _let(folded, lambda s: F.struct(s["slot"].alias("slot"), s["next"].alias("next"), F.concat(state["parts"], F.array(s["out"])).alias("parts")))
+
+    first = F.zip_with(_sources(sources), "done", lambda s, j: block(j, s["w"], s["n"]))
+    start = [F.col("begin").alias("slot"), first.alias("next")]
+    if picks:
+        start.append(F.expr(f"cast(array() as array<{_PICKS.split(' as ')[1][:-1]}>)").alias("parts"))
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.col("steps") / PART).cast("int")), F.struct(*start), part)
+
+
+def slots(spark: SparkSession, weights: dict[str, int], blocks: dict[str, int], chunk: int = CHUNK) -> DataFrame:
+    """``source, block_no, release, deadline, slot``: earliest deadline first among released blocks, ties to the source first in order."""
+    kinds = "source string, block_no long, release long, deadline long, slot long"
+    names = sorted(weights)
+    if not any(blocks[k] for k in names):
+        return spark.createDataFrame([], kinds)
+    sources = [(weights[k], blocks[k]) for k in names]
+    chunks = _chunks(spark, sources, chunk)
+
+    def ended(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("after", F.transform(_fold(sources, False)["next"], lambda b: b["j"]))
+
+    known = stage(ended(chunks), "chunks")
+    while True:
+        before = known.select((F.col("chunk") + 1).alias("chunk"), F.col("after").alias("given"))
+        joined = known.join(before, "chunk", "left").withColumn("right", F.col("given").isNull() | (F.col("given") == F.col("done")))
+        joined = stage(joined, "chunks")
+        if joined.where("not right").isEmpty():
+            break
+        again = joined.where("not right").select("chunk", "begin", "end", "steps", F.col("given").alias("done"))
+        again = again.repartition(4 * spark.sparkContext.defaultParallelism, "chunk")
+        known = stage(joined.where("right").select(*known.columns).unionByName(ended(again)), "chunks")
+    dealt = known.repartition(4 * spark.sparkContext.defaultParallelism, "chunk")
+    taken = dealt.select(F.explode(F.flatten(_fold(sources, True)["parts"])).alias("p"))
+    order = F.array(*[F.lit(k) for k in names])
+    return taken.select(F.get(order, F.col("p.i")).alias("source"), "p.block_no", "p.release", "p.deadline", "p.slot")
 
 
 def _named(name: str | Column) -> Column:
@@ -126,13 +194,12 @@ def _named(name: str | Column) -> Column:
 
 def interleave(
     documents: DataFrame, key: str = "doc_id", source: str = "source", size: str | None = None, block: int = 1,
-    weights: dict[str | None, float] | None = None, period: int = PERIOD, bucket_rows: int = 50_000,
+    weights: dict[str | None, float] | None = None, bucket_rows: int = 50_000, chunk: int = CHUNK,
 ) -> DataFrame:
     """``documents`` with their place in the mixture, which is in the order of ``slot, in_block``.
 
     Adds ``block_no`` (within the source), ``release``, ``deadline`` and ``slot`` of the block, ``in_block`` (the row's
-    place in it), ``share`` (the weight) and ``within_mix``. Sources that ``weights`` leave out are not mixed. Weights
-    are no longer rounded to a ``period``, which is without effect.
+    place in it), ``share`` (the weight) and ``within_mix``. Sources that ``weights`` leave out are not mixed.
     """
     names = [c for c in documents.columns if c not in ("block_no", "release", "deadline", "slot", "in_block", "share", "within_mix")]
     own = F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0)) if size else F.lit(1)
@@ -146,7 +213,12 @@ def interleave(
     sums = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("amount")), "buckets")
     begins = sums.withColumn("begin", F.coalesce(F.sum("amount").over(W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))).drop("amount")
     totals = {r.source: r.total for r in sums.groupBy("source").agg(F.sum("amount").alias("total")).collect()}  # a row for each source
-    places, targets = _written(rows.sparkSession, totals, whole_weights(totals, weights), block)
+    spark, whole = rows.sparkSession, whole_weights(totals, weights) if totals else {}
+    blocks = {k: n // block + 1 for k, n in totals.items()}  # the last may be begun only, or stand for rows of size 0 at the end
+    places = stage(slots(spark, whole, blocks, chunk), "slots")
+    given = spark.createDataFrame([(k, float(Fraction(whole[k], sum(whole.values()))), blocks[k] - 1) for k in sorted(whole)], "source string, share double, last long")
+    stop = places.join(F.broadcast(given), "source").where("block_no = last").agg(F.min("slot").alias("stop"))
+    targets = given.select("source", "share").crossJoin(F.broadcast(stop))  # one row
     # level two: the rows of one bucket
     inside = W.Window.partitionBy("source", "bucket").orderBy("h", "size", F.xxhash64("row"))
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
@@ -158,31 +230,3 @@ def interleave(
         *[F.col("row")[c].alias(c) for c in names], "block_no", "release", "deadline", "slot", first.alias("in_block"), "share",
         (F.col("slot") < F.col("stop")).alias("within_mix"),
     )
-
-
-def _written(spark: SparkSession, totals: dict[str, int], weights: dict[str, int], block: int) -> tuple[DataFrame, DataFrame]:
-    """The slots of all blocks as a table in the shared folder, and ``source, share, stop`` of each source."""
-    everything, path = sum(weights.values()), shared_folder(spark, "slots")
-    order = sorted(totals)
-    number = {k: i for i, k in enumerate(order)}
-    blocks = {k: n // block + 1 for k, n in totals.items()}  # the last may be begun only, or stand for rows of size 0 at the end
-    kinds = "i long, block_no long, release long, deadline long, slot long"
-    part, stop = [array("q") for _ in range(5)], None
-    spark.createDataFrame([], kinds).write.parquet(path)
-
-    def write() -> None:
-        spark.createDataFrame(pa.table([pa.array(np.frombuffer(x, np.int64)) for x in part], names=["i", "block_no", "release", "deadline", "slot"]), kinds).write.mode("append").parquet(path)
-        part[:] = [array("q") for _ in range(5)]
-
-    for k, j, slot in slots(weights, blocks):
-        if stop is None and j == blocks[k] - 1:
-            stop = slot
-        for x, v in zip(part, (number[k], j, j * everything // weights[k], -(-(j + 1) * everything // weights[k]), slot), strict=True):
-            x.append(v)
-        if len(part[0]) >= PART:
-            write()
-    if len(part[0]):
-        write()
-    targets = spark.createDataFrame([(i, k, float(Fraction(weights[k], everything)), stop) for i, k in enumerate(order)], "i int, source string, share double, stop long")
-    places = spark.read.schema(kinds).parquet(path).join(F.broadcast(targets.select("i", "source")), "i").drop("i")
-    return places, targets.drop("i")

@@ -7,36 +7,63 @@ import pytest
 from factsieve.llm import mixing
 
 
-def plain_schedule(units, period):
+def plain_slots(weights, blocks):
     """Earliest deadline first, slot by slot."""
-    done, out = dict.fromkeys(units, 0), []
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // units[s]), s) for s in units if done[s] < units[s] and done[s] * period // units[s] <= t]
-        s = min(ready)[1]
-        out.append((s, done[s], t))
-        done[s] += 1
+    total, done, out, slot = sum(weights.values()), dict.fromkeys(weights, 0), [], 0
+    while left := [k for k in weights if done[k] < blocks[k]]:
+        ready = [(-(-(done[k] + 1) * total // weights[k]), k) for k in left if done[k] * total // weights[k] <= slot]
+        if ready:
+            k = min(ready)[1]
+            out.append((slot, k, done[k]))
+            done[k] += 1
+        slot += 1
     return out
 
 
-@pytest.mark.parametrize("sizes", [{"a": 500, "b": 300, "c": 200}, {"a": 9000, "b": 10, "c": 7, "d": 1}, {"a": 1}])
-def test_one_period(spark, sizes):
-    totals = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, total long")
-    plan = mixing.shares(totals, mixing.F.col("total"), 60)
-    units = {r.source: r.units for r in plan.collect()}
-    assert sum(units.values()) == 60 and min(units.values()) >= 1
-    got = sorted(((r.source, r.nth, r.place) for r in mixing.schedule(plan, 60).collect()), key=lambda x: x[2])
-    assert got == plain_schedule(units, 60)
-    given = Counter()
-    for s, _, t in got:
-        given[s] += 1
-        assert all(abs(given[x] - units[x] * (t + 1) / 60) < 1 for x in units)
+def spark_slots(spark, weights, blocks, chunk):
+    return sorted((r.slot, r.source, r.block_no) for r in mixing.slots(spark, weights, blocks, chunk).collect())
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 5000])
+@pytest.mark.parametrize(
+    "weights, blocks",
+    [
+        ({"a": 5, "b": 3, "c": 2}, {"a": 500, "b": 300, "c": 200}),
+        ({"a": 3, "b": 2, "c": 7}, {"a": 300, "b": 5, "c": 0}),
+        ({f"s{i}": i * i + 1 for i in range(12)} | {"hot": 900, "rare": 1}, dict.fromkeys([f"s{i}" for i in range(12)], 9) | {"hot": 400, "rare": 2}),
+        ({"x": 45, "y": 45} | {f"z{i:02}": 1 for i in range(10)}, {"x": 200, "y": 190} | {f"z{i:02}": 4 for i in range(10)}),
+        ({"a": 1}, {"a": 40}),
+    ],
+)
+def test_chunks_give_the_schedule_of_one_pass(spark, weights, blocks, chunk):
+    """Also where sources are rarer than a chunk is long, run out early, or leave slots empty."""
+    assert spark_slots(spark, weights, blocks, chunk) == plain_slots(weights, blocks)
+
+
+def test_wrong_guesses_are_scheduled_again(spark, monkeypatch):
+    weights, blocks = {"a": 5, "b": 3, "c": 2, "d": 1}, {"a": 100, "b": 60, "c": 45, "d": 22}
+    guess = mixing._chunks
+
+    def latest(*args):
+        rows = guess(*args)  # no begun block is taken as done, whatever the slots that are left
+        return rows.withColumn("done", mixing.F.transform("done", lambda j, i: j * 0 + mixing.F.floor(mixing.F.col("begin") * mixing.F.get(mixing.F.array(*[mixing.F.lit(w) for w in (5, 3, 2, 1)]), i) / 11)))
+
+    monkeypatch.setattr(mixing, "_chunks", latest)
+    assert spark_slots(spark, weights, blocks, 16) == plain_slots(weights, blocks)
+
+
+def test_weights_that_no_schedule_can_hold(spark):
+    with pytest.raises(ValueError, match="digits"):
+        mixing.whole_weights({"a": 1, "b": 1}, {"a": 1e-30, "b": 1.0})
+    with pytest.raises(ValueError, match="too small"):
+        mixing.slots(spark, {"a": 1, "b": 10**19}, {"a": 5, "b": 5})
 
 
 def test_every_prefix_keeps_the_weights(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 5}") for i in range(3000)] + [(None, None), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     weights = {"hot": 0.25, "s0": 0.3, "s1": 0.15, "s2": 0.1, "s3": 0.1, "s4": 0.1}
-    got = mixing.interleave(docs, weights=weights, period=100, bucket_rows=10).collect()
+    got = mixing.interleave(docs, weights=weights, bucket_rows=10).collect()
     assert len(got) == 3000 and len({r.slot for r in got}) == 3000
     order = sorted(got, key=lambda r: (r.slot, r.in_block))
     given = Counter()
@@ -66,19 +93,25 @@ def test_blocks_by_size_and_awkward_rows(spark, awkward, no_rows):
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 0.00001, "b": 0.99999}, {"hot": 0.5} | {f"s{i}": 0.01 for i in range(50)}, {"a": 1, "b": 2, "c": 4}])
-def test_long_prefixes_keep_the_target_weights(weights):
+def test_long_prefixes_keep_the_target_weights(spark, weights):
     whole = mixing.whole_weights(dict.fromkeys(weights, 1), weights)
     target = {k: Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for k, w in weights.items()}
     given, total = dict.fromkeys(weights, 0), sum(whole.values())
     assert {k: Fraction(w, total) for k, w in whole.items()} == target
-    for at, (k, j, slot) in enumerate(mixing.slots(whole, dict.fromkeys(weights, 10**9)), 1):
+    blocks = {k: int(30_000 * w) + 2 for k, w in target.items()}
+    for at, (slot, k, j) in enumerate(spark_slots(spark, whole, blocks, mixing.CHUNK)[:30_000], 1):
         assert j == given[k] and slot == at - 1
         given[k] += 1
         assert abs(given[k] - at * target[k]) < 1
         if at % 997 == 0 or at == 30_000:
             assert all(abs(given[x] - at * target[x]) < 1 for x in weights)
-        if at == 30_000:
-            break
+
+
+def test_columns_named_like_the_results(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "x", "y", "z") for i in range(20)], "doc_id long, source string, slot string, share string, stop string")
+    got = mixing.interleave(docs)
+    assert got.columns == ["doc_id", "source", "stop", "block_no", "release", "deadline", "slot", "in_block", "share", "within_mix"]
+    assert sorted(r.doc_id for r in got.collect()) == list(range(20)) and {r.stop for r in got.collect()} == {"z"}
 
 
 def test_rows_are_mixed_to_weights_finer_than_a_thousandth(spark):
