@@ -217,8 +217,8 @@ def interleave(
     blocks = {k: n // block + 1 for k, n in totals.items()}  # the last may be begun only, or stand for rows of size 0 at the end
     places = stage(slots(spark, whole, blocks, chunk), "slots")
     given = spark.createDataFrame([(k, float(Fraction(whole[k], sum(whole.values()))), blocks[k] - 1) for k in sorted(whole)], "source string, share double, last long")
-    stop = places.join(F.broadcast(given), "source").where("block_no = last").agg(F.min("slot").alias("stop"))
-    targets = given.select("source", "share").crossJoin(F.broadcast(stop))  # one row
+    stop = places.join(F.broadcast(given), "source").where("block_no = last").agg(F.min("slot")).first()[0]
+    targets = given.select("source", "share")
     # level two: the rows of one bucket
     inside = W.Window.partitionBy("source", "bucket").orderBy("h", "size", F.xxhash64("row"))
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
@@ -228,5 +228,5 @@ def interleave(
     first = F.col("bucket") * F.lit(1 << 32) + F.col("nr")
     return placed.select(
         *[F.col("row")[c].alias(c) for c in names], "block_no", "release", "deadline", "slot", first.alias("in_block"), "share",
-        (F.col("slot") < F.col("stop")).alias("within_mix"),
+        (F.col("slot") < F.lit(stop)).alias("within_mix"),
     )
