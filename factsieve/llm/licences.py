@@ -26,6 +26,9 @@ from pyspark.sql import window as W
 
 from factsieve.llm.common import col
 
+#: Tasks that the copies of a text are dealt to where they meet its labels.
+SALTS = 16
+
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases that count as base places, with their labels.
@@ -286,11 +289,15 @@ def scan(documents: DataFrame, text: str = "text", signatures: tuple[Rule, ...]
     rows = documents.select(F.struct(*[col(c) for c in names]).alias("row"), own.alias("own"))
     rows = rows.withColumn("low", low).withColumn("gate", reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in words]))
     form = F.when(F.col("gate"), normal_form(F.col("own")))
-    rows = rows.select("row", F.regexp_count("own", F.lit(WORD)).cast("long").alias("n_words"), F.xxhash64("own").alias("h"), F.octet_length("own").alias("size"), form.alias("form"))
+    # texts without a form ask for nothing and are spread by a number; copies of the others are dealt to ``SALTS`` tasks
+    number = F.monotonically_increasing_id()
+    rows = rows.select("row", F.regexp_count("own", F.lit(WORD)).cast("long").alias("n_words"), "gate", F.xxhash64("own").alias("h"), F.octet_length("own").alias("size"), form.alias("form"), number.alias("number"))
     forms = rows.where(F.col("form").isNotNull()).groupBy("h", "size").agg(F.first("form").alias("form"))
     said = detections(forms, signatures).groupBy("h", "size").agg(F.array_sort(F.collect_set("label")).alias("said"), F.max("confidence").alias("score"))
+    said = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumns({"h": F.when(F.col("gate"), F.col("h")).otherwise(F.col("number")), "size": F.when(F.col("gate"), F.col("size")).otherwise(-1), "salt": F.pmod("number", F.lit(SALTS)).cast("int")})
     with_base = rows.withColumns({"form": F.coalesce("form", F.lit("  "))}).withColumns(base(F.col("form"))).drop("form")
-    joined = with_base.join(said, ["h", "size"], "left")
+    joined = with_base.join(said, ["h", "size", "salt"], "left")
     none = F.expr("cast(array() as array<string>)")
     labels = F.array_sort(F.array_union(F.col("base_labels"), F.coalesce("said", none)))
     score = F.greatest(F.coalesce("score", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.7).otherwise(0.0))

@@ -60,3 +60,11 @@ def test_awkward_rows(spark, awkward, no_rows):
     got = licences.scan(awkward.withColumn("labels", awkward.lang))
     assert got.columns[:5] == awkward.columns[:5] and got.count() == awkward.count()
     assert licences.scan(no_rows).count() == 0
+
+
+def test_copies_and_empty_texts(spark):
+    """Copies of a text and texts without any licence, nine tenths of the rows each, keep their rows and labels."""
+    for hot in ("released under the mit license", None, ""):
+        docs = spark.createDataFrame([(i, hot if i % 10 else "apache license version 2.0") for i in range(2000)], "doc_id long, text string").repartition(7)
+        got = licences.scan(docs).groupBy("base_labels").count().collect()
+        assert {tuple(r.base_labels): r["count"] for r in got} == {("apache",): 200, ("mit",) if hot else (): 1800}
