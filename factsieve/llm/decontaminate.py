@@ -6,8 +6,10 @@ begins otherwise cannot match any test suffix, so leaving it out loses nothing.
 binary-searched in the shard, the interval of equal windows gives the places, and each place is extended to its
 longest verbatim match. Matched words are compared as bytes, so hash collisions cannot count.
 
-The benchmark is read in blocks of at most ``block_words`` words. A block is a constant of one Arrow step; documents
-flow through one step per block in a single scan, without any shuffle.
+The benchmark is streamed past the driver in blocks of some ``block_words`` words, one at a time. A block is a constant
+of one Arrow step over the documents, without any shuffle. A benchmark of one block is matched in one lazy scan. For a
+larger one the documents are written once with a number each; every block's scan of them writes the few rows it matches to
+the shared folder before the next block is read, and those rows, summed up by document, are joined to all.
 
 Defined results: null and empty texts have no words and no matches; repeated rows are judged one by one; columns of
 the documents that share a name with an output are replaced by it; an empty benchmark matches nothing.
@@ -16,15 +18,18 @@ the documents that share a name with an output are replaced by it; an empty benc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.llm.common import ALNUM, ASCII_LOWER, col, groups_by_size, map_batches, text_bytes, word_edges, word_hashes
+from factsieve.llm.common import ALNUM, ASCII_LOWER, col, groups_by_size, map_batches, stage, text_bytes, word_edges, word_hashes
 
+#: Columns that ``find_matches`` adds.
+ADDED = ("n_words", "spans", "matches")
 #: Spans of hit words (end exclusive) and longest matches, both by word positions from 0.
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 MATCHES = T.ArrayType(T.StructType([
@@ -185,22 +190,50 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 13, t
     """``documents`` with ``n_words``, merged ``spans`` of hit words and ``matches``: the longest verbatim matches with their places.
 
     A match is at least ``window`` words long, or a whole item of fewer. ``block_words`` bounds what of the benchmark
-    is in memory at a time on the driver and in a task.
+    is in memory at a time, on the driver (besides one partition of it) and in a task.
     """
-    out = documents.select(*[col(c) for c in documents.columns if c not in ("n_words", "spans", "matches")])
-    out = out.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast(SPANS), "matches": F.lit(None).cast(MATCHES)})
-    items = benchmark.select(col(item).cast("string").alias("i"), F.coalesce(col("text"), F.lit("")).alias("t"))
+    names = [c for c in documents.columns if c not in ADDED]
+    numbered, parts = None, []
+    for rows, last in _item_blocks(benchmark.select(col(item).cast("string").alias("i"), F.coalesce(col("text"), F.lit("")).alias("t")), block_words):
+        if last and not parts:
+            return _through(documents.select(*[col(c) for c in names], *_nothing()), rows, window, text)
+        if numbered is None:
+            numbered = stage(documents.select(F.struct(*[col(c) for c in names]).alias("row"), col(text).alias("body"), F.monotonically_increasing_id().alias("n")), "numbered")
+        found = _through(numbered.select("n", "body", *_nothing()), rows, window, "body")
+        parts.append(stage(found.where(F.size("matches") > 0).select("n", "spans", "matches"), "matches"))
+    met = reduce(DataFrame.unionByName, parts).groupBy("n").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("matches")).alias("m"))
+    met = met.select("n", _union(F.array_sort("s")).alias("s"), "m")
+    counted = _through(numbered.select("row", "body", "n", *_nothing()), [], window, "body")
+    return counted.join(met, "n", "left").select(*[F.col("row")[c].alias(c) for c in names], "n_words", F.coalesce("s", "spans").alias("spans"), F.coalesce("m", "matches").alias("matches"))
+
+
+def _nothing() -> list[Column]:
+    """The columns that a step fills."""
+    return [F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast(MATCHES).alias("matches")]
+
+
+def _item_blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """The items in blocks of ``block_words`` words and an item at most, read as they are asked for; the flag marks the last."""
     rows, size = [], 0
-    blocks = []
     for r in items.toLocalIterator():
-        rows.append((r.i, r.t.encode("utf-8", "surrogatepass")))
-        size += len(r.t) // 2 + 1
         if size >= block_words:
-            blocks.append(rows)
+            yield rows, False
             rows, size = [], 0
-    for block_rows in [*blocks, rows] if rows or not blocks else blocks:
-        out = _through(out, block_rows, window, text)
-    return out
+        rows.append((r.i, r.t.encode("utf-8", "surrogatepass")))
+        size += len(r.t) // 2 + 1
+    yield rows, True
+
+
+def _union(spans: Column) -> Column:
+    """Sorted half-open spans, those that touch as one."""
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        meets = (F.size(out) > 0) & (s["start"] <= F.try_element_at(out, F.lit(-1))["end"])
+        return F.when(meets, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(wider))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"), add)
 
 
 def _through(frame: DataFrame, rows: list[tuple[str, bytes]], window: int, text: str) -> DataFrame:
@@ -218,11 +251,6 @@ def _through(frame: DataFrame, rows: list[tuple[str, bytes]], window: int, text:
                 counts += c
                 spans += s
                 matches += m
-            before = batch.column(names.index("matches")).to_pylist() if batch.num_rows else []
-            if any(before):
-                earlier = batch.column(names.index("spans")).to_pylist()
-                matches = [[tuple(x.values()) for x in b or ()] + m for b, m in zip(before, matches, strict=True)]
-                spans = [merged([tuple(x.values()) for x in b or ()] + s) for b, s in zip(earlier, spans, strict=True)]
             made = {"n_words": counts, "spans": [[dict(zip(("start", "end"), x, strict=True)) for x in s] for s in spans], "matches": [[dict(zip(("item_id", "item_word", "doc_word", "n_words"), x, strict=True)) for x in m] for m in matches]}
             yield pa.RecordBatch.from_arrays([pa.array(made[n], _ARROW[n]) if n in made else batch.column(k) for k, n in enumerate(names)], names=names)
 
