@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.urls import site_root, url_parts
 from factsieve.sources.nodes import explode_nodes
+from factsieve.workloads import queries as Q
 from factsieve.workloads import rendered as R
 
 
@@ -33,3 +34,8 @@ def test_site_of_addresses_that_are_none(spark):
     got = rows.select("i", site_root(F.col("u")).alias("s"), url_parts(F.col("u"))["host"].alias("h")).orderBy("i").collect()
     assert [r.s for r in got] == ["example.com", None, None, None, "[::1]", None]
     assert [r.h for r in got] == ["www.a.example.com", None, None, None, "[::1]", None]
+
+
+def test_social_profiles_are_judged_by_many_tasks(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert tasks_of(Q.social_profiles(spark, str(tmp_path))) >= spark.sparkContext.defaultParallelism
