@@ -35,6 +35,12 @@ UNUSABLE_HREF = r"(?i)^(javascript|mailto|tel|sms|data|about|blob|#)"
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*)://"
 
+# Addresses spelt as a browser would report them (lower-case host, no port, nothing to escape, no dot segments, no fragment), and
+# those of them that are their own key.
+_SAFE = r"A-Za-z0-9_~%=+,;:@!*&.\-"
+_PLAIN = rf"^(?![^?]*/\.)https?://[a-z0-9.\-]+/[{_SAFE}/]*(?:\?[{_SAFE}/]+)?\z"
+_PLAIN_KEY = rf"^(?!https?://www\.)(?![^?]*/\.)https?://[a-z0-9.\-]+/(?:[{_SAFE}/]*[{_SAFE}])?\z"
+
 
 def _percent_encode(c: Column) -> Column:
     """Escape what may not stand literally in a path or query; existing escapes stay."""
@@ -143,13 +149,14 @@ def url_path(c: Column) -> Column:
 @memo
 def canonical_url(c: Column) -> Column:
     """Absolute http(s) URL in the spelling a browser would report, else null."""
-    return let(
+    taken_apart = let(
         url_parts(c),
         lambda p: F.when(
             p["scheme"].isin("http", "https"),
             F.concat(_origin(p), p["path"], _query_suffix(p["query"]), p["fragment"]),
         ),
     )
+    return F.when(c.rlike(_PLAIN), c).otherwise(taken_apart)
 
 
 @memo
@@ -164,10 +171,11 @@ def absolutize(href: Column, base: Column) -> Column:
                 .when(h.startswith("?"), F.concat(_origin(b), b["path"], h))
                 .otherwise(F.concat(_origin(b), directory, h))
             )
-            return F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h).otherwise(joined)
+            return joined
 
+        absolute = F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h).otherwise(let(url_parts(base), against))
         usable = (h != "") & ~h.rlike(UNUSABLE_HREF)
-        return F.when(usable, canonical_url(let(url_parts(base), against)))
+        return F.when(usable, let(absolute, canonical_url))
 
     return let(F.trim(text_or_empty(href)), resolve)
 
@@ -201,7 +209,7 @@ def normalize_url(c: Column) -> Column:
         port = F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(F.lit(""))
         return F.concat(p["scheme"], F.lit("://"), host, port, path, _query_suffix(query))
 
-    return F.coalesce(let(url_parts(c), build), c.cast("string"))
+    return F.when(c.rlike(_PLAIN_KEY), c).otherwise(F.coalesce(let(url_parts(c), build), c.cast("string")))
 
 
 @memo

@@ -189,10 +189,11 @@ _VARIANTS = "array<struct<url:string,width:double,trust:double,channel:string>>"
 def _variants(names: tuple[str, ...]) -> Column:
     """Renditions an ``<img>`` names in the given attributes, in attribute order."""
     width = parse_dim(attr("width"))
+    # of the many names only those the element has are looked at, in the order of the names
+    present = F.array_intersect(F.array(*[F.lit(n) for n in names]), F.map_keys("attrs"))
     given = F.filter(
         F.transform(
-            F.array(*[F.lit(n) for n in names]),
-            lambda n: F.struct(n.alias("n"), F.coalesce(F.try_element_at(F.col("attrs"), n), F.lit("")).alias("v")),
+            present, lambda n: F.struct(n.alias("n"), F.coalesce(F.try_element_at(F.col("attrs"), n), F.lit("")).alias("v"))
         ),
         lambda x: x["v"] != "",
     )
@@ -263,12 +264,16 @@ def images_elements(nodes: DataFrame) -> DataFrame:
     )
     renditions = F.concat(_variants((*LAZY_ATTRS, "srcset")), from_sources, _variants(("src",)))
     usable = F.filter(renditions, lambda v: (v["url"] != "") & ~F.trim(v["url"]).rlike("(?i)^data:"))
-    ranked = F.transform(
-        usable,
-        lambda v, i: F.struct(
-            variant_score(v["url"], v["width"], v["trust"]).alias("score"), (-i).alias("at"), v.alias("v")
-        ),
-    )
+
+    def winner(all_of: Column) -> Column:
+        ranked = F.transform(
+            all_of,
+            lambda v, i: F.struct(
+                variant_score(v["url"], v["width"], v["trust"]).alias("score"), (-i).alias("at"), v.alias("v")
+            ),
+        )
+        return F.when(F.size(all_of) > 1, F.array_max(ranked)["v"]).otherwise(F.try_element_at(all_of, F.lit(1)))
+
     container = squish(
         F.concat_ws(
             " ",
@@ -295,7 +300,7 @@ def images_elements(nodes: DataFrame) -> DataFrame:
     def some(condition: Column, made: Column) -> Column:
         return F.when(condition, made).otherwise(F.array().cast(shape))
 
-    rows = rows.withColumn("win", F.when(is_img, F.array_max(ranked)["v"])).withColumn("set", F.when(bare, best_srcset(attr("srcset"))))
+    rows = rows.withColumn("win", F.when(is_img, let(usable, winner))).withColumn("set", F.when(bare, best_srcset(attr("srcset"))))
     lightbox = (attr_text("data-lightbox") != "") | attr_text("class").rlike("(?i)lightbox|gallery")
     made = F.concat(
         some(F.col("win").isNotNull(), F.array(found(
