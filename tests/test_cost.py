@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factsieve.functions import urls as U
 from factsieve.operators import images as I
+from factsieve.operators import page as P
+from factsieve.operators import structured as S
 from factsieve.sources import nodes as N
 
 PIECES = (
@@ -56,3 +58,11 @@ def test_renditions_are_sought_among_the_attributes_an_image_has(spark):
     made = rows.select(I._variants(("data-src", "data-original", "src")).alias("v"))
     assert [[v.url for v in r.v] for r in made.collect()] == [["a.jpg", "b.jpg"], []]
     assert "array_intersect" in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_both_kinds_of_structured_data_come_from_one_parse(spark):
+    pages = spark.createDataFrame([(1, '<script type="application/ld+json" itemscope>{"name":"a","offers":[{"price":4.0,"priceCurrency":"USD"}]}</script><p itemscope><b itemprop="name">m</b></p>')], "page_id long, html string")
+    entries = S.page_entries(P.page_scope(N.explode_nodes(pages)))
+    assert entries._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = [(r.source, r.key, r.value) for r in entries.orderBy("seq").collect()]
+    assert ("jsonld", "price", "USD 4") in got and ("microdata", "name", "m") in got and got[0][0] == "jsonld" and got[-1][0] == "microdata"
