@@ -14,6 +14,9 @@ SPACE_CHARS = r"\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Fixed value: exotic spaces that become a plain space while line breaks survive.
 WIDE_SPACE_CHARS = r"\u00a0\u2000-\u200b\u202f\u205f\u3000"
 
+# What squishing has to touch: single plain spaces, most of a text's, stay as they are.
+_UNSQUISHED = rf"(?=[^!-~])(?:[{SPACE_CHARS}]{{2,}}|[{SPACE_CHARS}&&[^ ]])"
+# What a text of one line has to hold for squish_block to change it.
 _UNEVEN = rf"[^\S ]|[{WIDE_SPACE_CHARS}]|  |^ | $"
 
 # Words that carry no meaning in a label.
@@ -35,7 +38,7 @@ def text_or_empty(c: Column) -> Column:
 @memo
 def squish(c: Column) -> Column:
     """Collapse every kind of white space and trim."""
-    return F.trim(F.regexp_replace(text_or_empty(c), f"[{SPACE_CHARS}]+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(c), _UNSQUISHED, " "))
 
 
 @memo
@@ -51,7 +54,7 @@ def squish_block(c: Column) -> Column:
 
 
 def raw_tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(squish(c)), "[^a-z0-9]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text_or_empty(c)), "[^a-z0-9]+"), lambda t: t != "")  # white space parts tokens as it is
 
 
 @memo

@@ -5,6 +5,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from factsieve.functions import text as T
 from factsieve.functions import urls as U
 from factsieve.operators import images as I
 from factsieve.operators import page as P
@@ -66,3 +67,9 @@ def test_both_kinds_of_structured_data_come_from_one_parse(spark):
     assert entries._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     got = [(r.source, r.key, r.value) for r in entries.orderBy("seq").collect()]
     assert ("jsonld", "price", "USD 4") in got and ("microdata", "name", "m") in got and got[0][0] == "jsonld" and got[-1][0] == "microdata"
+
+
+def test_words_are_parted_without_squishing_first(spark):
+    rows = spark.createDataFrame([("The ​ Big  \nred-Dog  9",), (None,)], "t string").select(T.tokens(F.col("t")).alias("w"), T.squish(F.col("t")).alias("s"))
+    assert "regexp_replace" not in rows.select("w")._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.w, r.s) for r in rows.collect()] == [(["big", "red", "dog", "9"], "The Big red-Dog 9"), ([], "")]
