@@ -5,6 +5,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from factsieve.functions import kinds as K
 from factsieve.functions import text as T
 from factsieve.functions import urls as U
 from factsieve.operators import images as I
@@ -73,3 +74,10 @@ def test_words_are_parted_without_squishing_first(spark):
     rows = spark.createDataFrame([("The ​ Big  \nred-Dog  9",), (None,)], "t string").select(T.tokens(F.col("t")).alias("w"), T.squish(F.col("t")).alias("s"))
     assert "regexp_replace" not in rows.select("w")._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.w, r.s) for r in rows.collect()] == [(["big", "red", "dog", "9"], "The Big red-Dog 9"), ([], "")]
+
+
+def test_separators_of_an_address_are_counted_without_a_pattern(spark):
+    texts = ["1 Dock Road", "1 Dock | Road | x", "1 a | b | c | d", "1 " + "a " * 43 + "b", "1 " + "a " * 44 + "b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", K.valid_address(F.col("t")).alias("ok"))
+    assert "[^|]" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.ok for r in rows.orderBy("i").collect()] == [True, True, False, True, False]
