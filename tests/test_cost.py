@@ -11,6 +11,7 @@ from factsieve.functions import urls as U
 from factsieve.operators import images as I
 from factsieve.operators import page as P
 from factsieve.operators import structured as S
+from factsieve.plans.extract import page_tables
 from factsieve.sources import nodes as N
 
 PIECES = (
@@ -81,3 +82,10 @@ def test_separators_of_an_address_are_counted_without_a_pattern(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", K.valid_address(F.col("t")).alias("ok"))
     assert "[^|]" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert [r.ok for r in rows.orderBy("i").collect()] == [True, True, False, True, False]
+
+
+def test_texts_that_several_tests_read_are_written_once(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/", "<p>x</p>")], "page_id long, url string, html string")
+    t = page_tables(pages)
+    plan = t.kept_texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and [r.text for r in t.kept_texts.collect()] == ["x"]
