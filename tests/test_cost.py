@@ -89,3 +89,13 @@ def test_texts_that_several_tests_read_are_written_once(spark):
     t = page_tables(pages)
     plan = t.kept_texts._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and [r.text for r in t.kept_texts.collect()] == ["x"]
+
+
+def test_staged_element_rows_are_never_broadcast(spark):
+    html = "<ul>" + "".join(f"<li>{w} words of one item<b>{w}</b></li>" for w in ("some", "more", "last")) + "</ul>"
+    t = page_tables(spark.createDataFrame([(i, f"http://a.b/{i}", html) for i in range(3)], "page_id long, url string, html string"))
+    items = t.nodes.where("tag = 'li'").select("page_id", "node_id", "last_desc")
+    scopes = P.item_scopes(t.nodes, items)
+    found = {(r.page_id, r.scope_id, r.tag, r.full_text) for r in scopes.collect()}
+    assert {x[2:] for x in found if x[0] == 1} == {(tag, text) for w in ("some", "more", "last") for tag, text in (("li", f"{w} words of one item{w}"), ("b", w))} and len(found) == 18
+    assert "Broadcast" not in scopes._jdf.queryExecution().executedPlan().toString()
