@@ -99,3 +99,21 @@ def test_staged_element_rows_are_never_broadcast(spark):
     found = {(r.page_id, r.scope_id, r.tag, r.full_text) for r in scopes.collect()}
     assert {x[2:] for x in found if x[0] == 1} == {(tag, text) for w in ("some", "more", "last") for tag, text in (("li", f"{w} words of one item{w}"), ("b", w))} and len(found) == 18
     assert "Broadcast" not in scopes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_single_spaced_without_a_pattern(monkeypatch):
+    rnd, pattern = random.Random(7), N._WS
+    for _ in range(3000):
+        text = "".join(rnd.choice("ab  \t\n\r\x0b\x1c\x1f\x85  ᠎ ​‍  　﻿") for _ in range(rnd.randint(0, 9)))
+        assert N._single_spaced(text) == pattern.sub(" ", text), repr(text)
+        pieces = [N._single_spaced(x) for x in text.partition("a")]
+        assert N._joined(pieces) == pattern.sub(" ", "".join(pieces)).strip(), pieces
+
+    class Fails:
+        def sub(self, *_):
+            raise AssertionError("tried a pattern")
+
+    monkeypatch.setattr(N, "_WS", Fails())
+    tree = N._Tree()
+    tree.feed("<body><div>One <b>bold</b>\n word</div><p>A long  text\n of one piece</p></body>")
+    assert [n.text for n in tree.rows()][1:] == ["One bold wordA long text of one piece", "One bold word", "bold", "A long text of one piece"]
