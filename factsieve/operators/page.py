@@ -24,7 +24,6 @@ BLOCK_TAGS = (
     "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dd", "dt", "td", "th", "address", "figcaption", "blockquote",
     "span", "div", "a", "strong", "b", "em", "label", "time", "small",
 )
-LABEL_TAGS = ("label", "strong", "b", "dt", "h3", "h4", "h5", "h6")
 PREFIX_TAGS = ("p", "li", "div", "span", "address")
 LEAD_TAGS = ("strong", "b", "span", "label", "em", "i")
 INLINE_PAIR = r"^([A-Za-z][A-Za-z ./&'-]{1,40}?)\s*[:：]\s*(.{2,300})$"
@@ -56,11 +55,15 @@ def class_list(c: Column) -> Column:
 
 def selector() -> Column:
     """``tag#id``, ``tag.c1.c2`` or ``tag``."""
-    classes = F.array_join(F.slice(class_list(attr("class")), 1, 2), ".")
+    return selector_of(F.col("tag"), attr("class"), attr("id"))
+
+
+def selector_of(tag: Column, of_class: Column, html_id: Column) -> Column:
+    classes = F.array_join(F.slice(class_list(of_class), 1, 2), ".")
     return (
-        F.when(attr_text("id") != "", F.concat("tag", F.lit("#"), attr("id")))
-        .when(classes != "", F.concat("tag", F.lit("."), classes))
-        .otherwise(F.col("tag"))
+        F.when(F.coalesce(html_id, F.lit("")) != "", F.concat(tag, F.lit("#"), html_id))
+        .when(classes != "", F.concat(tag, F.lit("."), classes))
+        .otherwise(tag)
     )
 
 
@@ -166,16 +169,15 @@ def boilerplate_text(nodes: DataFrame) -> DataFrame:
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
-    """Visible text blocks in document order (``pos`` from 1)."""
+    """Visible text blocks; ``pos``, the element's number, puts them in document order."""
     text = F.when(F.col("n_kids") == 0, F.col("full_text")).otherwise(F.col("own_text"))
     found = (
         nodes.where(F.col("content") & F.col("tag").isin(*BLOCK_TAGS))
         .withColumn("text", text)
         .where(F.col("text") != "")
     )
-    order = W.partitionBy(*KEYS).orderBy("node_id")
     return found.select(
-        *KEYS, "node_id", F.row_number().over(order).alias("pos"), "text", "full_text", "tag",
+        *KEYS, "node_id", F.col("node_id").alias("pos"), "text", "full_text", "tag",
         selector().alias("selector"), squish(attr_text("class")).alias("class_name"),
         squish(attr_text("id")).alias("html_id"), squish(attr_text("itemprop")).alias("itemprop"),
         inside("chrome").alias("boilerplate"), "depth",
@@ -195,7 +197,9 @@ def page_text(block_rows: DataFrame, nodes: DataFrame) -> DataFrame:
             ).alias("block_text")
         )
     )
-    body = nodes.groupBy(*KEYS).agg(
+    # every page has a first element and every scope its root, so no page or scope is lost
+    outer = nodes.where((F.col("tag") == "body") | (F.col("node_id") == F.col("scope_id")) | (F.col("node_id") == 1))
+    body = outer.groupBy(*KEYS).agg(
         F.max(F.when(F.col("tag") == "body", F.col("full_text"))).alias("body_text"),
         # a scope has no body of its own: its root is the whole text
         F.max(F.when(F.col("node_id") == F.col("scope_id"), F.col("full_text"))).alias("root_text"),
@@ -244,14 +248,9 @@ def _pair(frame: DataFrame, kind: str, label: Column, value: Column, where: Colu
 
 def pairs_dl(nodes: DataFrame) -> DataFrame:
     """``<dt>`` with each ``<dd>`` that follows it."""
-    siblings = W.partitionBy(*KEYS, "parent_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = (
-        nodes.where(
-            F.col("content") & (F.col("parent_tag") == "dl") & F.col("tag").isin("dt", "dd")
-            & (F.col("parent_id") >= F.col("scope_id"))
-        )
-        .withColumn("term", F.last(F.when(F.col("tag") == "dt", F.coalesce("full_text", F.lit(""))), True).over(siblings))
-        .where((F.col("tag") == "dd") & (F.col("term") != ""))
+    rows = nodes.where(
+        F.col("content") & (F.col("parent_tag") == "dl") & (F.col("tag") == "dd") & (F.col("parent_id") >= F.col("scope_id"))
+        & (F.col("term") != "")
     )
     return _pair(rows, "dl", F.col("term"), F.col("full_text"), selector(), inside("chrome"))
 
@@ -275,18 +274,10 @@ def pairs_table(nodes: DataFrame) -> DataFrame:
 
 
 def pairs_sibling(nodes: DataFrame) -> DataFrame:
-    """A label-like element and the element right after it."""
-    siblings = W.partitionBy(*KEYS, "parent_id").orderBy("node_id")
-    rows = (
-        nodes.where(F.col("content") & (F.col("parent_id") >= F.col("scope_id")) & (F.col("parent_id") > 0))
-        .withColumn("next_text", F.lead("full_text").over(siblings))
-        .withColumn("next_selector", F.lead(selector()).over(siblings))
-        .where(
-            (F.col("tag").isin(*LABEL_TAGS) | attr_text("class").contains("label") | attr_text("class").contains("title"))
-            & (F.length("full_text").between(1, 50)) & (F.col("next_text") != "")
-        )
-    )
-    return _pair(rows, "sibling", F.col("full_text"), F.col("next_text"), F.col("next_selector"), inside("chrome"))
+    """A label-like element and the element right after it, which the parser has looked up."""
+    rows = nodes.where((F.col("next_text") != "") & (F.col("parent_id") >= F.col("scope_id")))
+    after = selector_of(F.col("next_tag"), F.col("next_class"), F.col("next_id"))
+    return _pair(rows, "sibling", F.col("full_text"), F.col("next_text"), after, inside("chrome"))
 
 
 def pairs_inline(block_rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from html.parser import HTMLParser
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factsieve.functions import kinds as K
@@ -117,3 +118,31 @@ def test_texts_are_single_spaced_without_a_pattern(monkeypatch):
     tree = N._Tree()
     tree.feed("<body><div>One <b>bold</b>\n word</div><p>A long  text\n of one piece</p></body>")
     assert [n.text for n in tree.rows()][1:] == ["One bold wordA long text of one piece", "One bold word", "bold", "A long text of one piece"]
+
+
+def test_pairs_and_blocks_need_no_windows(spark):
+    rnd = random.Random(11)
+    pieces = (
+        "<dl>", "</dl>", "<dt>Term {}</dt>", "<dt></dt>", "<dd>Value {}</dd>", "<div>", "</div>", "<b>Word {}</b>", "<label>Name {}</label>", "<p class='x label'>Kind {}</p>", "text ",
+        "<i id='k'>Thing {}</i>", "<em class='a  b c'>Other {}</em>", "<script>x</script>", "<p class='title'>" + "long " * 12 + "</p>", "<h4> </h4>", "<table><tr><th>T {}</th><td>c</td></tr></table>",
+    )
+    pages = ["".join(rnd.choice(pieces).format(rnd.randint(0, 99)) for _ in range(rnd.randint(1, 25))) for _ in range(300)] + ["", "<dl><dt>A</dt><dl><dd>b</dd></dl><dd>c</dd></dl>"]
+    made = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    for nodes in (P.page_scope(N.explode_nodes(made)), P.page_scope(N.explode_nodes(made)).withColumn("scope_id", F.lit(3)).where("node_id >= 3")):
+        kids = nodes.where(F.col("content") & (F.col("parent_id") >= F.col("scope_id")) & (F.col("parent_id") > 0))
+        order = Window.partitionBy(*P.KEYS, "parent_id").orderBy("node_id")
+        ahead = kids.withColumn("after", F.lead(F.struct("full_text", P.selector().alias("sel"))).over(order))
+        marked = F.col("tag").isin("label", "strong", "b", "dt", "h3", "h4", "h5", "h6") | P.attr_text("class").contains("label") | P.attr_text("class").contains("title")
+        siblings = ahead.where(marked & F.length("full_text").between(1, 50) & (F.col("after.full_text") != "")).select("page_id", "node_id", F.col("full_text").alias("label"), F.col("after.full_text").alias("value"), F.col("after.sel").alias("selector"))
+        term = F.last(F.when(F.col("tag") == "dt", F.coalesce("full_text", F.lit(""))), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        terms = kids.where((F.col("parent_tag") == "dl") & F.col("tag").isin("dt", "dd")).withColumn("label", term).where("tag = 'dd' and label != ''").select("page_id", "node_id", "label", F.col("full_text").alias("value"), P.selector().alias("selector"))
+        for found, wanted in ((P.pairs_sibling(nodes), siblings), (P.pairs_dl(nodes), terms)):
+            assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+            got = sorted(map(tuple, found.select(*wanted.columns).collect()))
+            assert got == sorted(map(tuple, wanted.collect())) and len(got) > 5
+        blocks = P.blocks(nodes)
+        assert "Window" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    whole = P.page_scope(N.explode_nodes(made))
+    bodies = {r.page_id: r.t for r in whole.groupBy("page_id").agg(F.max(F.when(F.col("tag") == "body", F.col("full_text"))).alias("t")).collect()}
+    texts = {r.page_id: r.text for r in P.page_text(P.blocks(whole).limit(0), whole).collect()}
+    assert texts == {k: t or "" for k, t in bodies.items()}
