@@ -520,7 +520,8 @@ def from_pairs(t: PageTables, specs: list[Row]) -> DataFrame:
     """Label/value pairs whose label names the field."""
     rows = open_specs(
         with_label(t.pairs, F.col("label")), specs, PAIR_KINDS,
-        lambda s: F.when(channel_ok(F.col("label"), s), label_match(s)).otherwise(0.0),
+        # most labels name nothing: the channel of those that do is looked at last
+        lambda s: let(label_match(s), lambda m: F.when(m <= 0, 0.0).when(channel_ok(F.col("label"), s), m).otherwise(0.0)),
     ).select("*", F.posexplode(F.when(F.col("s.plural"), once(("split_list",), lambda: split_list(F.col("value")))).otherwise(F.array("value"))).alias("i", "v"))
     return _emit(
         rows, 4, F.col("v"), F.col("score") * TIER["pair"],
@@ -666,36 +667,32 @@ def from_description(t: PageTables, specs: list[Row]) -> DataFrame:
 
 def from_lists(t: PageTables, specs: list[Row]) -> DataFrame:
     """Items of lists whose heading, attributes or content match; chips of a hinted container otherwise."""
-    items = (
-        t.nodes.where(
-            F.col("content") & (F.col("tag") == "li") & F.col("parent_tag").isin("ul", "ol")
-            & F.length("full_text").between(1, 200) & (F.col("parent_id") >= F.col("scope_id"))
-        )
-        .groupBy(*KEYS, F.col("parent_id").alias("node_id"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("n"), "full_text"))), lambda x: x["full_text"]).alias("items"))
-        .where(F.size("items") >= 2)
+    is_item = (
+        F.col("content") & (F.col("tag") == "li") & F.col("parent_tag").isin("ul", "ol") & F.length("full_text").between(1, 200)
+        & (F.col("parent_id") >= F.col("scope_id"))
     )
+    is_list = F.col("tag").isin("ul", "ol") & ~inside("listskip")
+
     def near(at: str, text: str) -> Column:
         return F.when(F.col(at) >= F.col("scope_id"), F.nullif(F.col(text), F.lit("")))
 
+    attr_text_of = F.lower(F.concat_ws(" ", attr("class"), attr("id"), F.when(F.col("parent_id") >= F.col("scope_id"), F.col("parent_class"))))
+    heading = F.coalesce(
+        near("prev_at", "prev_text"), near("parent_prev_at", "parent_prev_text"), F.when(inside("secdiv"), F.col("near_heading")), F.lit(""),
+    )
+    # a list and its items meet in one aggregate, where the page lies: a join by element would move both
     lists = (
-        t.nodes.where(F.col("tag").isin("ul", "ol") & ~inside("listskip"))
-        .withColumn(
-            "attr_text",
-            F.lower(F.concat_ws(" ", attr("class"), attr("id"), F.when(F.col("parent_id") >= F.col("scope_id"), F.col("parent_class")))),
+        t.nodes.where(is_list | is_item)
+        .groupBy(*KEYS, F.when(F.col("tag") == "li", F.col("parent_id")).otherwise(F.col("node_id")).alias("list_id"))
+        .agg(
+            F.max(F.when(is_list, F.struct(attr_text_of.alias("attr_text"), heading.alias("heading"), selector().alias("sel")))).alias("list"),
+            F.array_sort(F.collect_list(F.when(is_item, F.struct(F.col("node_id").alias("n"), "full_text")))).alias("items"),
         )
-        .withColumn(
-            "heading",
-            F.coalesce(
-                near("prev_at", "prev_text"), near("parent_prev_at", "parent_prev_text"),
-                F.when(inside("secdiv"), F.col("near_heading")), F.lit(""),
-            ),
-        )
-        .withColumn("sel", selector())
-        .select(*KEYS, "node_id", "attr_text", "heading", "sel")
-        .join(items, [*KEYS, "node_id"])
+        .where(F.col("list").isNotNull() & (F.size("items") >= 2))
+        .select(*KEYS, F.col("list_id").alias("node_id"), "list.*", F.transform("items", lambda x: x["full_text"]).alias("items"))
         .withColumn("item_tokens", tokens(F.array_join("items", " ")))
     )
+
     def score(s: Column) -> Column:
         attr_hit = F.exists(s["attr_hints"], lambda h: (F.length(h) >= 4) & F.col("attr_text").contains(h))
         item_hit = token_overlap(F.filter(s["keywords"], lambda k: F.length(k) > 3), F.col("item_tokens")) >= 0.25
@@ -722,13 +719,18 @@ def from_lists(t: PageTables, specs: list[Row]) -> DataFrame:
         return {"score": yes(F.size(hits) > 0), "hits": hits}
 
     boxes = open_specs(boxes, specs, ["list"], hinted).select(*KEYS, "box_id", "s", F.explode("hits").alias("h"))
-    chips = t.nodes.where(F.col("content") & F.length("full_text").between(1, 60)).select(
+    # a chip's parent carries a hint, which the chip's own row tells: the others need not be moved
+    hints = sorted({h for x in specs if x.type == "list" for h in x.attr_hints if len(h) >= 5})
+    boxed = F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.col("parent_class").contains(h)) if hints else F.lit(False)
+    chips = t.nodes.where(F.col("content") & F.length("full_text").between(1, 60) & boxed).select(
         *KEYS, F.col("parent_id").alias("box_id"), "node_id", "full_text", selector().alias("sel")
     )
     chips = boxes.join(chips, [*KEYS, "box_id"])
     first = W.partitionBy(*KEYS, "s.key")
     chips = chips.withColumn("best", F.min("h.hint_at").over(first)).where(F.col("h.hint_at") == F.col("best"))
-    answered = rows.select(*KEYS, F.col("s.key").alias("done")).distinct()
+    # only the lists of pages with chips are tested again
+    contested = lists.join(chips.select("page_id").distinct(), "page_id", "left_semi")
+    answered = open_specs(with_label(contested, F.col("heading")), specs, ["list"], score).select(*KEYS, F.col("s.key").alias("done")).distinct()
     chips = chips.withColumn("done", F.col("s.key")).join(answered, [*KEYS, "done"], "left_anti")
     return listed.unionByName(
         _emit(

@@ -238,3 +238,22 @@ def test_long_pages_are_whole_in_digests_and_patterns(spark):
     assert all(f"end{i}." in labelled for i in range(130))
     hits = spark.createDataFrame([("a1 " * 15,)], "text string").select(cascade.pattern_hits(F.col("text"), r"a\d").alias("h")).first().h
     assert [(h.i, h.m, h["at"]) for h in hits] == [(i, "a1", 3 * i) for i in range(15)]
+
+
+def test_lists_and_their_items_meet_without_a_join(spark):
+    """Lists, nested lists and lists in menus; chips answer only where no list does."""
+    html = (
+        "<h2>Amenities</h2><ul><li>Drying room</li><li>Kiln <ol><li>Gas</li><li>Wood</li></ol></li></ul><nav><ul><li>A way</li><li>B way</li></ul></nav>",
+        "<ul class='amenities'><li>Only one</li></ul><div class='amenities box'><span>Sauna</span><span>Pool</span><b class='x'>Bar</b></div>",
+        "<div class='amenities'><i>Lone</i></div>", "<h3>Facilities</h3><ol><li>Dock</li><li>Cold store</li></ol><div class='amenities'><i>Never</i><i>Shown</i></div>",
+    )
+    t = page_tables(frame(spark, *html))
+    specs = spec_rows(spark, ["Amenities"])
+    made = cascade.from_lists(t, specs)
+    got = sorted((r.page_id, r.value, r.method.split(" ")[0]) for r in made.collect())
+    assert got == [
+        (1, "Drying room", "list"), (1, "Kiln GasWood", "list"), (2, "Bar", "chips"), (2, "Pool", "chips"), (2, "Sauna", "chips"),
+        (4, "Cold store", "list"), (4, "Dock", "list"),
+    ], got
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 2  # chips with their boxes, and once more for the lists of their pages
