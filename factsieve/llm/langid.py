@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from factsieve.llm.common import byte_table, col, groups_by_size, map_batches, stage, text_bytes, word_edges, word_hashes
+from factsieve.llm.common import byte_table, col, groups_by_size, map_batches, released, stage, text_bytes, word_edges, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -187,7 +187,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             lowered = _lower(batch.column(1))
-            for first, last in groups_by_size([len(t) for t in lowered], 8 << 20):
+            for first, last in groups_by_size([len(t) for t in lowered], 2 << 20):
                 joined, starts, ends, firsts = split_words(lowered[first:last])
                 code = {x: k for k, x in enumerate(sorted(set(langs[first:last])))}
                 of = np.repeat([code[x] for x in langs[first:last]], np.diff(firsts))
@@ -196,7 +196,7 @@ def count_words(rows: DataFrame) -> DataFrame:
                 names = list(code)
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in of[one].tolist()], pa.string()), pa.array([_text(joined[starts[i] : ends[i]]) for i in one.tolist()], pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-    counted = rows.select("lang", "text").mapInArrow(step, "lang string, word string, n long")
+    counted = rows.select("lang", "text").mapInArrow(released(step), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -222,7 +222,7 @@ def train(documents: DataFrame, vocabulary: str = VOCABULARY, per_language: int
                     used = np.flatnonzero(counts)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k), pa.int32()), pa.array(used, pa.int32()), pa.array(counts[used])], names=["k", "piece", "n"])
 
-        sums = words.mapInArrow(step, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
+        sums = words.mapInArrow(released(step), "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros_like(probability)
         counts[sums["piece"].to_numpy(), sums["k"].to_numpy()] = sums["n"].to_numpy()
         probability = np.maximum((counts + 0.01) / (counts + 0.01).sum(0), FLOOR)
@@ -243,7 +243,7 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
             lettered = np.asarray(batch.column(len(kept)).cast(pa.int8())) > 0
             sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
             best, share = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
-            for first, last in groups_by_size(sizes, 4 << 20) if model.languages else ():
+            for first, last in groups_by_size(sizes, 1 << 20) if model.languages else ():
                 joined, starts, ends, firsts = split_words(_lower(batch.column(at).slice(first, last - first)))
                 keys, one, back = np.unique(word_hashes(np.frombuffer(joined, np.uint8), starts, ends), return_index=True, return_inverse=True)
                 place = np.searchsorted(known_keys, keys)

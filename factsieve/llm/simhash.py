@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.llm.common import ASCII_LOWER, col, map_batches, slices, stage, text_bytes
+from factsieve.llm.common import ASCII_LOWER, col, map_batches, released, slices, stage, text_bytes
 from factsieve.llm.components import stars
 
 BITS = 64
@@ -182,7 +182,7 @@ def ball_links(distinct: DataFrame, name: str = "fp", radius: int = 2) -> DataFr
         node, root = bucket_links(values, key[0].as_py(), power, radius)
         return pa.table({"u": pa.array(node.view(np.int64)), "v": pa.array(root.view(np.int64))})
 
-    dealt = distinct.select(col(name).cast("long").alias("fp")).mapInArrow(deal, "bucket int, packed binary")
+    dealt = distinct.select(col(name).cast("long").alias("fp")).mapInArrow(released(deal), "bucket int, packed binary")
     return dealt.groupBy("bucket").applyInArrow(link, "u long, v long")
 
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from factsieve.llm import langid
+from factsieve.llm import common, langid
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,9 @@ def test_awkward_rows(spark, model, awkward, no_rows):
     assert kept.columns == awkward.columns and kept.where("text is null").count() == 0
     empty = langid.train(no_rows)
     assert {(r.lang_pred, r.score) for r in langid.predict(awkward, empty).collect()} == {("und", 0.0)}
+
+
+def test_a_step_gives_its_memory_back(monkeypatch):
+    trimmed = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": staticmethod(trimmed.append)}))
+    assert list(common.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and trimmed == [0]
