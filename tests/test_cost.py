@@ -1,6 +1,7 @@
 """What keeps the cost of a page low, and that it changes no result."""
 
 import random
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Window
@@ -9,11 +10,15 @@ from pyspark.sql import functions as F
 from factsieve.functions import kinds as K
 from factsieve.functions import text as T
 from factsieve.functions import urls as U
+from factsieve.operators import cascade as C
 from factsieve.operators import images as I
 from factsieve.operators import page as P
+from factsieve.operators import records as R
 from factsieve.operators import structured as S
+from factsieve.operators.labels import spec_rows
 from factsieve.plans.extract import page_tables
 from factsieve.sources import nodes as N
+from factsieve.sources import staging
 
 PIECES = (
     "<p>", "</p>", "<br/>", "<br />", "<script>", "</script>", "</script >", "<style>", "<!-- x -->", "<!--", "<!doctype html>", "<?x?>", "&amp", "a < b",
@@ -146,3 +151,69 @@ def test_pairs_and_blocks_need_no_windows(spark):
     bodies = {r.page_id: r.t for r in whole.groupBy("page_id").agg(F.max(F.when(F.col("tag") == "body", F.col("full_text"))).alias("t")).collect()}
     texts = {r.page_id: r.text for r in P.page_text(P.blocks(whole).limit(0), whole).collect()}
     assert texts == {k: t or "" for k, t in bodies.items()}
+
+
+def test_staged_tables_are_merged_where_their_pages_lie(spark):
+    html = "<ul>" + "".join(f"<li>{w} words of one item<b>{w}</b></li>" for w in ("some", "more", "last")) + "</ul>"
+    t = page_tables(spark.createDataFrame([(i, f"http://a.b/{i}", html) for i in range(3)], "page_id long, url string, html string"))
+    items = t.nodes.where("tag = 'li'").select("page_id", "node_id", "last_desc")
+    plans = []
+    with staging._writing(spark):
+        plans.append(P.item_scopes(t.nodes, items)._jdf.queryExecution().executedPlan().toString())
+    assert "SortMergeJoin" in plans[0] and not re.search(r"hashpartitioning\(page_id#\d+L?, node_id", plans[0])
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_words_and_classes_are_found_without_a_split(spark):
+    rows = spark.createDataFrame([(" b a1\tc  ",), ("x",), ("",), (None,)], "c string")
+    made = rows.select(P.class_list(F.col("c")).alias("l"), T.tokens(F.col("c"), True).alias("w"), P.selector_of(F.lit("p"), F.col("c"), F.lit(None)).alias("s"))
+    assert "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in made.collect()] == [(["b", "a1", "c"], ["b", "a1", "c"], "p.b.a1"), (["x"], ["x"], "p.x"), ([], [], "p"), ([], [], "p")]
+
+
+def test_labels_that_cannot_match_are_told_apart_cheaply(spark):
+    specs = spec_rows(spark, ["Name", "Price", "Category", "Nightly Rate", "ID", "Ärzte", "C++"])
+    rnd = random.Random(3)
+    words = ["category", "categry", "ctegory", "name", "nam", "id", "x", "rates", "nightly", "price range", "ärzte", "c++", "c", "5-LOW", "Order 000000001", "USD 12.50", "total", "catgory!", "prize", "ratenightly"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3))) for _ in range(300)] + words + [f"{w}:" for w in words] + ["", ":", "a::", "Category：", "cat" * 40]
+    rows = C.with_label(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"), specs)
+    known = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_replace(F.lower(T.squish(F.col("t"))), r"[:：]\s*$", "").alias("m_text"))
+    known = known.withColumn("m_text", F.when(F.length("m_text") <= 80, F.col("m_text")).otherwise(F.lit(""))).withColumns(
+        {"m_bare": T.alnum(F.col("m_text")), "m_tokens": T.tokens(F.col("m_text")), "m_near": F.lit(True)}).withColumn("m_grams", T.grams(F.col("m_bare")))
+    found = [frame.select("t", "m_text", "m_bare", "m_near", F.transform(C.spec_literal(specs), C.label_match).alias("m")).orderBy("t", "m_text").collect() for frame in (rows, known)]
+    assert [(r.t, r.m_text, r.m_bare, r.m) for r in found[0]] == [(r.t, r.m_text, r.m_bare, r.m) for r in found[1]]
+    assert any(not r.m_near for r in found[0]) and any(max(r.m) > 0 for r in found[0])
+
+
+def test_a_text_is_read_once_for_its_matches(spark):
+    codes = "|".join(K.CURRENCY_CODES)
+    code = rf"{K.EDGE_L}(?:{codes}){K.EDGE_R}"
+    price = (
+        rf"(?i)(?:(?:US\$|[{K.CURRENCY_SYMBOLS}]|{code})\s?\d[\d,.\s]*(?:\.\d{{1,2}})?|\d[\d,.]*\s?(?:US\$|[{K.CURRENCY_SYMBOLS}]|{code}))"
+        r"(?:\s?(?:per|/)\s?(?:night|day|month|year|person|pax|room|week|hour|guest|adult))?"
+    )
+    rnd = random.Random(9)
+    pieces = ["USD ", "usd", "xUSD 5", "12", "3.50", ",", ".", " ", "€", "US$", "$", "Rs. 5", "per night", "EURO", "EUR", "\n", "\x01", "$0", "order", "_"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    made = rows.select("text", C.pattern_hits(F.col("text"), K.PRICE_PATTERN).alias("h"), C.pattern_hits(F.col("text"), K.PRICE_PATTERN, 1).alias("one"), F.regexp_extract_all("text", F.lit(price), F.lit(0)).alias("old")).collect()
+    for r in made:
+        assert [h.m for h in r.h] == r.old and [h.i for h in r.h] == list(range(len(r.old))) and r.one == r.h[:1], r.text
+        assert all(r.text[h.at:h.at + len(h.m)] == h.m for h in r.h) and [h.at for h in r.h] == sorted({h.at for h in r.h}), r.text
+    assert sum(len(r.h) for r in made) > 200 and any(r.h and "\x01" in r.text for r in made)
+
+
+def test_addresses_with_one_plain_parameter_are_their_own_key(spark):
+    urls = ["http://a.b/p?page=2", "http://a.b/?x=", "http://a.b/p/?page=2", "http://a.b/p?ref=2", "http://a.b/p?UTM_x=2", "http://a.b/p?refs=2", "http://www.a.b/p?q=1", "http://a.b/p?q", "http://x.a.b/p?b=1&a=2", "http://localhost/p?q=1", "http://www.com/", "http://a.b:81/p", "http://A.b/p?q=%20"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", U.normalize_url(F.col("u")).alias("k"), U.site_root(F.col("u")).alias("s"), F.col("u").rlike(U._PLAIN_KEY).alias("plain")).orderBy("i").collect()
+    assert [r.k for r in rows] == ["http://a.b/p?page=2", "http://a.b/?x=", "http://a.b/p?page=2", "http://a.b/p", "http://a.b/p", "http://a.b/p?refs=2", "http://a.b/p?q=1", "http://a.b/p?q=", "http://x.a.b/p?a=2&b=1", "http://localhost/p?q=1", "http://com/", "http://a.b:81/p", "http://a.b/p?q=+"]
+    assert [r.s for r in rows] == ["a.b"] * 9 + ["localhost", "com", "a.b", "a.b"]
+    assert [r.i for r in rows if r.plain] == [0, 1, 5, 9]
+
+
+def test_fallbacks_leave_answered_fields_alone(spark):
+    page = spark.createDataFrame([(1, "http://a.b/", "<h4>Lamp</h4><p>USD 5.00</p>")], "page_id long, url string, html string")
+    t, specs = page_tables(page), spec_rows(spark, ["Name", "Price"])
+    for done, wanted in ((["price"], {"name"}), ([], {"name", "price"})):
+        answered = spark.createDataFrame([(1, 0, k) for k in done], "page_id long, scope_id int, field_key string")
+        assert {r.field_key for r in R.record_fallbacks(t, specs, answered).collect()} == wanted
